@@ -36,6 +36,13 @@ def array_median(values: Column) -> Column:
     return (low + high) / 2.0
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of complete pairs as an aggregate; NULL without spread."""
+    both = x.isNotNull() & y.isNotNull()
+    px, py = F.when(both, x), F.when(both, y)
+    return F.covar_pop(px, py) / F.nullif(F.stddev_pop(px) * F.stddev_pop(py), F.lit(0.0))
+
+
 def pack(df: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str]) -> DataFrame:
     """One row per recording with its samples as an ordered array of structs (bounded)."""
     return df.groupBy(*keys).agg(
@@ -523,7 +530,7 @@ def cycle_features(
         F.when(n >= 3, F.regr_slope(F.col(velocity), cycle_no)).alias("raw_velocity_slope"),
         F.when(
             (n >= 4) & (F.stddev_pop(amplitude) > 1e-9) & (F.stddev_pop(velocity) > 1e-9),
-            F.corr(amplitude, velocity),
+            pearson(F.col(amplitude), F.col(velocity)),
         ).alias("amp_vel_coupling"),
     )
 

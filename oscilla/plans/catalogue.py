@@ -6,7 +6,7 @@ import importlib
 
 from oscilla.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["ingest", "cohort_reports", "signals"]
+MODULES = ["ingest", "cohort_reports", "signals", "statistics"]
 
 
 def _load() -> None:

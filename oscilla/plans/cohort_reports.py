@@ -67,7 +67,7 @@ def cohort_summary(spark, sf_dir):
         "featlog",
         body="""
 SELECT patient, visit, med, hand, count(*) AS n_recordings, arg_min(video_path, video) AS video_path,
-       round(median(mean_amplitude), 6) AS mean_amplitude, round(median(peak_velocity), 6) AS peak_velocity
+       round(median(mean_amplitude), 8) AS mean_amplitude, round(median(peak_velocity), 8) AS peak_velocity
 FROM featlog GROUP BY patient, visit, med, hand""",
     ),
 )
@@ -80,8 +80,8 @@ def condition_collapse(spark, sf_dir):
         *KEYS,
         "n_recordings",
         "video_path",
-        F.round("mean_amplitude", 6).alias("mean_amplitude"),
-        F.round("peak_velocity", 6).alias("peak_velocity"),
+        F.round("mean_amplitude", 8).alias("mean_amplitude"),
+        F.round("peak_velocity", 8).alias("peak_velocity"),
     )
 
 
@@ -131,11 +131,11 @@ def composite_v2(spark, sf_dir):
         "cyclefeat",
         "featlog",
         body="""
-SELECT video, round(mean_amplitude * peak_velocity / 100, 6) AS movement_vigor,
-       round(mean_amplitude * mean_velocity / 100, 6) AS amp_vel_product,
+SELECT video, round(mean_amplitude * peak_velocity / 100, 8) AS movement_vigor,
+       round(mean_amplitude * mean_velocity / 100, 8) AS amp_vel_product,
        round(coalesce(CASE WHEN amplitude_cv - 50 > 0 THEN amplitude_cv - 50 END, 0)
-           + coalesce(CASE WHEN rhythm_cv - 60 > 0 THEN rhythm_cv - 60 END, 0), 6) AS fatigue_index,
-       round(amplitude_cv * (1 + pause_time_ratio) * (1 + num_hesitations / nullif(total_cycles, 0)), 6) AS irregularity_burden
+           + coalesce(CASE WHEN rhythm_cv - 60 > 0 THEN rhythm_cv - 60 END, 0), 8) AS fatigue_index,
+       round(amplitude_cv * (1 + pause_time_ratio) * (1 + num_hesitations / nullif(total_cycles, 0)), 8) AS irregularity_burden
 FROM featlog""",
     ),
 )
@@ -150,7 +150,7 @@ def interaction_features(spark, sf_dir):
     return out.select(
         "video",
         *[
-            F.round(c, 6).alias(c)
+            F.round(c, 8).alias(c)
             for c in ("movement_vigor", "amp_vel_product", "fatigue_index", "irregularity_burden")
         ],
     )

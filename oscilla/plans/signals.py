@@ -236,14 +236,14 @@ def alternating_extrema(spark, sf_dir):
 , seg AS (SELECT video, clip, frame_idx AS lo, lead(frame_idx) OVER ({W}) AS hi FROM alt)
 , ex AS (SELECT seg.video, seg.clip, lo, sum(area) AS e FROM seg JOIN tr ON tr.video = seg.video AND tr.clip = seg.clip
          AND frame_idx > lo AND frame_idx <= hi GROUP BY ALL)
-SELECT video, clip, CASE WHEN count(*) >= 2 THEN round(avg(e), 4) END AS integral_amplitude FROM ex GROUP BY ALL""",
+SELECT video, clip, CASE WHEN count(*) >= 2 THEN round(avg(e), 9) END AS integral_amplitude FROM ex GROUP BY ALL""",
     ),
 )
 def integral_amplitude(spark, sf_dir):
     df, raw = _raw_extrema(spark, sf_dir)
     rate = S.gradient(df, "value", "rate", FPS)
     out = S.integral_amplitude(rate, S.alternate(raw), "rate", FPS)
-    return out.select(*KEYS, F.round("integral_amplitude", 4).alias("integral_amplitude"))
+    return out.select(*KEYS, F.round("integral_amplitude", 9).alias("integral_amplitude"))
 
 
 @query(

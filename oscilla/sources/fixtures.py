@@ -92,19 +92,20 @@ def recording_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cycle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as cycles, aggregated to features per recording (partial aggregation applies)."""
     li = table(spark, sf_dir, "lineitem")
+    mean_q, mean_d = F.avg("l_quantity"), F.avg("l_discount")
+    raw = {
+        "mean_amplitude": mean_q,
+        "peak_velocity": F.max("l_extendedprice") / 993,
+        "mean_velocity": F.avg("l_extendedprice") / 993,
+        "global_velocity": F.sum("l_extendedprice") / 4993,
+        "amplitude_cv": F.when(mean_q > 0, F.stddev_pop("l_quantity") / mean_q * 100),
+        "rhythm_cv": F.when(mean_d > 0, F.stddev_pop("l_discount") / mean_d * 100),
+        "pause_time_ratio": mean_d,
+        "arm_swing": F.avg("l_tax"),
+    }
+    # rounding makes equal features equal whatever the summation order, so that ranks agree
     return li.groupBy(F.col("l_orderkey").alias("video")).agg(
-        F.avg("l_quantity").alias("mean_amplitude"),
-        (F.max("l_extendedprice") / 993).alias("peak_velocity"),
-        (F.avg("l_extendedprice") / 993).alias("mean_velocity"),
-        (F.sum("l_extendedprice") / 4993).alias("global_velocity"),
-        F.when(F.avg("l_quantity") > 0, F.stddev_pop("l_quantity") / F.avg("l_quantity") * 100).alias(
-            "amplitude_cv"
-        ),
-        F.when(F.avg("l_discount") > 0, F.stddev_pop("l_discount") / F.avg("l_discount") * 100).alias(
-            "rhythm_cv"
-        ),
-        F.avg("l_discount").alias("pause_time_ratio"),
-        F.avg("l_tax").alias("arm_swing"),
+        *[F.round(c, 7).alias(n) for n, c in raw.items()],
         F.count(F.lit(1)).alias("total_cycles"),
         F.count_if(F.col("l_discount") > 0.07).alias("num_hesitations"),
     )
@@ -156,8 +157,8 @@ def cycles(spark: SparkSession, sf_dir: str, max_frames: int = MAX_FRAMES) -> Da
         "l_partkey",
         "l_suppkey",
         F.col("l_quantity").alias("amplitude"),
-        (F.col("l_extendedprice") / 10000.0).alias("interval_s"),
-        (F.col("l_extendedprice") / 100.0).alias("peak_velocity"),
+        (F.col("l_extendedprice") / 9973.0).alias("interval_s"),
+        (F.col("l_extendedprice") / 97.0).alias("peak_velocity"),
     )
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "amplitude", "interval_s"]
     numbered = to_recordings(li, ["video"], order, max_frames)
@@ -215,12 +216,12 @@ logs AS (
               FROM orders)))""",
     "cyclefeat": """
 cyclefeat AS (
-  SELECT l_orderkey AS video, avg(l_quantity) AS mean_amplitude,
-         max(l_extendedprice) / 993 AS peak_velocity, avg(l_extendedprice) / 993 AS mean_velocity,
-         sum(l_extendedprice) / 4993 AS global_velocity,
-         CASE WHEN avg(l_quantity) > 0 THEN stddev_pop(l_quantity) / avg(l_quantity) * 100 END AS amplitude_cv,
-         CASE WHEN avg(l_discount) > 0 THEN stddev_pop(l_discount) / avg(l_discount) * 100 END AS rhythm_cv,
-         avg(l_discount) AS pause_time_ratio, avg(l_tax) AS arm_swing, count(*) AS total_cycles,
+  SELECT l_orderkey AS video, round(avg(l_quantity), 7) AS mean_amplitude,
+         round(max(l_extendedprice) / 993, 7) AS peak_velocity, round(avg(l_extendedprice) / 993, 7) AS mean_velocity,
+         round(sum(l_extendedprice) / 4993, 7) AS global_velocity,
+         round(CASE WHEN avg(l_quantity) > 0 THEN stddev_pop(l_quantity) / avg(l_quantity) * 100 END, 7) AS amplitude_cv,
+         round(CASE WHEN avg(l_discount) > 0 THEN stddev_pop(l_discount) / avg(l_discount) * 100 END, 7) AS rhythm_cv,
+         round(avg(l_discount), 7) AS pause_time_ratio, round(avg(l_tax), 7) AS arm_swing, count(*) AS total_cycles,
          count(*) FILTER (l_discount > 0.07) AS num_hesitations
   FROM lineitem GROUP BY l_orderkey)""",
     "featlog": """
@@ -239,10 +240,10 @@ frames AS (
     "cycles": f"""
 cycles AS (
   SELECT video, rn // {MAX_FRAMES} AS clip, rn % {MAX_FRAMES} AS cycle_no, amplitude, interval_s, peak_velocity
-  FROM (SELECT l_orderkey AS video, l_quantity AS amplitude, l_extendedprice / 10000.0 AS interval_s,
-               l_extendedprice / 100.0 AS peak_velocity,
+  FROM (SELECT l_orderkey AS video, l_quantity AS amplitude, l_extendedprice / 9973.0 AS interval_s,
+               l_extendedprice / 97.0 AS peak_velocity,
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey,
-                 l_suppkey, l_quantity, l_extendedprice / 10000.0) - 1 AS rn
+                 l_suppkey, l_quantity, l_extendedprice / 9973.0) - 1 AS rn
         FROM lineitem))""",
     "landmarks": f"""
 landmarks AS (

@@ -64,7 +64,7 @@ def main(argv):
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     plans, sqls = queries(), oracle_sql()
     wanted = argv or list(plans)
@@ -74,7 +74,7 @@ def main(argv):
         try:
             ok, message, rows = check(spark, name, plans[name], sqls.get(name), sf_dir, con)
         except Exception as exc:
-            ok, message, rows = False, f"{type(exc).__name__}: {str(exc)[:1500]}", -1
+            ok, message, rows = False, f"{type(exc).__name__}: {str(exc)[-700:]}", -1
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} rows={rows:<7d} {time.time() - start:6.2f}s {message}", flush=True)
         if not ok:
             failed.append(name)
