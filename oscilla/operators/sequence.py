@@ -506,11 +506,15 @@ def cycle_features(
     velocity: str = "peak_velocity",
     keys: Sequence[str] = KEYS,
     idx: str = "cycle_no",
+    start: Column | None = None,
 ) -> DataFrame:
-    """Amplitude, timing and velocity features from the cycle rows of each recording."""
-    start = F.coalesce(
-        F.sum(interval).over(_w(keys, idx).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-    )
+    """Amplitude, timing and velocity features from the cycle rows of each recording.
+
+    ``start`` is the start time of a cycle; without it cycles follow one another without gaps.
+    """
+    if start is None:
+        before = F.sum(interval).over(_w(keys, idx).rowsBetween(Window.unboundedPreceding, -1))
+        start = F.coalesce(before, F.lit(0.0))
     timed = df.withColumn("_t", start)
     n = F.count(F.lit(1))
     cycle_no = F.col(idx).cast("double")

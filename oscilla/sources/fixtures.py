@@ -168,20 +168,20 @@ def cycles(spark: SparkSession, sf_dir: str, max_frames: int = MAX_FRAMES) -> Da
 
 
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as 21-point hand landmarks, 250 frames per recording."""
+    """embeddings as 21-point hand landmarks (a hand shape plus noise), 250 frames per recording."""
     e = table(spark, sf_dir, "embeddings")
-    value = F.col("embedding")
+    jump = F.when(F.col("label") == 9, 0.285).otherwise(0.0)
 
     def at(i, axis):
-        return F.get(value, (i * 3 + axis).cast("int")).cast("double")
+        return F.get("embedding", (i * 3 + axis).cast("int")).cast("double")
 
     points = F.transform(
         F.sequence(F.lit(0), F.lit(20)),
         lambda i: F.struct(
-            (F.lit(0.5) + at(i, 0)).alias("x"),
-            (F.lit(0.5) + at(i, 1)).alias("y"),
+            (F.lit(0.3) + i * 0.02 + at(i, 0) * 0.03 + jump).alias("x"),
+            (F.lit(0.3) + (i * 7 % 21) * 0.015 + at(i, 1) * 0.03).alias("y"),
             at(i, 2).alias("z"),
-            (F.lit(1.0) - F.abs(at(i, 2))).alias("v"),
+            F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(at(i, 2)) * 4).alias("v"),
         ),
     )
     return e.select(
@@ -192,6 +192,25 @@ def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hands as two detections per frame, the second one shifted to the right."""
+    lm = landmarks(spark, sf_dir)
+    det = F.col("frame_idx") % 2
+    return lm.select(
+        "video",
+        F.floor(F.col("frame_idx") / 2).cast("long").alias("frame_idx"),
+        det.alias("det_idx"),
+        F.when(F.col("label") % 2 == det, "Left").otherwise("Right").alias("label"),
+        (F.lit(0.5) + F.col("label") * 0.05).alias("score"),
+        F.transform(
+            "lm",
+            lambda p: F.struct(
+                (p["x"] + det * 0.35).alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["v"].alias("v")
+            ),
+        ).alias("lm"),
+    )
+
+
 # SQL twins of the roles above, as common table expressions.
 CTE: dict[str, str] = {
     "logs": r"""
@@ -249,8 +268,10 @@ cycles AS (
 landmarks AS (
   SELECT vec_id // {MAX_FRAMES} AS video, vec_id % {MAX_FRAMES} AS frame_idx, label,
          list_transform(range(0, 21), lambda i: {{
-           'x': 0.5 + CAST(embedding[3 * i + 1] AS DOUBLE), 'y': 0.5 + CAST(embedding[3 * i + 2] AS DOUBLE),
-           'z': CAST(embedding[3 * i + 3] AS DOUBLE), 'v': 1.0 - abs(CAST(embedding[3 * i + 3] AS DOUBLE))}}) AS lm
+           'x': 0.3 + i * 0.02 + CAST(embedding[3 * i + 1] AS DOUBLE) * 0.03 + CASE WHEN label = 9 THEN 0.285 ELSE 0.0 END,
+           'y': 0.3 + (i * 7 % 21) * 0.015 + CAST(embedding[3 * i + 2] AS DOUBLE) * 0.03,
+           'z': CAST(embedding[3 * i + 3] AS DOUBLE),
+           'v': greatest(0.0, 1.0 - abs(CAST(embedding[3 * i + 3] AS DOUBLE)) * 4)}}) AS lm
   FROM embeddings)""",
 }
 
