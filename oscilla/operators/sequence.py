@@ -7,7 +7,7 @@ bounds, so one hash exchange on those keys serves every window a query stacks up
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ def _whole(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it inside ``body``.
+
+    Catalyst re-evaluates an expression for every element of a lambda that mentions it; binding it
+    as the variable of a one-element transform computes it once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     """Median of a short array; NULL for an empty one."""
     ordered = F.array_sort(values)
@@ -81,15 +90,14 @@ def hampel(
     """Replace samples far from the local median (in scaled MADs of the raw window)."""
     half = settings.hampel_window // 2
     patch = F.collect_list(value).over(_w(keys, idx).rowsBetween(-half, half))
-    med = array_median(F.col("_patch"))
-    mad = array_median(F.transform("_patch", lambda x: F.abs(x - F.col("_med"))))
-    far = F.abs(F.col(value) - F.col("_med")) > settings.hampel_sigma * 1.4826 * mad
-    return (
-        df.withColumn("_patch", patch)
-        .withColumn("_med", med)
-        .withColumn(out, F.when(far, F.col("_med")).otherwise(F.col(value)))
-        .drop("_patch", "_med")
-    )
+
+    def cleaned(med: Column) -> Column:
+        mad = array_median(F.transform("_patch", lambda x: F.abs(x - med)))
+        far = F.abs(F.col(value) - med) > settings.hampel_sigma * 1.4826 * mad
+        return F.when(far, med).otherwise(F.col(value))
+
+    staged = df.withColumn("_patch", patch)
+    return staged.withColumn(out, let(array_median(F.col("_patch")), cleaned)).drop("_patch")
 
 
 def moving_average(
@@ -454,8 +462,6 @@ def decrement_onset(values: Column) -> Column:
         right = at(F.when(i + 1 < n, i + 1).otherwise(2 * n - 3 - i))
         return (left + at(i) + right) / 3.0
 
-    smooth = F.transform(F.sequence(F.lit(0), n - 1), smoothed)
-
     def mean(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
@@ -469,20 +475,18 @@ def decrement_onset(values: Column) -> Column:
 
     win = F.least(F.greatest(F.lit(3), F.floor(n / 3).cast("int")), n - 1)
 
-    def falls(s: Column):
-        def test(i: Column) -> Column:
-            seg = F.slice(s, i + 1, win)
-            return (mean(seg) >= 1e-6) & (slope_pct(seg) < -2.0)
+    def onset(smooth: Column) -> Column:
+        def falls(i: Column) -> Column:
+            return let(
+                F.slice(smooth, i + 1, win), lambda seg: (mean(seg) >= 1e-6) & (slope_pct(seg) < -2.0)
+            )
 
-        return test
+        first = F.array_min(F.filter(F.sequence(F.lit(0), n - win), falls))
+        found = F.coalesce(first / F.greatest(n - 1, F.lit(1)), F.lit(0.85))
+        return F.when(mean(smooth) >= 1e-6, F.when(slope_pct(smooth) > -1.0, 1.0).otherwise(found))
 
-    starts = F.sequence(F.lit(0), n - win)
-    first = F.array_min(F.filter(starts, falls(smooth)))
-    onset = F.coalesce(first / F.greatest(n - 1, F.lit(1)), F.lit(0.85))
-    return F.when(
-        n >= 3,
-        F.when(mean(smooth) >= 1e-6, F.when(slope_pct(smooth) > -1.0, 1.0).otherwise(onset)),
-    )
+    smooth = F.transform(F.sequence(F.lit(0), n - 1), smoothed)
+    return F.when(n >= 3, let(smooth, onset))
 
 
 def sequence_effect_pct(values: Column, split: float = DEFAULTS.decrement_split) -> Column:

@@ -52,15 +52,13 @@ class Tracker:
             for flat in np.argsort(np.where(allowed, dist, np.inf), axis=None, kind="stable"):
                 t, d = divmod(int(flat), len(xy))
                 if not allowed[t, d]:
-                    break
+                    continue
                 allowed[t, :] = allowed[:, d] = False
-                # every pair of this track and detection is now closed
                 row = self.state[active[t]]
                 dt = max(1.0, frame - row[4])
                 velocity = (xy[d] - row[:2]) / dt
                 self.state[active[t]] = [*xy[d], *velocity, frame]
                 assigned[d] = int(active[t])
-                dist[t, :] = dist[:, d] = np.inf
         for d, track in enumerate(assigned):
             if track < 0:
                 assigned[d] = self._start(frame, xy[d])

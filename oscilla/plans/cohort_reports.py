@@ -131,11 +131,11 @@ def composite_v2(spark, sf_dir):
         "cyclefeat",
         "featlog",
         body="""
-SELECT video, round(mean_amplitude * peak_velocity / 100, 8) AS movement_vigor,
-       round(mean_amplitude * mean_velocity / 100, 8) AS amp_vel_product,
+SELECT video, round(mean_amplitude * peak_velocity / 100, 5) AS movement_vigor,
+       round(mean_amplitude * mean_velocity / 100, 5) AS amp_vel_product,
        round(coalesce(CASE WHEN amplitude_cv - 50 > 0 THEN amplitude_cv - 50 END, 0)
-           + coalesce(CASE WHEN rhythm_cv - 60 > 0 THEN rhythm_cv - 60 END, 0), 8) AS fatigue_index,
-       round(amplitude_cv * (1 + pause_time_ratio) * (1 + num_hesitations / nullif(total_cycles, 0)), 8) AS irregularity_burden
+           + coalesce(CASE WHEN rhythm_cv - 60 > 0 THEN rhythm_cv - 60 END, 0), 7) AS fatigue_index,
+       round(amplitude_cv * (1 + pause_time_ratio) * (1 + num_hesitations / nullif(total_cycles, 0)), 5) AS irregularity_burden
 FROM featlog""",
     ),
 )
@@ -149,9 +149,10 @@ def interaction_features(spark, sf_dir):
     out = cohort.interaction_features(df)
     return out.select(
         "video",
+        F.round("fatigue_index", 7).alias("fatigue_index"),
         *[
-            F.round(c, 8).alias(c)
-            for c in ("movement_vigor", "amp_vel_product", "fatigue_index", "irregularity_burden")
+            F.round(c, 5).alias(c)
+            for c in ("movement_vigor", "amp_vel_product", "irregularity_burden")
         ],
     )
 
