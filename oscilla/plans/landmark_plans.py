@@ -372,7 +372,7 @@ def track_association(spark, sf_dir):
 
 
 _TOPK_SQL = """
-WITH t AS (SELECT l_orderkey AS video, l_linenumber AS track, sum(l_extendedprice) / 1000 + l_linenumber / 1e6 AS rot, count(*) AS n FROM lineitem GROUP BY ALL)
+WITH t AS (SELECT l_orderkey AS video, l_linenumber AS track, sum(l_extendedprice) / 1000 + l_linenumber / 1e6 AS rot, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT video, arg_max(track, rot) AS track, round(max(rot), 4) AS rot_total FROM t WHERE rot / n >= 20 GROUP BY video"""
 
 
