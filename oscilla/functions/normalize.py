@@ -26,8 +26,8 @@ RIGHT_WORDS = ["r", "right", "rhs"]
 
 
 def _captured(text: Column, pattern: str, group: int) -> Column:
-    """Regex group, NULL where the pattern does not match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """Regex group, NULL where the pattern does not match (no group used here can be empty)."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def medication_from_path(path: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oscilla.functions import normalize as N
-from oscilla.operators.ordering import exact_percentiles, tie_ranks
+from oscilla.operators.ordering import exact_percentiles
+from oscilla.session import durable
 
 # Composite components as (feature, sign[, weight]).
 COMPOSITE = [("mean_amplitude", -1.0), ("peak_velocity", -1.0), ("mean_velocity", -1.0)]
@@ -192,7 +193,11 @@ def merge_scores(videos: DataFrame, scores: DataFrame, keys: Sequence[str]) -> D
 def collapse_same_condition(
     df: DataFrame, keys: Sequence[str], numeric: Sequence[str], other: Sequence[str], order: str
 ) -> DataFrame:
-    """One row per condition: exact medians of numbers, first non-null of everything else."""
+    """One row per condition: exact medians of numbers, first non-null of everything else.
+
+    The input is read three times (group sizes, medians, firsts), so it is written once.
+    """
+    df = durable(df.select(*dict.fromkeys([*keys, *numeric, *other, order])))
     long = df.select(
         *keys,
         F.explode(
@@ -214,7 +219,7 @@ def collapse_same_condition(
 
 def summary_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """count, mean, std (n-1), median, min and max per group."""
-    clean = df.filter(F.col(value).isNotNull())
+    clean = durable(df.filter(F.col(value).isNotNull()).select(key, value))
     base = clean.groupBy(key).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),

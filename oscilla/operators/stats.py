@@ -17,6 +17,7 @@ from oscilla.operators.cohort import null_safe_join
 from oscilla.operators.ordering import (
     average_rank,
     exact_percentiles,
+    groups_bounded,
     number_rows,
     running_sum,
     tie_ranks,
@@ -77,6 +78,16 @@ def expected_direction(feature: Column) -> Column:
     return F.try_element_at(table, feature)
 
 
+def _parts(keys: Sequence[str]) -> list:
+    return list(keys) or [F.lit(0)]
+
+
+def window_rank(keys: Sequence[str], value: str) -> Column:
+    """Tie-averaged rank within a key, for keys known to be bounded."""
+    order = Window.partitionBy(*_parts(keys)).orderBy(value)
+    return F.rank().over(order) + (F.count(F.lit(1)).over(order.rangeBetween(0, 0)) - 1) / 2.0
+
+
 def _rank_table(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average rank of each distinct value, with its tie count."""
     distinct = counts.groupBy(*keys, value).agg(F.sum("n").alias("_w"))
@@ -86,11 +97,16 @@ def _rank_table(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
     """Spearman rho (tie-averaged ranks) per key; NULL below five pairs."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    counts = pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
-    rx = _rank_table(counts, keys, x).select(*keys, x, F.col("rank").alias("_rx"))
-    ry = _rank_table(counts, keys, y).select(*keys, y, F.col("rank").alias("_ry"))
-    ranked = counts.join(rx, [*keys, x]).join(ry, [*keys, y])
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    if groups_bounded(pairs, keys):
+        ranked = pairs.select(
+            *keys, F.lit(1).alias("n"), window_rank(keys, x).alias("_rx"), window_rank(keys, y).alias("_ry")
+        )
+    else:
+        counts = pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
+        rx = _rank_table(counts, keys, x).select(*keys, x, F.col("rank").alias("_rx"))
+        ry = _rank_table(counts, keys, y).select(*keys, y, F.col("rank").alias("_ry"))
+        ranked = counts.join(rx, [*keys, x]).join(ry, [*keys, y])
     n, mean = F.sum("n"), (F.sum("n") + 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
         n.alias("n"),
@@ -109,22 +125,29 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool =
 
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H over the groups with at least two values."""
-    counts = (
-        df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .groupBy(*keys, group, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sizes = counts.groupBy(*keys, group).agg(F.sum("n").alias("_g")).filter(F.col("_g") >= 2)
-    kept = counts.join(sizes.select(*keys, group), [*keys, group], "left_semi")
-    ranks = _rank_table(kept, keys, value)
-    per_group = (
-        kept.join(ranks, [*keys, value])
-        .groupBy(*keys, group)
-        .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
-    )
-    ties = ranks.groupBy(*keys).agg(
-        F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_t"), F.sum("ties").alias("n")
-    )
+    clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, group, value)
+    sizes = clean.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") >= 2)
+    kept = clean.join(sizes.select(*keys, group), [*keys, group], "left_semi")
+    if groups_bounded(clean, keys):
+        peers = F.count(F.lit(1)).over(Window.partitionBy(*_parts(keys)).orderBy(value).rangeBetween(0, 0))
+        rows = kept.select(*keys, group, window_rank(keys, value).alias("rank"), peers.cast("double").alias("ties"))
+        per_group = rows.groupBy(*keys, group).agg(
+            F.sum("rank").alias("_r"),
+            F.count(F.lit(1)).alias("_g"),
+            F.sum(F.col("ties") * F.col("ties") - 1).alias("_t"),
+        )
+        ties = per_group.groupBy(*keys).agg(F.sum("_t").alias("_t"), F.sum("_g").alias("n"))
+    else:
+        counts = kept.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n"))
+        ranks = _rank_table(counts, keys, value)
+        per_group = (
+            counts.join(ranks, [*keys, value])
+            .groupBy(*keys, group)
+            .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
+        )
+        ties = ranks.groupBy(*keys).agg(
+            F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_t"), F.sum("ties").alias("n")
+        )
     totals = per_group.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum(F.col("_r") * F.col("_r") / F.col("_g")).alias("_s")
     )

@@ -41,13 +41,14 @@ def path_parse(spark, sf_dir):
     logs = recording_logs(spark, sf_dir)
     path = F.col("video_path")
     ids, visit = N.ids_and_visit_from_path(path)
-    return logs.select(
+    named = logs.select("video", "video_path", ids.alias("ids"), visit.alias("path_visit"))
+    return named.select(
         "video",
         N.medication_from_path(path).alias("med_from_path"),
         N.hand_from_path(path).alias("hand_from_path"),
-        ids.alias("ids"),
-        visit.alias("path_visit"),
-        N.canonical_video_id(ids).alias("canonical_id"),
+        "ids",
+        "path_visit",
+        N.canonical_video_id(F.col("ids")).alias("canonical_id"),
         N.visit_from_token(path).alias("token_visit"),
     )
 

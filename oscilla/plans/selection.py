@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oscilla.functions import normalize as N
 from oscilla.operators import curation, jobs, learn, matching, stats
 from oscilla.plans.registry import query
+from oscilla.session import durable
 from oscilla.sources.fixtures import FEATURES, feature_log, frames, recording_logs, table, with_ctes
 
 KEYS = ["video", "clip"]
@@ -134,7 +135,9 @@ SELECT i AS rank, ple AS score, CAST(cf AS BIGINT) AS frames FROM o, c WHERE i =
     ),
 )
 def budget_threshold(spark, sf_dir):
-    scored = _eligible(spark, sf_dir).withColumn("ple", F.round("ple", 9))
+    scored = durable(
+        _eligible(spark, sf_dir).select("video", "frames", F.round("ple", 9).alias("ple"))
+    )
     return curation.selection_threshold(scored, "ple", "frames", "video")
 
 
@@ -319,8 +322,11 @@ def loso_ridge(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return feature_log(spark, sf_dir).select(
-        "video", "patient", F.col("score").cast("double").alias("y"), "score", *FEATURES
+    """The feature table with its scores, written once for the passes of a model."""
+    return durable(
+        feature_log(spark, sf_dir).select(
+            "video", "patient", F.col("score").cast("double").alias("y"), "score", *FEATURES
+        )
     )
 
 

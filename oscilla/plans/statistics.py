@@ -9,6 +9,7 @@ from oscilla.operators import paired, stats
 from oscilla.operators.cohort import attach_labels
 from oscilla.operators.ordering import exact_percentiles
 from oscilla.plans.registry import query
+from oscilla.session import durable
 from oscilla.sources.fixtures import FEATURES, feature_log, patients, recording_logs, with_ctes
 
 _LONG_SQL = (
@@ -26,7 +27,8 @@ def _sql(body: str) -> str:
 
 
 def _long(spark, sf_dir):
-    return stats.long_features(feature_log(spark, sf_dir), ["video", "score"], FEATURES)
+    """The feature table of all recordings, written once: every statistic reads it several times."""
+    return durable(stats.long_features(feature_log(spark, sf_dir), ["score"], FEATURES))
 
 
 _RANKS = """
@@ -348,8 +350,10 @@ SELECT feature, angle, count(*) AS n, round(avg(value), 6) AS mean, round(median
 )
 def angle_report(spark, sf_dir):
     df = attach_labels(feature_log(spark, sf_dir), _angles(spark, sf_dir), "patient", "angle")
-    long = stats.long_features(
-        df.filter(F.col("angle").isNotNull()), ["angle"], ["mean_amplitude", "peak_velocity"]
+    long = durable(
+        stats.long_features(
+            df.filter(F.col("angle").isNotNull()), ["angle"], ["mean_amplitude", "peak_velocity"]
+        )
     )
     ordinals = F.create_map(*[F.lit(x) for pair in N.ANGLE_ORDINALS.items() for x in pair])
     long = long.withColumn("ordinal", F.try_element_at(ordinals, F.col("angle")))
@@ -381,10 +385,12 @@ SELECT factor, round(median(value) FILTER (high), 8) AS high_median, round(media
     ),
 )
 def sq_high_low(spark, sf_dir):
-    df = feature_log(spark, sf_dir).filter(F.col("quality").isNotNull())
+    factors = ["mean_amplitude", "global_velocity", "arm_swing"]
+    log = feature_log(spark, sf_dir).select("quality", *factors)
+    df = durable(log.filter(F.col("quality").isNotNull()))
     med = exact_percentiles(df.select("quality"), [], "quality", {"m": 0.5}).scalar()
     split = df.withColumn("high", F.col("quality") >= med)
-    long = stats.long_features(split, ["high"], ["mean_amplitude", "global_velocity", "arm_swing"])
+    long = stats.long_features(split, ["high"], factors)
     meds = exact_percentiles(long, ["feature", "high"], "value", {"m": 0.5})
     wide = meds.groupBy(F.col("feature").alias("factor")).agg(
         F.max(F.when(F.col("high"), F.col("m"))).alias("high_median"),
@@ -412,7 +418,7 @@ SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho, corr(rx, ry) < -0.15 AS inf
     ),
 )
 def cv_cycle_check(spark, sf_dir):
-    df = feature_log(spark, sf_dir).select("total_cycles", "amplitude_cv")
+    df = durable(feature_log(spark, sf_dir).select("total_cycles", "amplitude_cv"))
     out = stats.spearman(df, [], "total_cycles", "amplitude_cv")
     inflated = (F.col("n") >= 10) & (F.col("p") < 0.05) & (F.col("rho") < -0.15)
     return out.select("n", F.round("rho", 8).alias("rho"), inflated.alias("inflated"))
@@ -471,7 +477,8 @@ def longitudinal_exclusion(spark, sf_dir):
 
 
 def _visit_wide(spark, sf_dir, feature="mean_amplitude"):
-    kept, _ = paired.one_video_per_visit(feature_log(spark, sf_dir), LONG_KEYS, "visit", "video")
+    log = durable(feature_log(spark, sf_dir).select("video", *LONG_KEYS, "visit", feature))
+    kept, _ = paired.one_video_per_visit(log, LONG_KEYS, "visit", "video")
     return paired.visit_wide(kept, LONG_KEYS, "visit", feature)
 
 
@@ -535,9 +542,11 @@ def wilcoxon_w(spark, sf_dir):
 
 @query("longitudinal_report")
 def longitudinal_report(spark, sf_dir):
-    kept, _ = paired.one_video_per_visit(feature_log(spark, sf_dir), LONG_KEYS, "visit", "video")
-    long = stats.long_features(kept, [*LONG_KEYS, "visit"], ["mean_amplitude", "peak_velocity"])
-    wide = paired.visit_wide(long, LONG_KEYS, "visit", "value", extra=["feature"])
+    values = ["mean_amplitude", "peak_velocity"]
+    log = durable(feature_log(spark, sf_dir).select("video", *LONG_KEYS, "visit", *values))
+    kept, _ = paired.one_video_per_visit(log, LONG_KEYS, "visit", "video")
+    long = stats.long_features(kept, [*LONG_KEYS, "visit"], values)
+    wide = durable(paired.visit_wide(long, LONG_KEYS, "visit", "value", extra=["feature"]))
     return paired.longitudinal_summary(wide, ["feature"])
 
 
@@ -610,7 +619,7 @@ def paired_t(spark, sf_dir):
 @query("medication_report")
 def medication_report(spark, sf_dir):
     pairs, _ = _pairs(spark, sf_dir)
-    return paired.medication_summary(pairs, ["mean_amplitude", "peak_velocity"])
+    return paired.medication_summary(durable(pairs), ["mean_amplitude", "peak_velocity"])
 
 
 @query(
@@ -627,7 +636,7 @@ SELECT 'mean_amplitude' AS feature, count(*) AS n, round(corr(a, b), 7) AS rho F
 )
 def score_response(spark, sf_dir):
     pairs, _ = _pairs(spark, sf_dir)
-    out = paired.score_response(pairs, ["mean_amplitude"], "score")
+    out = paired.score_response(durable(pairs), ["mean_amplitude"], "score")
     return out.select("feature", "n", F.round("rho", 7).alias("rho"))
 
 
@@ -650,7 +659,7 @@ def subgroup_deltas(spark, sf_dir):
     p = patients(spark, sf_dir).select(
         "patient", N.age_group(F.col("age")).alias("age_group"), N.gender(F.col("gender_code")).alias("gender")
     )
-    wide = _visit_wide(spark, sf_dir).join(p, "patient")
+    wide = durable(_visit_wide(spark, sf_dir).join(p, "patient").select("age_group", "gender", "d12"))
     out = paired.subgroup_deltas(wide, ["age_group", "gender"], "d12")
     return out.withColumns(
         {c: F.round(c, 6) for c in ("delta_mean", "delta_median", "delta_std", "effect_size")}

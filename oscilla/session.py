@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,27 +37,31 @@ def build_session(
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the session's checkpoint folder.
+
+    Only a local session without one gets a temporary folder of its own.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
-        context.setCheckpointDir(configured)
-        return
+        return configured
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="oscilla-"), "checkpoints"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="oscilla-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared folder as a table, cut its lineage and read it back.
 
-    Used where a later stage refers to the physical layout of an earlier one, so that a lost
-    executor can never make two branches of a plan disagree about that layout.
+    Used where several branches read one intermediate result, or where a later stage refers to the
+    physical layout of an earlier one: a lost executor can then neither repeat the work nor make
+    two branches disagree.  The table is columnar, so every branch reads only what it needs.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/oscilla-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_slices(spark: SparkSession) -> int:
