@@ -110,9 +110,9 @@ def top_loadings(loadings: DataFrame, n: int = 4) -> DataFrame:
 def _sums(features: Sequence[str], y: str) -> list[Column]:
     names = [*features, y]
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(c) for c in names]).alias("s"),
-        F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("q"),
+        F.count(F.lit(1)).alias("_n"),
+        F.array(*[F.sum(c) for c in names]).alias("_s"),
+        F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("_q"),
     ]
 
 
@@ -135,7 +135,7 @@ def loso_ridge(
     shifted = shifted.withColumns({f"_z_{c}": F.col(c) - F.col(f"_m.{c}") for c in (*features, y)})
     z = [f"_z_{c}" for c in features]
     per_subject = shifted.groupBy(subject).agg(*_sums(z, f"_z_{y}"))
-    total = shifted.agg(*_sums(z, f"_z_{y}")).select(F.struct("n", "s", "q")).scalar()
+    total = shifted.agg(*_sums(z, f"_z_{y}")).select(F.struct("_n", "_s", "_q")).scalar()
 
     def solve(
         n: pd.Series, s: pd.Series, q: pd.Series, tn: pd.Series, ts: pd.Series, tq: pd.Series
@@ -157,7 +157,7 @@ def loso_ridge(
 
     coefficients = per_subject.withColumn("_t", total).select(
         subject,
-        F.pandas_udf(solve, "array<double>")("n", "s", "q", "_t.n", "_t.s", "_t.q").alias("_b"),
+        F.pandas_udf(solve, "array<double>")("_n", "_s", "_q", "_t._n", "_t._s", "_t._q").alias("_b"),
     )
     joined = shifted.join(coefficients.filter(F.col("_b").isNotNull()), subject)
     fitted = reduce(

@@ -165,12 +165,12 @@ def angular_velocity(spark, sf_dir):
 , g AS (SELECT *, lag(value) OVER ({W}) AS p, lead(value) OVER ({W}) AS n FROM frames)
 , v AS (SELECT *, p - 2 * value + n AS den, value - 0.25 * (p - n) * (0.5 * (p - n) / nullif(p - 2 * value + n, 0)) AS vx FROM g)
 SELECT video, clip, frame_idx, round(CASE WHEN p IS NULL OR n IS NULL OR abs(den) < 1e-12
-   OR (value >= p AND value >= n AND vx < value) OR (value <= p AND value <= n AND vx > value) THEN value ELSE vx END, 4) AS vertex
+   OR (value >= p AND value >= n AND vx < value) OR (value <= p AND value <= n AND vx > value) THEN value ELSE vx END, 7) AS vertex
 FROM v""",
     ),
 )
 def parabolic(spark, sf_dir):
-    return _out(S.parabolic_vertex(frames(spark, sf_dir), "value", "vertex"), vertex=("vertex", 4))
+    return _out(S.parabolic_vertex(frames(spark, sf_dir), "value", "vertex"), vertex=("vertex", 7))
 
 
 _EXTREMA_SQL = f"""
