@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oscilla.functions import normalize as N
+from oscilla.operators.jobs import seeded_share
 from oscilla.operators.ordering import exact_percentiles, running_sum
 
 # Weights of the eligibility score.
@@ -117,8 +118,8 @@ def selection_threshold(
 
 def train_val_split(df: DataFrame, video: str, val_share: float, seed: int) -> DataFrame:
     """All frames of a recording fall on the same side, decided by a seeded hash of its id."""
-    spread = F.pmod(F.xxhash64(F.col(video), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return df.withColumn("split", F.when(spread < val_share, "val").otherwise("train"))
+    share = seeded_share(F.col(video), seed)
+    return df.withColumn("split", F.when(share < val_share, "val").otherwise("train"))
 
 
 # agreement of two detectors

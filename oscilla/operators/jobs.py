@@ -65,6 +65,12 @@ def proportional_slice(tasks: DataFrame, order: Sequence[str], start: float, sto
     ).drop("_i")
 
 
+def seeded_share(key: Column, seed: int) -> Column:
+    """Number in [0, 1) that depends on the key and the seed only."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def sample(tasks: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Seeded sample of n tasks: the n smallest hashes."""
-    return tasks.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return tasks.orderBy(seeded_share(F.col(key), seed), key).limit(n)

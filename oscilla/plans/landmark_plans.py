@@ -397,11 +397,25 @@ def main_track(spark, sf_dir):
     return tracking.main_track(tracking.rotation(tracked), FPS)
 
 
-@query("gap_fill")
+@query(
+    "gap_fill",
+    with_ctes(
+        "landmarks",
+        body="""
+, d AS (SELECT video, frame_idx // 2 AS f, frame_idx % 2 AS det_idx, CASE WHEN label % 2 = frame_idx % 2 THEN 'Left' ELSE 'Right' END AS hand,
+   lm[1].x + (frame_idx % 2) * 0.35 AS x, lm[1].y AS y FROM landmarks)
+, t AS (SELECT * FROM d WHERE det_idx = 0 AND f % 6 <> 2)
+, o AS (SELECT DISTINCT video, f FROM d WHERE (video, f) NOT IN (SELECT video, f FROM t))
+, n AS (SELECT o.video, o.f, arg_min({'x': t.x, 'y': t.y}, abs(t.f - o.f) * 1000 + t.f) AS ref FROM o JOIN t ON o.video = t.video AND abs(t.f - o.f) < 3 GROUP BY ALL)
+, c AS (SELECT d.video, d.f, d.det_idx, sqrt((d.x - ref.x)^2 + (d.y - ref.y)^2) * CASE WHEN hand <> 'Left' THEN 1.25 ELSE 1.0 END AS dist FROM d JOIN n USING (video, f))
+SELECT video, f AS frame_idx, arg_min(det_idx, dist) AS det_idx, round(min(dist), 8) AS fill_dist FROM c GROUP BY video, f HAVING min(dist) <= 0.12""",
+    ),
+)
 def gap_fill(spark, sf_dir):
     dets = detections(spark, sf_dir)
     track = dets.filter((F.col("det_idx") == 0) & (F.col("frame_idx") % 6 != 2))
-    return tracking.fill_gaps(track, dets, FPS, "Left").select("video", "frame_idx", "det_idx", "fill_dist")
+    filled = tracking.fill_gaps(track, dets, FPS, "Left")
+    return filled.select("video", "frame_idx", "det_idx", F.round("fill_dist", 8).alias("fill_dist"))
 
 
 @query("recording_features")

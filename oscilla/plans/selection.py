@@ -26,7 +26,34 @@ _PTS_SQL = """, pt AS (SELECT video, clip, epoch_us(ts) / 3.6e9 - 473352.0 AS t,
   FROM frames WHERE event_type IN ('click', 'view'))"""
 
 
-@query("extrema_match")
+# A pair that is the best of both its points is what the greedy order takes first; matching all such
+# pairs round by round, until none is left, gives the same matching.
+_MATCH_SQL = (
+    _PTS_SQL
+    + f"""
+, sides AS (SELECT video, clip, count(*) FILTER (side = 'det') AS nd, count(*) FILTER (side = 'man') AS nm FROM pt GROUP BY ALL)
+, num AS (SELECT *, row_number() OVER (PARTITION BY video, clip, side ORDER BY t) AS i FROM pt)
+, pairs AS (SELECT a.video, a.clip, a.i AS d, b.i AS m, abs(a.t - b.t) AS err FROM num a JOIN num b ON a.video = b.video AND a.clip = b.clip
+   AND a.side = 'det' AND b.side = 'man' AND abs(a.t - b.t) <= {TOL})
+, rounds AS (SELECT 0 AS r, video, clip, d, m, err, false AS hit FROM pairs UNION ALL
+   SELECT r + 1, video, clip, d, m, err, best FROM (
+     SELECT *, bool_or(best) OVER (PARTITION BY video, clip, d) AS kd, bool_or(best) OVER (PARTITION BY video, clip, m) AS km FROM (
+       SELECT r, video, clip, d, m, err, row_number() OVER (PARTITION BY video, clip, d ORDER BY err, d, m) = 1
+         AND row_number() OVER (PARTITION BY video, clip, m ORDER BY err, d, m) = 1 AS best FROM rounds WHERE NOT hit))
+   WHERE best OR NOT (kd OR km))
+, got AS (SELECT video, clip, count(*) AS tp, avg(err) AS e FROM rounds WHERE hit GROUP BY ALL)
+, res AS (SELECT video, clip, nd AS n_detected, nm AS n_manual, coalesce(tp, 0) AS tp, nd - coalesce(tp, 0) AS fp, nm - coalesce(tp, 0) AS fn,
+   round(coalesce(coalesce(tp, 0) / nullif(nd, 0), 0), 4) AS precision, round(coalesce(tp, 0) / nm, 4) AS recall,
+   round(coalesce(2 * (coalesce(tp, 0) / nd) * (coalesce(tp, 0) / nm) / nullif(coalesce(tp, 0) / nd + coalesce(tp, 0) / nm, 0), 0), 4) AS f1,
+   round(e, 4) AS mae_s, round(nd / nm, 4) AS count_ratio, nd - nm AS count_diff FROM sides LEFT JOIN got USING (video, clip) WHERE nm > 0)"""
+)
+
+
+def _match_sql(body: str) -> str:
+    return with_ctes("frames", body=_MATCH_SQL + body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("extrema_match", _match_sql(" SELECT * FROM res"))
 def extrema_match(spark, sf_dir):
     packed = _points(spark, sf_dir).groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "det", F.col("t")))).alias("det"),
@@ -35,12 +62,21 @@ def extrema_match(spark, sf_dir):
     return matching.cycle_accuracy(packed, KEYS, TOL)
 
 
-@query("accuracy_summary")
+@query(
+    "accuracy_summary",
+    _match_sql(
+        """ SELECT count(*) AS n_videos, round(avg(precision), 8) AS mean_precision, round(avg(recall), 8) AS mean_recall, round(avg(f1), 8) AS mean_f1, round(avg(mae_s), 8) AS mean_mae_s,
+  round(avg(count_ratio), 8) AS mean_count_ratio, round(avg(count_diff), 8) AS mean_count_diff, round(avg(mae_s) * 25, 7) AS mean_mae_frames FROM res"""
+    ),
+)
 def accuracy_summary(spark, sf_dir):
-    return matching.accuracy_summary(extrema_match(spark, sf_dir))
+    out = matching.accuracy_summary(extrema_match(spark, sf_dir))
+    return out.withColumns(
+        {c: F.round(c, 7 if c == "mean_mae_frames" else 8) for c in out.columns if c != "n_videos"}
+    )
 
 
-@query("worst_videos")
+@query("worst_videos", _match_sql(" SELECT * FROM res ORDER BY f1, video, clip LIMIT 5"))
 def worst_videos(spark, sf_dir):
     return matching.worst_videos(extrema_match(spark, sf_dir), KEYS)
 
@@ -141,7 +177,13 @@ def budget_threshold(spark, sf_dir):
     return curation.selection_threshold(scored, "ple", "frames", "video")
 
 
-@query("train_val_split")
+_SHARE_SQL = "CAST('0x' || substr(md5(CAST({k} AS VARCHAR) || ':42'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    "train_val_split",
+    f"SELECT o_orderkey AS video, o_custkey AS patient, CASE WHEN {_SHARE_SQL.format(k='o_custkey')} < 0.2 THEN 'val' ELSE 'train' END AS split FROM orders",
+)
 def train_val_split(spark, sf_dir):
     df = recording_logs(spark, sf_dir).select("video", "patient")
     return curation.train_val_split(df, "patient", 0.2, 42)
@@ -273,7 +315,10 @@ def retry_list(spark, sf_dir):
     return jobs.to_retry(recording_logs(spark, sf_dir), ["patient", "visit"])
 
 
-@query("seeded_sample")
+@query(
+    "seeded_sample",
+    f"SELECT o_orderkey AS video FROM orders ORDER BY {_SHARE_SQL.format(k='o_orderkey')}, o_orderkey LIMIT 100",
+)
 def seeded_sample(spark, sf_dir):
     return jobs.sample(recording_logs(spark, sf_dir).select("video"), "video", 100, 42)
 

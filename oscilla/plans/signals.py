@@ -162,15 +162,17 @@ def angular_velocity(spark, sf_dir):
     with_ctes(
         "frames",
         body=f"""
-, g AS (SELECT *, lag(value) OVER ({W}) AS p, lead(value) OVER ({W}) AS n FROM frames)
-, v AS (SELECT *, p - 2 * value + n AS den, value - 0.25 * (p - n) * (0.5 * (p - n) / nullif(p - 2 * value + n, 0)) AS vx FROM g)
+, s AS (SELECT video, clip, frame_idx, value / 7.0 AS c FROM frames)
+, g AS (SELECT *, lag(c) OVER ({W}) AS p, lead(c) OVER ({W}) AS n FROM s)
+, v AS (SELECT *, p - 2 * c + n AS den, c - 0.25 * (p - n) * (0.5 * (p - n) / nullif(p - 2 * c + n, 0)) AS vx FROM g)
 SELECT video, clip, frame_idx, round(CASE WHEN p IS NULL OR n IS NULL OR abs(den) < 1e-12
-   OR (value >= p AND value >= n AND vx < value) OR (value <= p AND value <= n AND vx > value) THEN value ELSE vx END, 7) AS vertex
+   OR (c >= p AND c >= n AND vx < c) OR (c <= p AND c <= n AND vx > c) THEN c ELSE vx END, 6) AS vertex
 FROM v""",
     ),
 )
 def parabolic(spark, sf_dir):
-    return _out(S.parabolic_vertex(frames(spark, sf_dir), "value", "vertex"), vertex=("vertex", 7))
+    scaled = frames(spark, sf_dir).withColumn("scaled", F.col("value") / 7.0)
+    return _out(S.parabolic_vertex(scaled, "scaled", "vertex"), vertex=("vertex", 6))
 
 
 _EXTREMA_SQL = f"""

@@ -540,6 +540,26 @@ def wilcoxon_w(spark, sf_dir):
     return out.select("n", "n_pairs", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"))
 
 
+@query(
+    "longitudinal_summary",
+    with_ctes(
+        "logs",
+        "cyclefeat",
+        "featlog",
+        body=_LONGI_SQL
+        + """ SELECT count(v1) AS n_visit1, count(v2) AS n_visit2, count(v3) AS n_visit3, count(v2 - v1) AS n_pairs_12, count(v3 - v2) AS n_pairs_23, count(v3 - v1) AS n_pairs_13,
+  count(v1 + v2 + v3) AS n_triplets, round(avg(coalesce((v3 - v1) / 2, v2 - v1, v3 - v2)), 7) AS slope_mean, round(avg(v2 - v1), 7) AS delta_mean_12,
+  round(median(v2 - v1), 7) AS delta_median_12, round(stddev_samp(v2 - v1), 7) AS delta_std_12, round(avg(v3 - v1) / stddev_samp(v3 - v1), 7) AS effect_size_13 FROM wide""",
+    ),
+)
+def longitudinal_summary(spark, sf_dir):
+    wide = durable(_visit_wide(spark, sf_dir).withColumn("feature", F.lit("mean_amplitude")))
+    out = paired.longitudinal_summary(wide, ["feature"])
+    rounded = ("slope_mean", "delta_mean_12", "delta_median_12", "delta_std_12", "effect_size_13")
+    counts = [c for c in out.columns if c.startswith("n_")]
+    return out.select(*counts, *[F.round(c, 7).alias(c) for c in rounded])
+
+
 @query("longitudinal_report")
 def longitudinal_report(spark, sf_dir):
     values = ["mean_amplitude", "peak_velocity"]
@@ -616,6 +636,29 @@ def paired_t(spark, sf_dir):
     return stats.paired_t(pairs, [], "mean_amplitude_delta").select("n", F.round("t", 7).alias("t"))
 
 
+_MED_LONG = """, d AS (SELECT 'mean_amplitude' AS feature, a_off AS off, a_on AS on_, a_on - a_off AS d FROM g WHERE n_off = 1 AND n_on = 1 AND a_on - a_off IS NOT NULL
+ UNION ALL SELECT 'score', s_off, s_on, s_on - s_off FROM g WHERE n_off = 1 AND n_on = 1 AND s_on - s_off IS NOT NULL)"""
+
+
+@query(
+    "medication_summary",
+    with_ctes(
+        "logs",
+        "cyclefeat",
+        "featlog",
+        body=_PAIR_SQL
+        + _MED_LONG
+        + """ SELECT feature, round(avg(off), 7) AS off_mean, round(avg(on_), 7) AS on_mean, count(*) AS n, round(avg(d), 7) AS delta_mean, round(stddev_samp(d), 7) AS delta_std,
+  round(median(d), 7) AS delta_median, round(avg(d) / nullif(stddev_samp(d), 0), 7) AS effect_size FROM d GROUP BY feature""",
+    ),
+)
+def medication_summary(spark, sf_dir):
+    pairs, _ = _pairs(spark, sf_dir)
+    out = paired.medication_summary(durable(pairs), ["mean_amplitude", "score"])
+    kept = out.drop("wilcoxon_p", "ttest_rel_p")
+    return kept.withColumns({c: F.round(c, 7) for c in kept.columns if c not in ("feature", "n")})
+
+
 @query("medication_report")
 def medication_report(spark, sf_dir):
     pairs, _ = _pairs(spark, sf_dir)

@@ -194,11 +194,12 @@ def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hands as two detections per frame, the second one shifted to the right."""
-    lm = landmarks(spark, sf_dir)
-    det = F.col("frame_idx") % 2
+    # renamed first: inside a lambda a column name would meet the new alias, not the old column
+    lm = landmarks(spark, sf_dir).withColumnRenamed("frame_idx", "slot")
+    det = F.col("slot") % 2
     return lm.select(
         "video",
-        F.floor(F.col("frame_idx") / 2).cast("long").alias("frame_idx"),
+        F.floor(F.col("slot") / 2).cast("long").alias("frame_idx"),
         det.alias("det_idx"),
         F.when(F.col("label") % 2 == det, "Left").otherwise("Right").alias("label"),
         (F.lit(0.5) + F.col("label") * 0.05).alias("score"),
