@@ -445,8 +445,8 @@ def recording_features(
     """One feature row per recording with enough cycles."""
     # five branches read the cleaned signals, so they are computed once
     packed = durable(prepare(frames, value, fps, wrist_z, settings))
-    extrema = half_cycles(packed, "band", "band_period", wrist_z, fps, settings)
-    cycles = cycle_table(build_cycles(extrema, fps, settings), packed, fps, settings)
+    extrema = durable(half_cycles(packed, "band", "band_period", wrist_z, fps, settings))
+    cycles = durable(cycle_table(build_cycles(extrema, fps, settings), packed, fps, settings))
     everything = S.cycle_features(cycles, start=F.col("lo") / fps)
     quality = (
         gated(cycles)

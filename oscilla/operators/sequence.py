@@ -62,6 +62,17 @@ def pack(df: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str]) -
 # gaps and smoothing
 
 
+def trim_to_valid(
+    df: DataFrame, value: str, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
+) -> DataFrame:
+    """Frames from the first to the last valid sample, missing ones in between included."""
+    valid = F.when(F.col(value).isNotNull(), F.col(idx))
+    staged = df.withColumns(
+        {"_lo": F.min(valid).over(_whole(keys)), "_hi": F.max(valid).over(_whole(keys))}
+    )
+    return staged.filter(F.col(idx).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
 def interpolate_gaps(
     df: DataFrame, value: str, out: str, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from oscilla.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["ingest", "cohort_reports", "signals", "statistics", "landmark_plans", "selection"]
+MODULES = ["ingest", "cohort_reports", "signals", "statistics", "landmark_plans", "selection", "end_to_end"]
 
 
 def _load() -> None:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oscilla.session import ship_package
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 PLANS: dict[str, Plan] = {}
@@ -16,7 +19,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     def register(plan: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"query {name} registered twice")
-        PLANS[name] = plan
+
+        @wraps(plan)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return plan(spark, sf_dir)
+
+        PLANS[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return plan

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # capturing a Python call site per expression dominates the time to build wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -37,6 +41,26 @@ def build_session(
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Arrow kernels refer to its modules, and a worker need not share the driver's import path.
+    """
+    context = spark.sparkContext
+    source = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not source.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="oscilla-")) / f"{source.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for file in sorted(source.rglob("*.py")):
+            bundle.write(file, file.relative_to(source.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's checkpoint folder.
 
