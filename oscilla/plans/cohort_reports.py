@@ -85,7 +85,7 @@ def condition_collapse(spark, sf_dir):
     )
 
 
-def _z(feature: str, sign: str) -> str:
+def zscore_sql(feature: str, sign: str) -> str:
     return f"{sign}({feature} - (SELECT avg({feature}) FROM h)) / (SELECT stddev_samp({feature}) FROM h)"
 
 
@@ -97,7 +97,7 @@ def _z(feature: str, sign: str) -> str:
         "featlog",
         body=f"""
 , h AS (SELECT * FROM featlog WHERE score = 0)
-SELECT video, round(({_z('mean_amplitude', '-')} + {_z('peak_velocity', '-')} + {_z('mean_velocity', '-')}) / 3, 6)
+SELECT video, round(({zscore_sql('mean_amplitude', '-')} + {zscore_sql('peak_velocity', '-')} + {zscore_sql('mean_velocity', '-')}) / 3, 6)
   AS composite_score FROM featlog""",
     ),
 )
@@ -114,8 +114,8 @@ def composite_score(spark, sf_dir):
         "featlog",
         body=f"""
 , h AS (SELECT * FROM featlog WHERE score = 0)
-SELECT video, round((2 * {_z('peak_velocity', '-')} + 1.5 * {_z('mean_amplitude', '-')} + 1.5 * {_z('global_velocity', '-')}
-  + {_z('rhythm_cv', '')} + {_z('pause_time_ratio', '')} + 0.5 * {_z('arm_swing', '')}) / 7.5, 6) AS clinical_composite_v2
+SELECT video, round((2 * {zscore_sql('peak_velocity', '-')} + 1.5 * {zscore_sql('mean_amplitude', '-')} + 1.5 * {zscore_sql('global_velocity', '-')}
+  + {zscore_sql('rhythm_cv', '')} + {zscore_sql('pause_time_ratio', '')} + 0.5 * {zscore_sql('arm_swing', '')}) / 7.5, 6) AS clinical_composite_v2
 FROM featlog""",
     ),
 )
