@@ -17,7 +17,9 @@ TOL = 6.0  # hours in the event-table role
 def _points(spark, sf_dir):
     """Clicks as detected and views as annotated events, in hours."""
     f = frames(spark, sf_dir, ("event_type",))
-    hours = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352.0
+    # a difference of two zone-free timestamps does not depend on the session time zone
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    hours = micros / 3.6e9 - 473352.0
     side = F.when(F.col("event_type") == "click", "det").when(F.col("event_type") == "view", "man")
     return f.select(*KEYS, hours.alias("t"), side.alias("side")).filter(F.col("side").isNotNull())
 
@@ -109,7 +111,7 @@ def hausdorff_w1(spark, sf_dir):
     with_ctes(
         "frames",
         body=_PTS_SQL
-        + " SELECT video, clip, len(list(DISTINCT round(t, 6))) AS n, round(list_sum(list(DISTINCT round(t, 6))), 4) AS total FROM pt GROUP BY ALL",
+        + " SELECT video, clip, len(list(DISTINCT round(t, 6))) AS n, round(list_sum(list(DISTINCT round(t, 6))), 6) AS total FROM pt GROUP BY ALL",
     ),
 )
 def extrema_union(spark, sf_dir):
@@ -117,7 +119,7 @@ def extrema_union(spark, sf_dir):
     merged = matching.merge_extrema(lists, KEYS, "times")
     return merged.select(
         *KEYS, F.size("times").alias("n"),
-        F.round(F.aggregate("times", F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
+        F.round(F.aggregate("times", F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
     )
 
 
