@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fit, on a bounded, hash-chosen sample of the labelled rows (``at_most``): the terms most associated
-with the label (chi-squared over documents, ``terms`` of them) form the vocabulary; document
+Fit, on a bounded, hash-chosen sample of the labelled rows (``at_most``): the words and
+beginnings of words most associated with the label (chi-squared over documents, at most ``terms``, and
+none that explains less than ``LEAST_SHARE`` of it) form the vocabulary; document
 frequencies for the inverse weights are counted over all documents; the examples go into an inverted
 index whose postings are cut into blocks of examples with the largest weight of each term in each block.
 The index is bounded by its two parameters and is the only broadcast.
@@ -9,9 +10,8 @@ The index is bounded by its two parameters and is the only broadcast.
 Scoring reads every whole text: the bound of a block is the sum of the text's weights times the block's
 largest weights.  The most promising blocks are scored first; a block is skipped only if its bound is
 below the k-th best cosine found, so the neighbours are exact.  Ties go to the smaller example number.
-Neighbours vote with their cosine, each label divided by its share of the examples; examples that
-share no term have cosine zero and no vote, and one pseudo-vote for the commoner label stands against
-chance likenesses.  The share of the vote is mapped to a probability by a logistic curve fitted on the
+Neighbours vote with their cosine; examples that share no term have cosine zero and no vote, and a
+pseudo-vote for label 0 stands against chance likenesses.  The share of the vote is mapped to a probability by a logistic curve fitted on the
 examples, each scored without itself.
 
 Cases: null and empty texts, and texts without a term of the vocabulary, have no neighbours and get
@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +40,38 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 20_000, 256, 64, 15
 # terms that explain less of the label than this share of its variance are left out beyond the first few:
 # copies of single documents make them look significant
-LEAST_TERMS, LEAST_SHARE = 5, 0.02
+LEAST_TERMS, LEAST_SHARE = 5, 0.01
+STEMS, MEMO = (4, 5, 6, 7), 500_000
 PSEUDO = 0.5
 
 
-def term_counts(text: str, number: dict[str, int]) -> dict[int, int]:
-    """How often each term of the vocabulary occurs in a text."""
-    found = Counter(map(number.get, WORD.findall(text.lower())))
-    found.pop(None, None)
-    return found
+def units(word: str) -> list[str]:
+    """A word and its longer beginnings, so that a stem is one term whatever endings it takes."""
+    return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
+
+
+class Vocabulary(dict):
+    """Terms of each word, found when the word is first met; the memory starts anew when it is full."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > MEMO:
+            self.clear()
+        found = self[word] = tuple(n for n in map(self.number.get, units(word)) if n is not None)
+        return found
+
+    def counts(self, text: str) -> dict[int, int]:
+        """How often each term occurs in a text."""
+        return Counter(chain.from_iterable(map(self.__getitem__, WORD.findall(text.lower()))))
 
 
 @dataclass(frozen=True)
 class Index:
     """Block-max inverted index over the examples."""
 
-    number: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -65,7 +82,7 @@ class Index:
     block: int = BLOCK
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = term_counts(text, self.number)
+        found = self.vocabulary.counts(text)
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         terms = np.fromiter(found.keys(), np.int64, len(found))
@@ -110,12 +127,9 @@ class Index:
         return best_docs, best
 
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float:
-        """Share of the label 1 in the votes, each label divided by its share of the examples."""
+        """Share of the label 1 in the votes and the pseudo-vote."""
         ones = float(scores[self.labels[docs] == 1].sum())
-        zeros = float(scores[self.labels[docs] == 0].sum())
-        share = max(float(self.labels.mean()), 1e-9)
-        up, down = ones / share, zeros / max(1 - share, 1e-9)
-        return up / (up + down + PSEUDO / max(1 - share, 1e-9))
+        return ones / (float(scores.sum()) + PSEUDO)
 
 
 def build(number: dict[str, int], df: np.ndarray, total: int, examples: list[tuple[int, dict[int, int], int]], block: int = BLOCK) -> Index:
@@ -140,19 +154,17 @@ def build(number: dict[str, int], df: np.ndarray, total: int, examples: list[tup
     if len(terms):
         np.maximum.at(peak, (terms, docs // block), weights)
     return Index(
-        number, idf, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], np.int64), start, docs, weights, peak, block
+        Vocabulary(number), idf, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], np.int64), start, docs, weights, peak, block
     )
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve by Newton's method, both labels counting alike in all."""
-    share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    """Slope and intercept of a logistic curve by Newton's method."""
     design, beta = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (weight * (p - y)) + 1e-3 * beta
-        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grad = design.T @ (p - y) + 1e-3 * beta
+        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         beta = beta - np.clip(np.linalg.solve(hess, grad), -5, 5)
     return float(beta[0]), float(beta[1])
 
@@ -165,7 +177,7 @@ def choose_terms(examples: DataFrame, terms: int) -> list[str]:
             seen: dict[str, list[int]] = {}
             labels = batch.column(1).to_pylist()
             for t, y in zip(texts_of(batch.column(0)), labels, strict=True):
-                for word in set(WORD.findall(t.lower())):
+                for word in {u for w in set(WORD.findall(t.lower())) for u in units(w)}:
                     seen.setdefault(word, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())],
@@ -188,10 +200,10 @@ def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) ->
     """In how many of all documents each term occurs, and how many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(len(number), np.int64)
+        total, df, vocabulary = 0, np.zeros(len(number), np.int64), Vocabulary(number)
         for batch in batches:
             for t in texts_of(batch.column(0)):
-                df[list(term_counts(t, number))] += 1
+                df[list(vocabulary.counts(t))] += 1
             total += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(number))), pa.array(np.append(total, df))], ["term", "n"])
 
@@ -207,13 +219,16 @@ def fit(
     known = hash_sample(labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()), F.col(ident), at_most)
     known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
     examples = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(known, "id")
+    # a text that was labelled several times is one example
+    examples = examples.groupBy("text").agg(F.min(F.struct("id", "y")).alias("e")).select("e.id", "text", "e.y")
     words = choose_terms(examples, terms)
     number = {w: i for i, w in enumerate(words)}
     df, total = document_frequencies(docs, number, text)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(number)
         for batch in batches:
-            found = [term_counts(t, number) for t in texts_of(batch.column(1))]
+            found = [vocabulary.counts(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
                 ["id", "y", "terms", "tf"],
