@@ -40,8 +40,8 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 20_000, 256, 64, 15
 # terms that explain less of the label than this share of its variance are left out beyond the first few:
 # copies of single documents make them look significant
-LEAST_TERMS, LEAST_SHARE = 5, 0.01
-STEMS, MEMO = (4, 5, 6, 7), 500_000
+LEAST_TERMS, LEAST_SHARE, CANDIDATES = 5, 0.01, 16
+STEMS, MEMO = (3, 4, 5, 6, 7), 500_000
 PSEUDO = 0.5
 
 
@@ -192,8 +192,21 @@ def choose_terms(examples: DataFrame, terms: int) -> list[str]:
     counted = counted.groupBy("word").agg(F.sum("zeros").alias("c"), F.sum("ones").alias("a")).filter("a + c >= 3")
     a, c, b, d = F.col("a").cast("double"), F.col("c").cast("double"), F.lit(float(ones)) - F.col("a"), F.lit(float(n - ones)) - F.col("c")
     chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * F.greatest(b + d, F.lit(1.0)))
-    top = counted.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(terms).collect()
-    return sorted(r["word"] for i, r in enumerate(top) if i < LEAST_TERMS or r["chi"] >= LEAST_SHARE * n)
+    top = counted.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(CANDIDATES * terms).collect()
+    strong = {r["word"]: r["chi"] for i, r in enumerate(top) if i < LEAST_TERMS or r["chi"] >= LEAST_SHARE * n}
+    return sorted(sorted(best_of_stems(strong), key=lambda w: (-strong[w], w))[:terms])
+
+
+def best_of_stems(strong: dict[str, float]) -> list[str]:
+    """Terms that are stronger than every beginning of theirs, and that no term they begin surpasses."""
+    kept: list[str] = []
+    for word in sorted(strong, key=lambda w: (-strong[w], -len(w.rstrip("*")), w)):
+        bare = word.rstrip("*")
+        if not any(bare.startswith(k.rstrip("*")) if k.endswith("*") else word.endswith("*") and k.startswith(bare) for k in kept) and not any(
+            word.endswith("*") and k.rstrip("*").startswith(bare) for k in kept
+        ):
+            kept.append(word)
+    return kept
 
 
 def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) -> tuple[np.ndarray, int]:
