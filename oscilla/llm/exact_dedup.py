@@ -110,7 +110,8 @@ def exact_groups(
     # full bytes of every group with a hit: all equal if the least and the greatest are
     shared = held.filter("group_size > 1").select("digest")
     hits = durable(arrivals.join(shared, "digest", "left_semi").select(FILE, ROW, "digest"))
-    texts = placed.join(hits, [FILE, ROW])
+    # texts are dealt by their place at every size, so that the plan doesn't change where hits outgrow a broadcast
+    texts = placed.join(hits.hint("merge"), [FILE, ROW])
     mixed = durable(
         texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest")
     )
@@ -131,4 +132,4 @@ def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     docs = on_file(docs)
     groups = exact_groups(docs, text, ident)
     dropped = durable(groups.filter(~F.col("kept")).select(FILE, ROW))
-    return with_locator(docs).join(dropped, [FILE, ROW], "left_anti").select(docs.columns)
+    return with_locator(docs).join(dropped.hint("merge"), [FILE, ROW], "left_anti").select(docs.columns)

@@ -225,4 +225,4 @@ def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 2, text: str
     """``docs`` with one document, that of the smallest identifier, of each group."""
     docs = on_file(docs)
     dropped = durable(near_groups(docs, words, radius, text, ident).filter(~F.col("kept")).select(FILE, ROW))
-    return with_locator(docs).join(dropped, [FILE, ROW], "left_anti").select(docs.columns)
+    return with_locator(docs).join(dropped.hint("merge"), [FILE, ROW], "left_anti").select(docs.columns)
