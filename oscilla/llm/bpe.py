@@ -22,7 +22,7 @@ CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 RAW = "\0"  # a key that starts so stands for the rest of it, one that starts with \n for itself, any other for " " + key
 # a key whose cuts on both sides are ones that the pattern makes too
 PLAIN = re.compile(r"[\0\n]?(?=\S)[^\0\n]*(?<=\S)")
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 @lru_cache(maxsize=4)

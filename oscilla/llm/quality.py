@@ -22,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscilla.llm.common import hash_sample, held_fold
+from oscilla.llm.common import hash_sample, held_fold, texts_of
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS, PAIR, SAME = 18, np.uint64(0x9E3779B97F4A7C15), 1
 MAX_ROWS = 20_000
-MEMO = 500_000
+MEMO = 200_000
 
 _codes: dict[str, int] = {}
 
@@ -57,8 +58,15 @@ def features(text: str, bits: int = BITS) -> tuple[np.ndarray, float]:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64), 1 / math.sqrt(len(tokens))
 
 
+def example(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their values; the last feature is the bias."""
+    at, value = features(text, bits)
+    at, counts = np.unique(at, return_counts=True)
+    return np.append(at, 1 << bits).astype(np.int32), np.append(counts * value, 1.0).astype(np.float32)
+
+
 def train(
-    examples: list[tuple[str, int]], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3
+    examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3
 ) -> np.ndarray:
     """Weights after ``epochs`` passes of per-coordinate FTRL-proximal; the last one is the bias.
 
@@ -71,18 +79,13 @@ def train(
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    ones = sum(y for _, y in examples)
+    ones = sum(y for *_, y in examples)
     balance = {1: len(examples) / (2 * max(ones, 1)), 0: len(examples) / (2 * max(len(examples) - ones, 1))}
-    rows = []
-    for text, y in examples:
-        at, value = features(text, bits)
-        at, counts = np.unique(at, return_counts=True)
-        rows.append((np.append(at, size - 1), np.append(counts * value, 1.0), y))
     for _ in range(epochs):
-        for at, x, y in rows:
+        for at, x, y in examples:
             w = weight(at)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w @ x)))))
-            g = (p - y) * x * balance[y]
+            g = (p - y) * x.astype(np.float64) * balance[y]
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - step * w
             n[at] += g * g
@@ -90,19 +93,34 @@ def train(
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", ident: str = "doc_id", at_most: int = MAX_ROWS) -> np.ndarray:
-    """Train on at most about ``at_most`` labelled rows; ``labels`` has ``ident`` and ``label``."""
+    """Train on at most about ``at_most`` labelled rows; ``labels`` has ``ident`` and ``label``.
+
+    Features are found where the texts are; the one task that trains reads only those.
+    """
     known = hash_sample(labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()), F.col(ident), at_most)
     known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(known, "id")
-
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        # the order of learning is fixed by a hash, not by where rows come from
-        key = [zlib.crc32(f"{i}".encode()) for i in frame["id"]]
-        frame = frame.assign(key=key).sort_values(["key", "id"])
-        weights = train(list(zip(frame["text"], frame["y"].tolist(), strict=True)))
-        return pd.DataFrame({"weights": [weights.tobytes()]})
-
-    found = rows.groupBy().applyInPandas(learn, "weights binary").collect()
+    rows = rows.select(F.crc32(F.col("id").cast("string").cast("binary")).alias("key"), F.xxhash64("text").alias("tie"), "y", "text")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [example(t) for t in texts_of(batch.column(3))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))],
+                ["key", "tie", "y", "at", "x"],
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            for at, x, y in zip(batch.column(3), batch.column(4), batch.column(2).to_pylist(), strict=True):
+                examples.append((at.values.to_numpy(), x.values.to_numpy(), y))
+        if examples:
+            yield pa.RecordBatch.from_arrays([pa.array([train(examples).tobytes()], pa.binary())], ["weights"])
+
+    made = rows.mapInArrow(extract, "key long, tie long, y int, at array<int>, x array<float>")
+    # the order of learning is fixed by a hash, not by where rows come from
+    found = made.repartition(1).sortWithinPartitions("key", "tie").mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
