@@ -52,7 +52,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", ident: str = "doc_i
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + size - 1)))).alias("gone"))
     )
     lines = F.split("text", "\n", -1)
-    marked = placed.join(covered, [FILE, ROW], "left").withColumn("gone", F.map_from_arrays("gone", "gone"))
+    marked = placed.join(covered.hint("merge"), [FILE, ROW], "left").withColumn("gone", F.map_from_arrays("gone", "gone"))
     stay = F.filter(lines, lambda _, i: ~F.coalesce(F.map_contains_key("gone", i), F.lit(False)))
     return marked.select(
         "id",
