@@ -13,8 +13,6 @@ class Settings:
     """Defaults are fixed values: results depend on them."""
 
     base_fps: float = 25.0
-    # a recording holds at most ten seconds of task at the base rate
-    max_frames: int = 250
 
     # association of detections to tracks
     match_thresh: float = 0.08
@@ -84,8 +82,8 @@ class Settings:
     label_padding: float = 0.15
 
     def __post_init__(self) -> None:
-        if self.base_fps <= 0 or self.max_frames < 1:
-            raise ValueError("base_fps and max_frames must be positive")
+        if self.base_fps <= 0:
+            raise ValueError("base_fps must be positive")
         if not 0 <= self.cycle_nan_threshold <= 1:
             raise ValueError("cycle_nan_threshold must lie in [0, 1]")
         if self.freq_low_hz >= self.freq_high_hz:

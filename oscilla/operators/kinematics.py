@@ -356,6 +356,7 @@ def build_cycles(
         .select(
             *keys,
             (F.col("cycle_no") - F.col("_skip")).alias("cycle_no"),
+            "etype",
             "lo",
             "hi",
             "amplitude",
@@ -389,6 +390,7 @@ def cycle_table(
     return joined.select(
         *KEYS,
         "cycle_no",
+        "etype",
         "lo",
         "hi",
         "amplitude",
@@ -406,6 +408,28 @@ def gated(df: DataFrame) -> DataFrame:
     return df.withColumn("_u", n).filter(F.col("usable") | (F.col("_u") < 2)).drop("_u")
 
 
+def velocity_features(cycles: DataFrame) -> DataFrame:
+    """Variation and slope of the cycle velocities, over the usable cycles in their order."""
+    order = Window.partitionBy(*KEYS).orderBy("cycle_no")
+    rows = gated(cycles).withColumn("_x", F.row_number().over(order).cast("double"))
+    n = F.count(F.lit(1))
+
+    def cv(c: str) -> Column:
+        return F.when((n >= 2) & (F.avg(c) > 1e-9), F.stddev_samp(c) / F.avg(c) * 100.0)
+
+    def slope(c: str) -> Column:
+        return F.when(n >= 3, F.regr_slope(F.col(c), F.col("_x")))
+
+    steady = (n >= 3) & (F.avg("peak_velocity") > 1e-9)
+    return rows.groupBy(*KEYS).agg(
+        cv("peak_velocity").alias("peak_velocity_cv"),
+        cv("mean_velocity").alias("mean_velocity_cv"),
+        F.when(steady, slope("peak_velocity")).alias("raw_velocity_slope"),
+        slope("mean_velocity").alias("raw_speed_slope"),
+        S.clip_slope(F.when(steady, slope("peak_velocity")), F.avg("peak_velocity"), 1e-9).alias("norm_velocity_decrement_slope"),
+    )
+
+
 def prepare(
     frames: DataFrame, value: str, fps: float, wrist_z: str | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -470,15 +494,21 @@ def recording_features(
     speeds = F.transform("_seq", lambda s: s["v"])
     kept = [
         "total_cycles", "mean_frequency", "avg_cycle_duration", "rhythm_cv", "cycle_duration_cv",
-        "raw_amp_slope", "norm_decrement_slope", "raw_cycle_duration_slope", "norm_ti_slope",
-        "peak_velocity_cv", "raw_velocity_slope", "norm_velocity_decrement_slope", "amp_vel_coupling",
+        "raw_amp_slope", "norm_decrement_slope", "raw_cycle_duration_slope", "norm_ti_slope", "amp_vel_coupling",
     ]
+    velocities = velocity_features(cycles)
     halves = half_cycles(packed, "low", "low_period", wrist_z, fps, settings, margin=None)
     w = Window.partitionBy(*KEYS).orderBy("frame_idx")
     intervals = halves.select(
         *KEYS, ((F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps).alias("interval_s")
     ).filter(F.col("interval_s").isNotNull())
-    pauses = S.interruptions(intervals, "interval_s", KEYS, settings)
+    pauses = S.interruptions(intervals, "interval_s", KEYS, settings).drop("num_interruptions")
+    # interruptions are whole cycles of more than twice the median: the anchors of the chosen type
+    anchors = extrema.join(cycles.select(*KEYS, "etype").distinct(), [*KEYS, "etype"])
+    whole_cycles = anchors.select(
+        *KEYS, ((F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps).alias("interval_s")
+    ).filter(F.col("interval_s").isNotNull())
+    stops = S.interruptions(whole_cycles, "interval_s", KEYS, settings).select(*KEYS, "num_interruptions")
     whole = packed.select(
         *KEYS,
         array_mean(F.col("speed")).alias("global_velocity"),
@@ -496,12 +526,16 @@ def recording_features(
         .join(whole, KEYS)
         .join(peaks, KEYS, "left")
         .join(pauses, KEYS, "left")
+        .join(stops, KEYS, "left")
+        .join(velocities, KEYS)
     )
     scored = joined.select(
         *KEYS,
         *kept,
         "quality_cycles", "mean_amplitude", "amplitude_cv", "peak_velocity", "mean_velocity",
         "hilbert_amplitude", "global_velocity", "sample_entropy",
+        "peak_velocity_cv", "mean_velocity_cv", "raw_velocity_slope", "raw_speed_slope",
+        "norm_velocity_decrement_slope",
         S.decrement_onset(amps).alias("amp_decrement_onset"),
         S.sequence_effect_pct(amps).alias("amp_decrement_pct"),
         S.decrement_onset(speeds).alias("velocity_decrement_onset"),

@@ -195,18 +195,12 @@ def to_recordings(
     df: DataFrame,
     stream: Sequence[str],
     order: Sequence[str],
-    max_frames: int,
     slices: int | None = None,
 ) -> DataFrame:
-    """Number the samples of each stream and cut it into recordings of at most ``max_frames``.
+    """Number the samples of each stream; a stream is one whole recording, whatever its length.
 
-    Adds ``clip`` and ``frame_idx``.  Every later signal operator groups by (stream, clip), a
-    group that is bounded by construction, so neither a window nor a grouped kernel can meet a
-    hot key.
+    Adds ``clip``, which is 0, and ``frame_idx``.  Nothing is cut here: a gap, a cycle or an event is
+    never torn.  Callers that have recordings of their own pass their keys as ``stream``.
     """
-    numbered = number_rows(df, stream, order, "_seq", slices)
-    return numbered.select(
-        *[c for c in numbered.columns if c != "_seq"],
-        F.floor(F.col("_seq") / max_frames).cast("long").alias("clip"),
-        (F.col("_seq") % max_frames).cast("long").alias("frame_idx"),
-    )
+    numbered = number_rows(df, stream, order, "frame_idx", slices)
+    return numbered.withColumn("clip", F.lit(0).cast("long"))

@@ -106,7 +106,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool =
         counts = pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
         rx = _rank_table(counts, keys, x).select(*keys, x, F.col("rank").alias("_rx"))
         ry = _rank_table(counts, keys, y).select(*keys, y, F.col("rank").alias("_ry"))
-        ranked = counts.join(rx, [*keys, x]).join(ry, [*keys, y])
+        ranked = null_safe_join(null_safe_join(counts, rx, [*keys, x]), ry, [*keys, y])
     n, mean = F.sum("n"), (F.sum("n") + 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
         n.alias("n"),
@@ -127,7 +127,7 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     """Tie-corrected Kruskal-Wallis H over the groups with at least two values."""
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, group, value)
     sizes = clean.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") >= 2)
-    kept = clean.join(sizes.select(*keys, group), [*keys, group], "left_semi")
+    kept = null_safe_join(clean, sizes.select(*keys, group), [*keys, group])
     if groups_bounded(clean, keys):
         peers = F.count(F.lit(1)).over(Window.partitionBy(*_parts(keys)).orderBy(value).rangeBetween(0, 0))
         rows = kept.select(*keys, group, window_rank(keys, value).alias("rank"), peers.cast("double").alias("ties"))
@@ -141,7 +141,7 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
         counts = kept.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n"))
         ranks = _rank_table(counts, keys, value)
         per_group = (
-            counts.join(ranks, [*keys, value])
+            null_safe_join(counts, ranks, [*keys, value])
             .groupBy(*keys, group)
             .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
         )
@@ -151,7 +151,10 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     totals = per_group.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.sum(F.col("_r") * F.col("_r") / F.col("_g")).alias("_s")
     )
-    joined = totals.join(ties, [*keys]) if keys else totals.join(ties, F.lit(True))
+    if keys:
+        joined = null_safe_join(totals, ties, keys)
+    else:
+        joined = totals.withColumns({c: ties.select(c).scalar() for c in ("_t", "n")})
     n = F.col("n").cast("double")
     raw = 12.0 / (n * (n + 1)) * F.col("_s") - 3.0 * (n + 1)
     correction = 1.0 - F.col("_t") / F.nullif(n * n * n - n, F.lit(0.0))
@@ -547,17 +550,16 @@ def ancova(
             a, b = (a, b) if (a, b) in pairs else (b, a)
             return F.col(f"{prefix}_s_{a}__{b}")
 
-        syy = s(value, value)
-        if not covariates:
-            return syy
-        if len(covariates) == 1:
-            (x,) = covariates
-            return syy - s(value, x) * s(value, x) / F.nullif(s(x, x), F.lit(0.0))
-        x, z = covariates
-        det = F.nullif(s(x, x) * s(z, z) - s(x, z) * s(x, z), F.lit(0.0))
-        bx = (s(value, x) * s(z, z) - s(value, z) * s(x, z)) / det
-        bz = (s(value, z) * s(x, x) - s(value, x) * s(x, z)) / det
-        return syy - bx * s(value, x) - bz * s(value, z)
+        # eliminate one covariate after the other; one that is constant, or made of others, explains nothing
+        left = {(a, b): s(a, b) for a in variables for b in variables}
+        for i, x in enumerate(covariates):
+            rest = [value, *covariates[i + 1 :]]
+            pivot = left[x, x]
+            usable = pivot > 1e-10 * s(x, x)
+            left = {
+                (a, b): F.when(usable, left[a, b] - left[a, x] * left[x, b] / pivot).otherwise(left[a, b]) for a in rest for b in rest
+            }
+        return left[value, value]
 
     d1 = F.col("k") - 1
     d2 = F.col("n") - F.col("k") - len(covariates)

@@ -14,7 +14,8 @@ from oscilla.config import DEFAULTS
 from oscilla.functions import normalize
 from oscilla.operators.ordering import to_recordings
 
-MAX_FRAMES = DEFAULTS.max_frames
+# embeddings have no recording of their own: so many in a row play one
+LANDMARK_FRAMES = 250
 FEATURES = [
     "mean_amplitude",
     "peak_velocity",
@@ -129,10 +130,8 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(
-    spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = (), max_frames: int = MAX_FRAMES
-) -> DataFrame:
-    """events as frame-ordered signals, cut into bounded recordings (video, clip).
+def frames(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """events as frame-ordered signals, one whole recording (video, clip) per user.
 
     ``gap`` marks samples the tracker lost; ``seen`` is the sample with those set to NULL.
     """
@@ -143,13 +142,13 @@ def frames(
         "value",
         *[F.col(c) for c in columns],
     )
-    numbered = to_recordings(e, ["video"], ["ts", "event_id"], max_frames)
+    numbered = to_recordings(e, ["video"], ["ts", "event_id"])
     gap = F.col("event_id") % 7 == 3
     return numbered.withColumn("seen", F.when(~gap, F.col("value")))
 
 
-def cycles(spark: SparkSession, sf_dir: str, max_frames: int = MAX_FRAMES) -> DataFrame:
-    """lineitem as the ordered cycles of a recording, cut into bounded recordings."""
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as the ordered cycles of a recording, one whole recording per order."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("video"),
         "l_shipdate",
@@ -161,7 +160,7 @@ def cycles(spark: SparkSession, sf_dir: str, max_frames: int = MAX_FRAMES) -> Da
         (F.col("l_extendedprice") / 97.0).alias("peak_velocity"),
     )
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "amplitude", "interval_s"]
-    numbered = to_recordings(li, ["video"], order, max_frames)
+    numbered = to_recordings(li, ["video"], order)
     return numbered.select(
         "video", "clip", F.col("frame_idx").alias("cycle_no"), "amplitude", "interval_s", "peak_velocity"
     )
@@ -185,8 +184,8 @@ def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return e.select(
-        F.floor(F.col("vec_id") / MAX_FRAMES).cast("long").alias("video"),
-        (F.col("vec_id") % MAX_FRAMES).cast("long").alias("frame_idx"),
+        F.floor(F.col("vec_id") / LANDMARK_FRAMES).cast("long").alias("video"),
+        (F.col("vec_id") % LANDMARK_FRAMES).cast("long").alias("frame_idx"),
         F.col("label"),
         points.alias("lm"),
     )
@@ -251,15 +250,15 @@ patients AS (
   SELECT c_custkey AS patient, CAST(20 + c_custkey % 70 AS DOUBLE) AS age,
          CAST(c_custkey % 2 + 1 AS DOUBLE) AS gender_code, c_mktsegment AS segment,
          c_nationkey AS site, c_acctbal AS balance FROM customer)""",
-    "frames": f"""
+    "frames": """
 frames AS (
-  SELECT *, rn // {MAX_FRAMES} AS clip, rn % {MAX_FRAMES} AS frame_idx,
+  SELECT *, CAST(0 AS BIGINT) AS clip, rn AS frame_idx,
          CASE WHEN event_id % 7 <> 3 THEN value END AS seen
   FROM (SELECT user_id AS video, ts, event_id, value, event_type, props,
                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events))""",
-    "cycles": f"""
+    "cycles": """
 cycles AS (
-  SELECT video, rn // {MAX_FRAMES} AS clip, rn % {MAX_FRAMES} AS cycle_no, amplitude, interval_s, peak_velocity
+  SELECT video, CAST(0 AS BIGINT) AS clip, rn AS cycle_no, amplitude, interval_s, peak_velocity
   FROM (SELECT l_orderkey AS video, l_quantity AS amplitude, l_extendedprice / 9973.0 AS interval_s,
                l_extendedprice / 97.0 AS peak_velocity,
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey,
@@ -267,7 +266,7 @@ cycles AS (
         FROM lineitem))""",
     "landmarks": f"""
 landmarks AS (
-  SELECT vec_id // {MAX_FRAMES} AS video, vec_id % {MAX_FRAMES} AS frame_idx, label,
+  SELECT vec_id // {LANDMARK_FRAMES} AS video, vec_id % {LANDMARK_FRAMES} AS frame_idx, label,
          list_transform(range(0, 21), lambda i: {{
            'x': 0.3 + i * 0.02 + CAST(embedding[3 * i + 1] AS DOUBLE) * 0.03 + CASE WHEN label = 9 THEN 0.285 ELSE 0.0 END,
            'y': 0.3 + (i * 7 % 21) * 0.015 + CAST(embedding[3 * i + 2] AS DOUBLE) * 0.03,

@@ -66,11 +66,21 @@ def test_percentiles(spark, data, plan, keys):
         assert np.allclose(row[["a", "m", "z"]].to_numpy()[0], np.percentile(g["v"], [10, 50, 95]))
 
 
-def test_recordings_are_bounded(spark, data, plan):
-    cut = O.to_recordings(_frame(spark, data), ["k"], ["t"], 50)
-    assert cut.groupBy("k", "clip").count().agg(F.max("count")).first()[0] <= 50
-    assert cut.count() == len(data)
-    assert cut.select("k", "clip", "frame_idx").distinct().count() == len(data)
+def test_recordings_are_whole(spark, data, plan):
+    got = O.to_recordings(_frame(spark, data), ["k"], ["t"])
+    sizes = {r["k"]: (r["n"], r["last"]) for r in got.groupBy("k").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last")).collect()}
+    want = data.groupby("k", dropna=False).size()
+    assert {n for n, _ in sizes.values()} == set(want) and all(last == n - 1 for n, last in sizes.values())
+    assert got.select("clip").distinct().count() == 1
+
+
+def test_long_gap_is_not_torn(spark):
+    from oscilla.operators import sequence as S
+
+    rows = [(1, i, None if 240 <= i <= 260 else float(i % 25)) for i in range(10_000)]
+    df = O.to_recordings(spark.createDataFrame(rows, "video long, t long, v double"), ["video"], ["t"])
+    gaps = S.occlusion_gaps(df, F.col("v").isNotNull(), 25.0).collect()
+    assert len(gaps) == 1 and (gaps[0]["n_gaps"], gaps[0]["longest_gap_frames"]) == (1, 21)
 
 
 def test_hot_key_spreads_over_slices(spark, data):
