@@ -30,32 +30,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from oscilla.llm.common import FILE, ROW, on_file, with_locator
+from oscilla.llm.common import FILE, ROW, with_locator
 from oscilla.llm.components import components
 from oscilla.session import durable
 
 BITS = 64
 BUCKET = 64  # members of a bucket that are compared in pairs
+BLOCK = 100_000  # shingles that a kernel holds at once
 
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """SimHash of the word shingles of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a text, in order and with repeats; empty if there is no word."""
     from xxhash import xxh64_intdigest
 
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return 0
     if len(ws) <= words:
-        return xxh64_intdigest(b" ".join(ws), seed)
+        return np.array([xxh64_intdigest(b" ".join(ws), seed)] if ws else [], np.uint64)
     joined, n = b" ".join(ws), len(ws) - words + 1
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[:n].tolist()
+    starts = np.append(0, ends[:-1] + 1)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        spans = zip(starts[a:b].tolist(), ends[a + words - 1 : b + words - 1].tolist(), strict=True)
+        out[a:b] = np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in spans), np.uint64, b - a)
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, unsigned."""
     counts = np.zeros(BITS, np.int64)
-    for a in range(0, n, 100_000):
-        b = min(n, a + 100_000)
-        h = np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(starts[a:b], ends[a + words - 1 : b + words - 1].tolist(), strict=True)), np.uint64, b - a)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    for a in range(0, len(hashes), BLOCK):
+        part = hashes[a : a + BLOCK].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
+    """SimHash of the word shingles of one text, unsigned."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> DataFrame:
@@ -219,10 +232,3 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "t
     by_fp = named.join(heads, "root").select("fp", "head")
     here = (F.col(FILE) == F.col("head")[FILE]) & (F.col(ROW) == F.col("head")[ROW])
     return marked.join(by_fp, "fp").select(FILE, ROW, "id", "fp", F.col("head.id").alias("component_id"), here.alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` with one document, that of the smallest identifier, of each group."""
-    docs = on_file(docs)
-    dropped = durable(near_groups(docs, words, radius, text, ident).filter(~F.col("kept")).select(FILE, ROW))
-    return with_locator(docs).join(dropped.hint("merge"), [FILE, ROW], "left_anti").select(docs.columns)

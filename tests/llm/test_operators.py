@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from oscilla.llm import bpe, components, exact_dedup, line_dedup, mixing, packing, quality, simhash, suffixes, token_count, topk, toxicity
+from oscilla.llm import bpe, components, exact_dedup, line_dedup, mixing, near_copies, packing, quality, simhash, suffixes, token_count, topk, toxicity
 from oscilla.llm.common import hash_sample, held_fold
 from oscilla.llm.queries import END_ID, tokenizer_path
 from oscilla.session import ship_package
@@ -382,10 +382,57 @@ def test_near_groups(spark, docs, nothing):
         by[r["component_id"]].append(r)
     assert all(sum(r["kept"] for r in g) == 1 for g in by.values())
     assert {r["id"] for r in by[4]} >= {4, 5, 6, 11}
-    assert simhash.drop_near_copies(docs).columns == docs.columns
     assert simhash.near_groups(nothing).count() == 0
 
 
+def shingle_set(t, n=5):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies(spark, docs, nothing):
+    """Every pair of 0.8 or more is in one group, and every group hangs together by such pairs."""
+    ship_package(spark)
+    rng, rows = random.Random(21), []
+    for _ in range(60):
+        base = words(rng, rng.choice([3, 30, 120, 400]), 5000).split()
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy), "en", "s"))
+    rows += [(1000, None, "en", "s"), (1001, " ", "en", "s"), (None, rows[0][1], "en", "s"), (0, rows[0][1].upper(), "en", "s")]
+    df = spark.createDataFrame([(*r, *CLASH) for r in rows], SCHEMA)
+    got = near_copies.near_copy_groups(df).collect()
+    assert len(got) == len(rows)
+    sets = {i: shingle_set(t) for i, t, *_ in rows if i is not None}
+    close = {(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)}
+    wanted = roots_by_hand(sorted(sets), close)
+    assert len(close) > 30
+    assert {r["id"]: r["component_id"] for r in got if r["id"] is not None} == wanted
+    assert next(r for r in got if r["id"] is None)["component_id"] == wanted[0]
+    assert sorted(r["id"] for r in got if r["kept"]) == sorted(set(wanted.values()))
+    assert near_copies.drop_near_copies(docs).columns == docs.columns
+    assert near_copies.drop_near_copies(nothing).count() == 0
+
+
+def test_a_large_group_gives_few_candidates(spark):
+    ship_package(spark)
+    rng = random.Random(22)
+    base = words(rng, 200, 9000).split()
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"y{i}"
+        rows.append((i, " ".join(copy), "en", "s", *CLASH))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["component_id"] for r in near_copies.near_copy_groups(df).collect()} == {0}
+    bags = near_copies.durable(
+        near_copies.sketches(df.select("doc_id", "text"), 5).withColumnRenamed("doc_id", "head")
+    )
+    assert near_copies.candidate_pairs(bags, 0.8, 2).count() < 300 * 12
+
+
 # search
 
 
