@@ -36,7 +36,7 @@ def planted(spark, folder):
     for i in range(240):
         poor = i % 6 == 0
         rows.append((i, "same " * 80 if poor and i % 4 else "|".join(text(50).split()) if poor else text(rng.randint(60, 300)), "en", "big" if i % 2 else f"s{i % 5}", 0))
-        if i % 3:
+        if i % 9 < 6:
             labels.append((i, int(not poor), 0))
     clean = [r for r in rows if r[0] % 6]
     rows += [(1000 + r[0], r[1].replace(" ", "\n "), *r[2:]) for r in clean[:20]]
