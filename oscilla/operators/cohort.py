@@ -195,26 +195,14 @@ def collapse_same_condition(
 ) -> DataFrame:
     """One row per condition: exact medians of numbers, first non-null of everything else.
 
-    The input is read three times (group sizes, medians, firsts), so it is written once.
+    One aggregate and one shuffle: the buffers of a median (counts of distinct values) combine before
+    it.  A condition is one subject under one treatment, whose recordings fit a task.
     """
-    df = durable(df.select(*dict.fromkeys([*keys, *numeric, *other, order])))
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numeric])
-        ).alias("_m"),
-    ).select(*keys, F.col("_m.name").alias("_name"), F.col("_m.value").alias("_value"))
-    medians = (
-        exact_percentiles(long, [*keys, "_name"], "_value", {"median": 0.5})
-        .groupBy(*keys)
-        .pivot("_name", list(numeric))
-        .agg(F.first("median"))
-    )
-    firsts = df.groupBy(*keys).agg(
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_recordings"),
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in other],
+        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numeric],
     )
-    return null_safe_join(firsts, medians, keys, "left")
 
 
 def summary_by(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -17,11 +18,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscilla.operators import stats
-from oscilla.session import durable
+from oscilla.operators.cohort import null_safe_join
+from oscilla.operators.ordering import number_rows
+from oscilla.session import durable, shared_folder
 
 
 # principal components with varimax rotation
@@ -195,9 +198,33 @@ def regressors(seed: int = 42) -> dict[str, object]:
     }
 
 
-def assign_folds(df: DataFrame, subject: str, folds: int, seed: int = 42) -> DataFrame:
-    """All rows of a subject share a fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(subject), F.lit(seed)), F.lit(folds)).cast("int"))
+def assign_folds(df: DataFrame, subject: str, folds: int | None, seed: int = 42) -> DataFrame:
+    """All rows of a subject share a fold; without ``folds`` every subject is a fold of its own.
+
+    The distinct subjects are numbered in a seeded order and dealt in turn, so folds differ by one
+    subject at most and none is empty while there are enough subjects.
+    """
+    subjects = df.select(subject).distinct().withColumn("_o", F.xxhash64(F.col(subject), F.lit(seed)))
+    dealt = number_rows(subjects, [], ["_o", subject], "_i")
+    fold = F.col("_i") if folds is None else F.col("_i") % folds
+    return null_safe_join(df, dealt.select(subject, fold.cast("int").alias("fold")), [subject])
+
+
+def _fold_numbers(data: DataFrame) -> list[int]:
+    """The folds that have rows: one number per fold, not per row."""
+    return sorted(r["fold"] for r in data.select("fold").distinct().collect())
+
+
+def _gathered(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """Predictions of all folds; each is written when it is made, so no plan grows with the folds."""
+    path = f"{shared_folder(spark)}/oscilla-folds-{uuid.uuid4().hex}"
+    schema = None
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    if schema is None:
+        raise ValueError("no complete rows to learn from")
+    return spark.read.schema(schema).parquet(path)
 
 
 def _prepared(features: Sequence[str]) -> list:
@@ -223,13 +250,14 @@ def cross_validate(
     label: str,
     subject: str,
     estimator,
-    folds: int = 5,
+    folds: int | None = 5,
     weight: str | None = None,
     keep: Sequence[str] = (),
     balanced: bool = True,
 ) -> DataFrame:
     """Out-of-fold predictions; features are standardised on the training folds only.
 
+    ``folds=None`` leaves one subject out at a time.
     ``balanced`` weighs classes equally (turn it off for regressors).  The driver loops over folds,
     never over rows, and the input is materialised once for all of them.
     """
@@ -243,8 +271,8 @@ def cross_validate(
     weighted = (balanced or weight) and estimator.hasParam("weightCol")
     if weighted:
         estimator = estimator.copy({estimator.getParam("weightCol"): "_weight"})
-    parts = []
-    for fold in range(folds):
+
+    def predicted(fold: int) -> DataFrame:
         train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
         if weighted:
             train = (
@@ -253,8 +281,9 @@ def cross_validate(
                 else train.withColumn("_weight", F.col(weight))
             )
         model = Pipeline(stages=[*_prepared(features), estimator]).fit(train)
-        parts.append(model.transform(test).select(subject, label, *keep, "fold", "prediction"))
-    return reduce(DataFrame.unionByName, parts)
+        return model.transform(test).select(subject, label, *keep, "fold", "prediction")
+
+    return _gathered(df.sparkSession, map(predicted, _fold_numbers(data)))
 
 
 def tune(
@@ -277,17 +306,17 @@ def tune(
 
 
 def ordinal_cross_validate(
-    df: DataFrame, features: Sequence[str], label: str, subject: str, classes: int, folds: int = 5
+    df: DataFrame, features: Sequence[str], label: str, subject: str, classes: int, folds: int | None = 5
 ) -> DataFrame:
     """Ordinal model: one logistic model per threshold, predictions count the passed thresholds."""
     data = durable(assign_folds(df.select(subject, label, *features).na.drop(), subject, folds))
-    parts = []
-    for fold in range(folds):
+
+    def predicted(fold: int) -> DataFrame:
         train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
         scaler = Pipeline(stages=_prepared(features)).fit(train)
         fit_on, scored = scaler.transform(train), scaler.transform(test)
         for k in range(classes - 1):
-            model = LogisticRegression(maxIter=30, probabilityCol=f"_p{k}", rawPredictionCol=f"_r{k}", predictionCol=f"_c{k}")
+            model = LogisticRegression(maxIter=1000, probabilityCol=f"_p{k}", rawPredictionCol=f"_r{k}", predictionCol=f"_c{k}")
             binary = fit_on.withColumn("label", (F.col(label) > k).cast("double"))
             scored = model.fit(binary).transform(scored)
         passed = sum(
@@ -297,8 +326,9 @@ def ordinal_cross_validate(
             ),
             F.lit(0),
         )
-        parts.append(scored.select(subject, label, "fold", passed.cast("double").alias("prediction")))
-    return reduce(DataFrame.unionByName, parts)
+        return scored.select(subject, label, "fold", passed.cast("double").alias("prediction"))
+
+    return _gathered(df.sparkSession, map(predicted, _fold_numbers(data)))
 
 
 def feature_importance(
@@ -306,7 +336,7 @@ def feature_importance(
 ) -> DataFrame:
     """Strongest features of a random forest on the complete rows."""
     data = df.select(*features, F.col(label).cast("double").alias("label")).na.drop()
-    forest = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed)
+    forest = classifiers(seed)["random_forest"]
     model = Pipeline(stages=[*_prepared(features), forest]).fit(data)
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weights, strict=True)]

@@ -1,14 +1,13 @@
 """Ordered operators that stay correct and parallel when one key holds most of the rows.
 
-A window or an exact percentile per key gathers that key in one task.  That is the fastest plan
-while every key is small, so each operator first measures its largest group (a combinable count of
-the key columns).  Within the limit it takes the plain plan; beyond it the rows are cut by *range*
-of (key, order) instead, and a hot key spreads over many slices.
+A window or an exact percentile per key gathers that key in one task.  Here the rows are cut by
+*range* of (key, order) instead, so a hot key spreads over many slices.  There is one plan, whatever
+the sizes of the groups; nothing is measured to choose it.
 
-Window functions then run inside a slice; what a slice has to know about the earlier slices of the
+Window functions run inside a slice; what a slice has to know about the earlier slices of the
 same key is a carry table.  A key has a carry row only where it crosses a slice border, so that
 table holds at most two rows per slice whatever the size of the data, and it is the only thing
-broadcast.  Both plans give the same result.
+broadcast.
 """
 
 from __future__ import annotations
@@ -21,17 +20,6 @@ from pyspark.sql import functions as F
 from oscilla.session import durable, shuffle_slices
 
 SLICE = "_slice"
-# rows of one key that may meet in one task; override with spark.oscilla.groupLimit
-GROUP_LIMIT = 200_000
-
-
-def groups_bounded(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether no key of ``df`` has more rows than one task may hold."""
-    limit = int(df.sparkSession.conf.get("spark.oscilla.groupLimit", str(GROUP_LIMIT)))
-    if limit <= 0:
-        return False
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
 
 
 def slice_by_order(
@@ -81,9 +69,6 @@ def number_rows(
     slices: int | None = None,
 ) -> DataFrame:
     """Zero-based row number per key in a total order."""
-    if groups_bounded(df, keys):
-        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(whole) - 1).cast("long"))
     sliced = slice_by_order(df, keys, order, slices)
     here = Window.partitionBy(SLICE, *keys).orderBy(*order)
     local = sliced.withColumn(name, (F.row_number().over(here) - 1).cast("long"))
@@ -98,13 +83,6 @@ def running_sum(
     slices: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``{output: input}`` per key in a total order."""
-    if groups_bounded(df, keys):
-        whole = (
-            Window.partitionBy(*(keys or [F.lit(0)]))
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in values.items()])
     sliced = slice_by_order(df, keys, order, slices)
     here = (
         Window.partitionBy(SLICE, *keys)
@@ -127,10 +105,8 @@ def tie_ranks(
     Callers pre-aggregate to one row per (key, value, attributes) first, so a value that a third
     of all rows share is one row here.  The average rank is ``below + (ties + 1) / 2``.
     """
-    bounded = groups_bounded(df, keys)
-    base = df if bounded else slice_by_order(df, keys, [value], slices)
-    parts = (keys or [F.lit(0)]) if bounded else [SLICE, *keys]
-    peers = Window.partitionBy(*parts).orderBy(value)
+    base = slice_by_order(df, keys, [value], slices)
+    peers = Window.partitionBy(SLICE, *keys).orderBy(value)
     upto = peers.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     equal = peers.rangeBetween(Window.currentRow, Window.currentRow)
     ranked = base.select(
@@ -138,7 +114,7 @@ def tie_ranks(
         F.sum(weight).over(equal).alias("ties"),
         (F.sum(weight).over(upto) - F.sum(weight).over(equal)).alias("below"),
     )
-    return ranked if bounded else _attach_carry(ranked, base, keys, {"below": F.sum(weight)})
+    return _attach_carry(ranked, base, keys, {"below": F.sum(weight)})
 
 
 def average_rank() -> Column:
@@ -158,10 +134,6 @@ def exact_percentiles(
     bracket each percentile are then picked out by a combinable aggregate.
     """
     present = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    if groups_bounded(present, keys):
-        shares = F.array(*[F.lit(float(p)) for p in points.values()])
-        picked = present.groupBy(*keys).agg(F.percentile(value, shares).alias("_p"))
-        return picked.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(points)])
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = tie_ranks(counts, keys, value, "_n", slices)
     totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
@@ -195,12 +167,14 @@ def to_recordings(
     df: DataFrame,
     stream: Sequence[str],
     order: Sequence[str],
-    slices: int | None = None,
 ) -> DataFrame:
     """Number the samples of each stream; a stream is one whole recording, whatever its length.
 
     Adds ``clip``, which is 0, and ``frame_idx``.  Nothing is cut here: a gap, a cycle or an event is
-    never torn.  Callers that have recordings of their own pass their keys as ``stream``.
+    never torn.  Callers that have recordings of their own pass their keys as ``stream``.  The signal
+    operators that follow hold a recording in one task anyway, so a plain window numbers it, and the
+    windows after it need no further exchange.
     """
-    numbered = number_rows(df, stream, order, "frame_idx", slices)
+    whole = Window.partitionBy(*stream).orderBy(*order)
+    numbered = df.withColumn("frame_idx", (F.row_number().over(whole) - 1).cast("long"))
     return numbered.withColumn("clip", F.lit(0).cast("long"))

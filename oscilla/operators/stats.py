@@ -17,11 +17,11 @@ from oscilla.operators.cohort import null_safe_join
 from oscilla.operators.ordering import (
     average_rank,
     exact_percentiles,
-    groups_bounded,
     number_rows,
     running_sum,
     tie_ranks,
 )
+from oscilla.session import durable
 
 # Expected sign of change with clinical severity.
 EXPECTED_DIRECTIONS = {
@@ -78,16 +78,6 @@ def expected_direction(feature: Column) -> Column:
     return F.try_element_at(table, feature)
 
 
-def _parts(keys: Sequence[str]) -> list:
-    return list(keys) or [F.lit(0)]
-
-
-def window_rank(keys: Sequence[str], value: str) -> Column:
-    """Tie-averaged rank within a key, for keys known to be bounded."""
-    order = Window.partitionBy(*_parts(keys)).orderBy(value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(order.rangeBetween(0, 0)) - 1) / 2.0
-
-
 def _rank_table(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average rank of each distinct value, with its tie count."""
     distinct = counts.groupBy(*keys, value).agg(F.sum("n").alias("_w"))
@@ -98,15 +88,10 @@ def _rank_table(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
     """Spearman rho (tie-averaged ranks) per key; NULL below five pairs."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    if groups_bounded(pairs, keys):
-        ranked = pairs.select(
-            *keys, F.lit(1).alias("n"), window_rank(keys, x).alias("_rx"), window_rank(keys, y).alias("_ry")
-        )
-    else:
-        counts = pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
-        rx = _rank_table(counts, keys, x).select(*keys, x, F.col("rank").alias("_rx"))
-        ry = _rank_table(counts, keys, y).select(*keys, y, F.col("rank").alias("_ry"))
-        ranked = null_safe_join(null_safe_join(counts, rx, [*keys, x]), ry, [*keys, y])
+    counts = durable(pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n")))
+    rx = _rank_table(counts, keys, x).select(*keys, x, F.col("rank").alias("_rx"))
+    ry = _rank_table(counts, keys, y).select(*keys, y, F.col("rank").alias("_ry"))
+    ranked = null_safe_join(null_safe_join(counts, rx, [*keys, x]), ry, [*keys, y])
     n, mean = F.sum("n"), (F.sum("n") + 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
         n.alias("n"),
@@ -126,30 +111,20 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool =
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H over the groups with at least two values."""
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, group, value)
-    sizes = clean.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") >= 2)
-    kept = null_safe_join(clean, sizes.select(*keys, group), [*keys, group])
-    if groups_bounded(clean, keys):
-        peers = F.count(F.lit(1)).over(Window.partitionBy(*_parts(keys)).orderBy(value).rangeBetween(0, 0))
-        rows = kept.select(*keys, group, window_rank(keys, value).alias("rank"), peers.cast("double").alias("ties"))
-        per_group = rows.groupBy(*keys, group).agg(
-            F.sum("rank").alias("_r"),
-            F.count(F.lit(1)).alias("_g"),
-            F.sum(F.col("ties") * F.col("ties") - 1).alias("_t"),
-        )
-        ties = per_group.groupBy(*keys).agg(F.sum("_t").alias("_t"), F.sum("_g").alias("n"))
-    else:
-        counts = kept.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n"))
-        ranks = _rank_table(counts, keys, value)
-        per_group = (
-            null_safe_join(counts, ranks, [*keys, value])
-            .groupBy(*keys, group)
-            .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
-        )
-        ties = ranks.groupBy(*keys).agg(
-            F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_t"), F.sum("ties").alias("n")
-        )
+    every = durable(clean.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n")))
+    sizes = every.groupBy(*keys, group).agg(F.sum("n").alias("_g")).filter(F.col("_g") >= 2)
+    counts = null_safe_join(every, sizes.select(*keys, group), [*keys, group])
+    ranks = _rank_table(counts, keys, value)
+    per_group = (
+        null_safe_join(counts, ranks, [*keys, value])
+        .groupBy(*keys, group)
+        .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
+    )
+    ties = ranks.groupBy(*keys).agg(
+        F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_t"), F.sum("ties").alias("n")
+    )
     totals = per_group.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.col("_r") * F.col("_r") / F.col("_g")).alias("_s")
+        F.count(F.lit(1)).alias("_k"), F.sum(F.col("_r") * F.col("_r") / F.col("_g")).alias("_s")
     )
     if keys:
         joined = null_safe_join(totals, ties, keys)
@@ -159,8 +134,8 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     raw = 12.0 / (n * (n + 1)) * F.col("_s") - 3.0 * (n + 1)
     correction = 1.0 - F.col("_t") / F.nullif(n * n * n - n, F.lit(0.0))
     return joined.select(
-        *keys, "k", "n", F.when(F.col("k") >= 2, raw / F.nullif(correction, F.lit(0.0))).alias("h")
-    ).withColumn("p", P.chi2_p(F.col("h"), F.col("k") - 1))
+        *keys, F.col("_k").alias("n_groups"), "n", F.when(F.col("_k") >= 2, raw / F.nullif(correction, F.lit(0.0))).alias("h")
+    ).withColumn("p", P.chi2_p(F.col("h"), F.col("n_groups") - 1))
 
 
 def group_moments(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -255,7 +230,7 @@ def _group_medians(df: DataFrame, keys: Sequence[str], group: str, value: str) -
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     medians = exact_percentiles(clean, [*keys, group], value, {"med": 0.5})
     moments = group_moments(clean, keys, group, value).filter(F.col("n") >= 2)
-    return moments.join(medians, [*keys, group])
+    return null_safe_join(moments, medians, [*keys, group])
 
 
 def kendall_on_medians(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -364,7 +339,10 @@ def shapiro(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     sizes = clean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop(value).alias("_v"), F.avg(value).alias("_mean")
     )
-    joined = null_safe_join(ordered, sizes, keys) if keys else ordered.join(sizes, F.lit(True))
+    if keys:
+        joined = null_safe_join(ordered, sizes, keys)
+    else:
+        joined = ordered.withColumns({c: sizes.select(c).scalar() for c in ("n", "_v", "_mean")})
     score = P.normal_quantile_col((F.col("_i") + 0.625) / (F.col("n") + 0.25))
     scored = joined.withColumn("_m", score).withColumn("_x", F.col(value) - F.col("_mean"))
 
@@ -477,7 +455,7 @@ def posthoc(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     """
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     normal = shapiro(clean, [*keys, group], value).select(*keys, group, F.col("p").alias("p_normal"))
-    stats = group_moments(clean, keys, group, value).join(normal, [*keys, group])
+    stats = null_safe_join(group_moments(clean, keys, group, value), normal, [*keys, group])
     by = Window.partitionBy(*keys).orderBy(group)
     every = Window.partitionBy(*keys)
     ref = stats.withColumns(
@@ -488,7 +466,7 @@ def posthoc(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
         }
     ).filter(F.col("_rn") > 1)
     mwu = mann_whitney_vs_lowest(clean, keys, group, value)
-    pairs = ref.join(mwu, [*keys, group]).filter((F.col("n") >= 3) & (F.col("r_n") >= 3))
+    pairs = null_safe_join(ref, mwu, [*keys, group]).filter((F.col("n") >= 3) & (F.col("r_n") >= 3))
     dof = F.col("n") + F.col("r_n") - 2
     pooled = ((F.col("n") - 1) * F.col("var") + (F.col("r_n") - 1) * F.col("r_var")) / dof
     t = (F.col("r_mean") - F.col("mean")) / F.nullif(
@@ -543,7 +521,7 @@ def ancova(
         F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(f"w_{c}") for c in names]
     )
     total = moments(keys).select(*keys, "n", *[F.col(c).alias(f"t_{c}") for c in names])
-    joined = within.join(total, list(keys))
+    joined = null_safe_join(within, total, keys)
 
     def residual(prefix: str) -> Column:
         def s(a: str, b: str) -> Column:
@@ -575,11 +553,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], ranks: bool = Fals
     """Pearson (or Spearman) matrix of the complete rows, one row per pair of columns."""
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     if ranks:
-        for c in columns:
-            counts = clean.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            table = _rank_table(counts, [], c).select(c, F.col("rank").alias(f"_r_{c}"))
-            clean = clean.join(table, c)
-        clean = clean.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
+        # all columns are ranked together; the row numbers are written, so that they hold in both uses
+        rows = durable(clean.withColumn("_row", F.monotonically_increasing_id()))
+        long = rows.unpivot("_row", list(columns), "_name", "_value")
+        counts = long.groupBy("_name", "_value").agg(F.count(F.lit(1)).alias("n"))
+        ranked = null_safe_join(long, _rank_table(counts, ["_name"], "_value"), ["_name", "_value"])
+        clean = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_name") == c, F.col("rank"))).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
     def r(a: str, b: str) -> Column:

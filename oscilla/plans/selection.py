@@ -448,8 +448,8 @@ def confusion_matrix(spark, sf_dir):
 def severity_cv(spark, sf_dir):
     df = _scored(spark, sf_dir)
     df = df.withColumn("severity", F.when(F.col("score") <= 1, 0).when(F.col("score") == 2, 1).otherwise(2))
-    model = learn.classifiers()["logistic_regression"].copy().setMaxIter(10)
-    pred = learn.cross_validate(df, FEATURES[:4], "severity", "patient", model, folds=3)
+    model = learn.classifiers()["logistic_regression"]
+    pred = learn.cross_validate(df, FEATURES, "severity", "patient", model)
     return stats.classification_metrics(pred, "severity", "prediction")
 
 
@@ -458,7 +458,7 @@ def ordinal_cv(spark, sf_dir):
     df = _scored(spark, sf_dir).withColumn(
         "severity", F.when(F.col("score") <= 1, 0).when(F.col("score") == 2, 1).otherwise(2)
     )
-    pred = learn.ordinal_cross_validate(df, FEATURES[:4], "severity", "patient", 3, folds=2)
+    pred = learn.ordinal_cross_validate(df, FEATURES, "severity", "patient", 3)
     return stats.classification_metrics(pred, "severity", "prediction")
 
 

@@ -59,7 +59,7 @@ SELECT feature, k, n, round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p
 )
 def kruskal_h(spark, sf_dir):
     out = stats.kruskal(_long(spark, sf_dir), ["feature"], "score", "value")
-    return out.select("feature", "k", "n", F.round("h", 6).alias("h"), F.round("p", 6).alias("p"))
+    return out.select("feature", F.col("n_groups").alias("k"), "n", F.round("h", 6).alias("h"), F.round("p", 6).alias("p"))
 
 
 _MOMENTS = ", m AS (SELECT feature, score, count(*) AS n, avg(value) AS mu, var_samp(value) AS v FROM long GROUP BY ALL)"
@@ -200,30 +200,23 @@ def ancova_f(spark, sf_dir):
     return out.select("feature", "n", F.round("f", 5).alias("f"), "d1", "d2")
 
 
+_COMPLETE = " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
+_UPPER = [(x, y) for i, x in enumerate(FEATURES) for y in FEATURES[i:]]
+
+
 @query(
     "corr_matrix",
     with_ctes(
         "logs",
         "cyclefeat",
         "featlog",
-        body=", c AS (SELECT mean_amplitude AS a, peak_velocity AS b, amplitude_cv AS d FROM featlog WHERE mean_amplitude IS NOT NULL AND amplitude_cv IS NOT NULL)"
-        + " UNION ALL ".join(
-            f" SELECT '{nx}' AS x, '{ny}' AS y, round(corr({x}, {y}), 8) AS r, count(*) AS n FROM c"
-            for x, nx, y, ny in (
-                ("a", "mean_amplitude", "a", "mean_amplitude"),
-                ("a", "mean_amplitude", "b", "peak_velocity"),
-                ("a", "mean_amplitude", "d", "amplitude_cv"),
-                ("b", "peak_velocity", "b", "peak_velocity"),
-                ("b", "peak_velocity", "d", "amplitude_cv"),
-                ("d", "amplitude_cv", "d", "amplitude_cv"),
-            )
-        ),
+        body=f", c AS (SELECT {', '.join(FEATURES)} FROM featlog WHERE {_COMPLETE})"
+        + " UNION ALL ".join(f" SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 7) AS r, count(*) AS n FROM c" for x, y in _UPPER),
     ),
 )
 def corr_matrix(spark, sf_dir):
-    df = feature_log(spark, sf_dir)
-    out = stats.correlation_matrix(df, ["mean_amplitude", "peak_velocity", "amplitude_cv"])
-    return out.withColumn("r", F.round("r", 8))
+    out = stats.correlation_matrix(feature_log(spark, sf_dir), FEATURES)
+    return out.withColumn("r", F.round("r", 7))
 
 
 @query(
@@ -232,16 +225,15 @@ def corr_matrix(spark, sf_dir):
         "logs",
         "cyclefeat",
         "featlog",
-        body=""", c AS (SELECT rank() OVER (ORDER BY mean_amplitude) + (count(*) OVER (PARTITION BY mean_amplitude) - 1) / 2.0 AS a,
-   rank() OVER (ORDER BY peak_velocity) + (count(*) OVER (PARTITION BY peak_velocity) - 1) / 2.0 AS b FROM featlog WHERE mean_amplitude IS NOT NULL AND peak_velocity IS NOT NULL)
-SELECT 'mean_amplitude' AS x, 'mean_amplitude' AS y, round(corr(a, a), 8) AS r, count(*) AS n FROM c UNION ALL
-SELECT 'mean_amplitude', 'peak_velocity', round(corr(a, b), 8), count(*) FROM c UNION ALL
-SELECT 'peak_velocity', 'peak_velocity', round(corr(b, b), 8), count(*) FROM c""",
+        body=", c AS (SELECT "
+        + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in FEATURES)
+        + f" FROM featlog WHERE {_COMPLETE})"
+        + " UNION ALL ".join(f" SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 7) AS r, count(*) AS n FROM c" for x, y in _UPPER),
     ),
 )
 def spearman_matrix(spark, sf_dir):
-    out = stats.correlation_matrix(feature_log(spark, sf_dir), ["mean_amplitude", "peak_velocity"], ranks=True)
-    return out.withColumn("r", F.round("r", 8))
+    out = stats.correlation_matrix(feature_log(spark, sf_dir), FEATURES, ranks=True)
+    return out.withColumn("r", F.round("r", 7))
 
 
 @query(
@@ -339,7 +331,7 @@ def angle_score_cube(spark, sf_dir):
         "patients",
         body=_ANGLE_SQL
         + """
-, l AS (SELECT angle, feature, value FROM (SELECT angle, mean_amplitude, peak_velocity FROM al) UNPIVOT (value FOR feature IN (mean_amplitude, peak_velocity)))
+, l AS (SELECT angle, feature, value FROM (SELECT angle, """ + ", ".join(FEATURES) + """ FROM al) UNPIVOT (value FOR feature IN (""" + ", ".join(FEATURES) + """)))
 , o AS (SELECT *, CASE angle WHEN 'front' THEN 0 WHEN 'angled' THEN 1 WHEN 'lateral' THEN 2 WHEN 'other' THEN 3 END AS ord FROM l WHERE angle IS NOT NULL)
 , r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS ry,
    rank() OVER (PARTITION BY feature ORDER BY ord) + (count(*) OVER (PARTITION BY feature, ord) - 1) / 2.0 AS rx FROM o)
@@ -352,7 +344,7 @@ def angle_report(spark, sf_dir):
     df = attach_labels(feature_log(spark, sf_dir), _angles(spark, sf_dir), "patient", "angle")
     long = durable(
         stats.long_features(
-            df.filter(F.col("angle").isNotNull()), ["angle"], ["mean_amplitude", "peak_velocity"]
+            df.filter(F.col("angle").isNotNull()), ["angle"], FEATURES
         )
     )
     ordinals = F.create_map(*[F.lit(x) for pair in N.ANGLE_ORDINALS.items() for x in pair])
@@ -562,10 +554,9 @@ def longitudinal_summary(spark, sf_dir):
 
 @query("longitudinal_report")
 def longitudinal_report(spark, sf_dir):
-    values = ["mean_amplitude", "peak_velocity"]
-    log = durable(feature_log(spark, sf_dir).select("video", *LONG_KEYS, "visit", *values))
+    log = durable(feature_log(spark, sf_dir).select("video", *LONG_KEYS, "visit", *FEATURES))
     kept, _ = paired.one_video_per_visit(log, LONG_KEYS, "visit", "video")
-    long = stats.long_features(kept, [*LONG_KEYS, "visit"], values)
+    long = stats.long_features(kept, [*LONG_KEYS, "visit"], FEATURES)
     wide = durable(paired.visit_wide(long, LONG_KEYS, "visit", "value", extra=["feature"]))
     return paired.longitudinal_summary(wide, ["feature"])
 
@@ -573,9 +564,9 @@ def longitudinal_report(spark, sf_dir):
 PAIR_KEYS = ["pair_key", "patient", "visit", "hand"]
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, values=("mean_amplitude", "score")):
     df = feature_log(spark, sf_dir).withColumn("pair_key", N.medication_neutral_key(F.col("video_path")))
-    return paired.medication_pairs(df, PAIR_KEYS, "med", "video", ["mean_amplitude", "peak_velocity", "score"])
+    return paired.medication_pairs(df, PAIR_KEYS, "med", "video", list(values))
 
 
 _PAIR_SQL = """
@@ -661,8 +652,8 @@ def medication_summary(spark, sf_dir):
 
 @query("medication_report")
 def medication_report(spark, sf_dir):
-    pairs, _ = _pairs(spark, sf_dir)
-    return paired.medication_summary(durable(pairs), ["mean_amplitude", "peak_velocity"])
+    pairs, _ = _pairs(spark, sf_dir, FEATURES)
+    return paired.medication_summary(durable(pairs), FEATURES)
 
 
 @query(

@@ -63,11 +63,7 @@ def main(argv):
     from oscilla.session import build_session
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    # GROUP_LIMIT=0 sends every ordered operator down its sliced plan
-    limit = os.environ.get("GROUP_LIMIT")
     extra = {"spark.ui.enabled": "false", "spark.driver.memory": "8g"}
-    if limit:
-        extra["spark.oscilla.groupLimit"] = limit
     spark = build_session("compare", "local[8]", 8, extra)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)

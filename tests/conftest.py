@@ -21,14 +21,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def sliced(spark):
-    """Force the sliced plan of every ordered operator."""
-    spark.conf.set("spark.oscilla.groupLimit", "0")
-    yield
-    spark.conf.unset("spark.oscilla.groupLimit")
-
-
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR

@@ -1,4 +1,4 @@
-"""Ordered operators: both plans against NumPy, with a key that holds most of the rows."""
+"""Ordered operators: the sliced plan against NumPy, with a key that holds most of the rows."""
 
 import numpy as np
 import pandas as pd
@@ -22,32 +22,24 @@ def data():
     )
 
 
-@pytest.fixture(params=["plain", "sliced"])
-def plan(request, spark):
-    if request.param == "sliced":
-        spark.conf.set("spark.oscilla.groupLimit", "0")
-    yield request.param
-    spark.conf.unset("spark.oscilla.groupLimit")
-
-
 def _frame(spark, data):
     return spark.createDataFrame(data.astype(object).where(data.notna(), None), "k string, t long, v double")
 
 
-def test_row_numbers(spark, data, plan):
+def test_row_numbers(spark, data):
     got = O.number_rows(_frame(spark, data), ["k"], ["t"], "i").toPandas()
     want = data.sort_values("t").groupby("k", dropna=False).cumcount()
     merged = got.set_index("t")["i"].sort_index()
     assert merged.tolist() == want.rename(index=dict(zip(data.index, data["t"]))).sort_index().tolist()
 
 
-def test_running_sum(spark, data, plan):
+def test_running_sum(spark, data):
     got = O.running_sum(_frame(spark, data), ["k"], ["t"], {"s": "v"}).toPandas().sort_values("t")
     want = data.sort_values("t").groupby("k", dropna=False)["v"].cumsum()
     assert np.allclose(got["s"], want)
 
 
-def test_tie_ranks(spark, data, plan):
+def test_tie_ranks(spark, data):
     counts = _frame(spark, data).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     got = O.tie_ranks(counts, ["k"], "v", "n").select("k", "v", O.average_rank().alias("r")).toPandas()
     ranks = data.assign(r=data.groupby("k", dropna=False)["v"].rank())
@@ -57,7 +49,7 @@ def test_tie_ranks(spark, data, plan):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_percentiles(spark, data, plan, keys):
+def test_percentiles(spark, data, keys):
     got = O.exact_percentiles(_frame(spark, data), keys, "v", {"a": 0.1, "m": 0.5, "z": 0.95}).toPandas()
     groups = data.groupby("k", dropna=False) if keys else [(None, data)]
     assert len(got) == (data["k"].nunique(dropna=False) if keys else 1)
@@ -66,7 +58,7 @@ def test_percentiles(spark, data, plan, keys):
         assert np.allclose(row[["a", "m", "z"]].to_numpy()[0], np.percentile(g["v"], [10, 50, 95]))
 
 
-def test_recordings_are_whole(spark, data, plan):
+def test_recordings_are_whole(spark, data):
     got = O.to_recordings(_frame(spark, data), ["k"], ["t"])
     sizes = {r["k"]: (r["n"], r["last"]) for r in got.groupBy("k").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last")).collect()}
     want = data.groupby("k", dropna=False).size()

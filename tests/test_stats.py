@@ -167,15 +167,11 @@ def test_set_distances_brute_force(spark):
     assert r["wasserstein"] == pytest.approx(np.abs(f).mean() * 5, abs=1e-3)
 
 
-@pytest.mark.parametrize("mode", ["plain", "sliced"])
-def test_budget_threshold_brute_force(spark, mode):
-    if mode == "sliced":
-        spark.conf.set("spark.oscilla.groupLimit", "0")
+def test_budget_threshold_brute_force(spark):
     rng = np.random.default_rng(7)
     ple, frames = np.round(rng.random(120), 4), rng.integers(100, 400, 120)
     df = spark.createDataFrame([(i, float(p), int(f)) for i, (p, f) in enumerate(zip(ple, frames))], "id int, p double, f int")
     got = curation.selection_threshold(df, "p", "f", "id", 3000, 12000, 5).first()
-    spark.conf.unset("spark.oscilla.groupLimit")
     order = np.lexsort((np.arange(120), -ple))
     p, c = ple[order], np.cumsum(frames[order])
     g = np.abs(np.diff(p)) / np.maximum(np.diff(c), 1)
