@@ -203,8 +203,7 @@ def dominant_period(x: np.ndarray, fps: float) -> int:
     c = x - x.mean() if n else x
     if n < 20 or float(c @ c) < 1e-12:
         return 0
-    size = 1 << (2 * n - 1).bit_length()
-    acf = np.fft.irfft(np.abs(np.fft.rfft(c, size)) ** 2, size)[:n]
+    acf = autocorrelation(c)
     lo, hi = max(3, int(fps / 3.5)), min(n // 2, int(fps / 0.25))
     if hi <= lo + 2:
         return 0
@@ -243,88 +242,98 @@ def envelope(x: np.ndarray) -> np.ndarray:
 # complexity and periodicity
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r_mult: float = 0.2, max_n: int = 500) -> float:
-    """SampEn with strict tolerance; NaN where undefined."""
-    x = x[np.isfinite(x)]
-    if len(x) < 2 * (m + 1) + 1:
-        return float("nan")
-    sd = x.std(ddof=1)
-    if sd < 1e-12:
-        return float("nan")
-    if len(x) > max_n:
-        x = x[:: len(x) // max_n]
-        if len(x) < 2 * (m + 1) + 1:
-            return float("nan")
-    n = len(x)
-    close = np.abs(x[:, None] - x[None, :]) < r_mult * sd
-
-    def matches(length: int) -> int:
-        k = n - length
-        both = np.ones((k, k), dtype=bool)
-        for s in range(length):
-            both &= close[s : s + k, s : s + k]
-        return int(np.triu(both, 1).sum())
+def sample_entropy(x: np.ndarray, m: int = 2, r_mult: float = 0.2, stride_above: int | None = None) -> float:
+    """SampEn with strict tolerance; NaN where undefined.
 
-    longer, shorter = matches(m + 1), matches(m)
-    if shorter == 0:
+    All pairs of samples are compared, in blocks of rows, so memory does not grow with the square of
+    the length.  ``stride_above`` thins longer signals to about so many samples; it is off by default.
+    """
+    x = x[np.isfinite(x)]
+    least = 2 * m + 3
+    tolerance = r_mult * x.std(ddof=1) if len(x) >= least else 0.0
+    if stride_above and len(x) > stride_above:
+        x = x[:: len(x) // stride_above]
+    if len(x) < least or tolerance < 1e-12 * r_mult:
         return float("nan")
-    return float(np.log(shorter)) if longer == 0 else float(np.log(shorter / longer))
-
+    pairs = np.zeros(2, dtype=np.int64)  # that agree over m and over m + 1 samples
+    starts = len(x) - m
+    block = max(1, 4_000_000 // len(x))
+    for low in range(0, starts, block):
+        i, j = np.arange(low, min(low + block, starts)), np.arange(low, starts)
+        close = j[None, :] > i[:, None]
+        for step in range(m):
+            close &= np.abs(x[i + step][:, None] - x[j + step][None, :]) < tolerance
+        pairs[0] += np.count_nonzero(close)
+        # the last start has no sample left for the longer template
+        i, j = i[i < starts - 1], j[:-1]
+        pairs[1] += np.count_nonzero(close[: len(i), :-1] & (np.abs(x[i + m][:, None] - x[j + m][None, :]) < tolerance))
+    shorter, longer = pairs
+    return float(np.log(shorter / max(longer, 1))) if shorter else float("nan")
+
+
+def autocorrelation(centred: np.ndarray) -> np.ndarray:
+    """Sums of products at all lags from 0, by a padded transform."""
+    n = len(centred)
+    size = 1 << (2 * n - 1).bit_length()
+    return np.fft.irfft(np.abs(np.fft.rfft(centred, size)) ** 2, size)[:n]
 
-def spectral_concentration(x: np.ndarray, fps: float, lo: float, hi: float) -> float:
-    """Share of the power in [lo, hi] Hz that lies within 0.3 Hz of its maximum."""
-    if len(x) < 30:
-        return 0.0
-    freqs = np.fft.rfftfreq(len(x), 1.0 / fps)
-    power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-    inside = (freqs >= lo) & (freqs <= hi)
-    f, p = freqs[inside], power[inside]
-    if len(f) < 2 or p.sum() < 1e-12:
-        return 0.0
-    peak = f[np.argmax(p)]
-    return float(p[(f >= peak - 0.3) & (f <= peak + 0.3)].sum() / p.sum())
 
+def periodicity(x: np.ndarray, fps: float, lo: float, hi: float) -> tuple[float, float, float]:
+    """Three scores in [0, 1] of a signal that should repeat ``lo`` to ``hi`` times a second.
 
-def autocorrelation_strength(x: np.ndarray, fps: float, lo: float, hi: float) -> float:
-    """Largest normalised autocorrelation over the plausible lags, clipped to [0, 1]."""
+    The share of the power in that range within 0.3 Hz of its maximum; the largest normalised
+    autocorrelation at the lags of that range; and 1 if the strongest frequency of 0.1 to 8 Hz lies in
+    the range, falling off by a steep sigmoid outside.  Signals of fewer than 30 samples score zero.
+    """
     n = len(x)
     if n < 30:
-        return 0.0
+        return 0.0, 0.0, 0.0
     c = x - x.mean()
-    energy = float(c @ c)
-    first, last = max(1, int(fps / hi)), min(n // 2, int(fps / lo))
-    if energy < 1e-12 or first >= last:
-        return 0.0
-    full = np.correlate(c, c, mode="full")[n - 1 :]
-    return float(np.clip(full[first : last + 1].max() / energy, 0.0, 1.0))
+    hz, power = np.fft.rfftfreq(n, 1.0 / fps), np.abs(np.fft.rfft(c)) ** 2
 
+    def bins(low: float, high: float) -> slice:
+        return slice(np.searchsorted(hz, low, "left"), np.searchsorted(hz, high, "right"))
 
-def frequency_plausibility(x: np.ndarray, fps: float, lo: float, hi: float) -> float:
-    """One inside the plausible range of the dominant frequency, a steep sigmoid outside."""
-    if len(x) < 30:
-        return 0.0
-    freqs = np.fft.rfftfreq(len(x), 1.0 / fps)
-    power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-    inside = (freqs >= 0.1) & (freqs <= 8.0)
-    if inside.sum() < 2 or power[inside].sum() < 1e-12:
-        return 0.0
-    peak = freqs[inside][np.argmax(power[inside])]
-    excess = max(lo - peak, peak - hi, 0.0)
-    return 1.0 if excess == 0.0 else float(1.0 / (1.0 + np.exp(10.0 * excess)))
+    def strongest(band: slice) -> float | None:
+        part = power[band]
+        return float(hz[band][part.argmax()]) if len(part) >= 2 and part.sum() >= 1e-12 else None
+
+    share = strength = plausible = 0.0
+    inside = bins(lo, hi)
+    if (peak := strongest(inside)) is not None:
+        near = bins(max(lo, peak - 0.3), min(hi, peak + 0.3))
+        share = float(power[near].sum() / power[inside].sum())
+    lags = slice(max(1, int(fps / hi)), min(n // 2, int(fps / lo)) + 1)
+    if lags.stop - lags.start >= 2 and float(c @ c) >= 1e-12:
+        strength = float(np.clip(autocorrelation(c)[lags].max() / float(c @ c), 0.0, 1.0))
+    if (peak := strongest(bins(0.1, 8.0))) is not None:
+        outside = max(lo - peak, peak - hi, 0.0)
+        plausible = 1.0 if not outside else float(1.0 / (1.0 + np.exp(10.0 * outside)))
+    return share, strength, plausible
 
 
 def cycle_regularity(x: np.ndarray, peaks: np.ndarray, points: int) -> float:
-    """Mean correlation of consecutive time-warped cycles, mapped to [0, 1]."""
-    grid = np.linspace(0.0, 1.0, points)
-    shapes = [
-        np.interp(grid, np.linspace(0.0, 1.0, b - a), x[a:b])
-        for a, b in zip(peaks[:-1], peaks[1:], strict=True)
-        if b - a >= 3 and b <= len(x) and not np.isnan(x[a:b]).any()
-    ]
-    rs = [
-        np.corrcoef(s, t)[0, 1]
-        for s, t in zip(shapes[:-1], shapes[1:], strict=True)
-        if s.std() >= 1e-9 and t.std() >= 1e-9
-    ]
-    rs = [r for r in rs if np.isfinite(r)]
-    return float(np.clip((np.mean(rs) + 1.0) / 2.0, 0.0, 1.0)) if rs else 0.0
+    """Mean correlation of neighbouring cycles, each stretched to ``points`` samples, mapped to [0, 1].
+
+    Cycles are stretched together into one table of standardised rows, whose neighbours are multiplied.
+    Cycles of fewer than three samples, with a hole, or past the end are left out, and flat ones make no pair.
+    """
+    starts, lengths = peaks[:-1], np.diff(peaks)
+    holes = np.concatenate([[0], np.cumsum(np.isnan(x))])
+    fits = (lengths >= 3) & (peaks[1:] <= len(x))
+    starts, lengths = starts[fits], lengths[fits]
+    whole = holes[starts + lengths] == holes[starts]
+    starts, lengths = starts[whole], lengths[whole]
+    if len(starts) < 2:
+        return 0.0
+    at = np.linspace(0.0, 1.0, points)[None, :] * (lengths - 1)[:, None]
+    left = np.minimum(np.floor(at).astype(int), (lengths - 2)[:, None])
+    base = starts[:, None] + left
+    table = x[base] + (at - left) * (x[base + 1] - x[base])
+    spread = table.std(axis=1)
+    usable = (spread[:-1] >= 1e-9) & (spread[1:] >= 1e-9)
+    if not usable.any():
+        return 0.0
+    rows = (table - table.mean(axis=1, keepdims=True)) / np.where(spread >= 1e-9, spread, 1.0)[:, None]
+    r = (rows[:-1] * rows[1:]).mean(axis=1)[usable]
+    return float(np.clip((r.mean() + 1.0) / 2.0, 0.0, 1.0))

@@ -95,15 +95,7 @@ def sample_entropy(column: Column) -> Column:
 def periodicity(column: Column, fps: float, settings: Settings = DEFAULTS) -> Column:
     """(spectral concentration, autocorrelation strength, frequency plausibility) as an array."""
     lo, hi = settings.freq_low_hz, settings.freq_high_hz
-
-    def scores(x: np.ndarray) -> list[float]:
-        return [
-            dsp.spectral_concentration(x, fps, lo, hi),
-            dsp.autocorrelation_strength(x, fps, lo, hi),
-            dsp.frequency_plausibility(x, fps, lo, hi),
-        ]
-
-    return _array_udf(scores, ARRAY)(column)
+    return _array_udf(lambda x: list(dsp.periodicity(x, fps, lo, hi)), ARRAY)(column)
 
 
 def centred(column: Column, periods: Column, fps: float, settings: Settings = DEFAULTS) -> Column:

@@ -554,13 +554,13 @@ def dataset_quality(spark, sf_dir):
         "frames",
         body="""
 , p AS (SELECT video, clip, list(value ORDER BY frame_idx) AS x, avg(value) AS mu, stddev_pop(value) AS sd FROM frames GROUP BY ALL)
-SELECT video, clip, len(list_transform(range(64), lambda i: CASE WHEN i < len(x) THEN (x[i + 1] - mu) / sd ELSE 0.0 END)) AS length,
- round(list_sum(list_transform(range(64), lambda i: CASE WHEN i < len(x) THEN (x[i + 1] - mu) / sd * (i + 1) ELSE 0.0 END)), 6) AS checksum FROM p""",
+SELECT video, clip, len(list_transform(range(1024), lambda i: CASE WHEN i < len(x) THEN (x[i + 1] - mu) / sd ELSE 0.0 END)) AS length,
+ round(list_sum(list_transform(range(1024), lambda i: CASE WHEN i < len(x) THEN (x[i + 1] - mu) / sd * (i + 1) ELSE 0.0 END)), 6) AS checksum FROM p""",
     ),
 )
 def ssl_export(spark, sf_dir):
     packed = K.pack_signal(frames(spark, sf_dir), ["value"])
-    out = packed.select("video", "clip", fixed_length(F.col("value"), 64).alias("x"))
+    out = packed.select("video", "clip", fixed_length(F.col("value")).alias("x"))
     weighted = F.transform("x", lambda v, i: v * (i + 1))
     return out.select(
         "video", "clip", F.size("x").alias("length"),

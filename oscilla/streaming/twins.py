@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from oscilla.config import DEFAULTS, Settings
 from oscilla.operators.tracking import Tracker
@@ -53,18 +54,27 @@ def track_stream(
     expected: str | None = None,
     key: str = "video",
     settings: Settings = DEFAULTS,
+    ts: str | None = None,
+    lateness: str = "1 hour",
 ) -> DataFrame:
     """Incremental association; frames of a recording arrive in order, a batch holds whole frames.
 
     ``stream`` has (key, frame_idx, det_idx, label, x, y).  The state keeps live tracks only, so it
-    stays a few rows per recording however long the stream runs.
+    stays a few rows per recording however long the stream runs.  With a time column
+    ``ts``, a recording that the watermark (``lateness`` behind the latest time) has passed is over and
+    its state goes; without one, there is no telling when a recording ends, and its state stays.
     """
-    output = f"{key} long, frame_idx long, det_idx long, track int"
+    if ts:
+        stream = stream.withWatermark(ts, lateness)
+    output = StructType().add(key, stream.schema[key].dataType).add("frame_idx", "long").add("det_idx", "long").add("track", "integer")
     state_schema = "first int, rows array<double>"
 
     def run(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tracker = Tracker(fps, expected, settings)
         first = 0
         if state.exists:
@@ -81,8 +91,11 @@ def track_stream(
         # numbers stay stable: only the leading dead tracks may be forgotten
         drop = int(np.argmax(alive)) if alive.any() else len(alive)
         state.update((first + drop, [float(v) for v in tracker.state[drop:].ravel()]))
+        if ts:
+            seen = int(pdf[ts].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + 1)
         yield pdf[[key, "frame_idx", "det_idx"]].assign(track=tracks)
 
     return stream.groupBy(key).applyInPandasWithState(
-        run, output, state_schema, "append", GroupStateTimeout.NoTimeout
+        run, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
     )

@@ -84,11 +84,35 @@ def test_sample_entropy_brute_force():
     assert np.isnan(dsp.sample_entropy(np.arange(6.0))) and np.isnan(dsp.sample_entropy(np.ones(50)))
 
 
+def test_sample_entropy_in_blocks():
+    x = np.random.default_rng(1).normal(size=2600)
+    close = np.abs(x[:, None] - x[None, :]) < 0.2 * x.std(ddof=1)
+    k = len(x) - 2
+    b = np.triu(close[:k, :k] & close[1 : k + 1, 1 : k + 1], 1)
+    a = np.triu(b[: k - 1, : k - 1] & close[2 : k + 1, 2 : k + 1], 1)
+    assert dsp.sample_entropy(x) == pytest.approx(np.log(b.sum() / a.sum()))
+
+
 def test_periodicity_scores():
-    assert dsp.spectral_concentration(SINE, 25, 0.3, 4) > 0.95
-    assert dsp.autocorrelation_strength(SINE, 25, 0.3, 4) > 0.9
-    assert dsp.frequency_plausibility(SINE, 25, 0.3, 4) == 1.0
+    share, strength, plausible = dsp.periodicity(SINE, 25, 0.3, 4)
+    assert share > 0.95 and strength > 0.9 and plausible == 1.0
     fast = np.sin(2 * np.pi * 6 * T)
-    assert dsp.frequency_plausibility(fast, 25, 0.3, 4) < 0.01
-    assert dsp.spectral_concentration(SINE[:29], 25, 0.3, 4) == 0.0
+    assert dsp.periodicity(fast, 25, 0.3, 4)[2] < 0.01
+    assert dsp.periodicity(SINE[:29], 25, 0.3, 4) == (0.0, 0.0, 0.0)
+    assert dsp.periodicity(np.ones(60), 25, 0.3, 4) == (0.0, 0.0, 0.0)
+    c = SINE - SINE.mean()
+    lags = np.array([c[: len(c) - k] @ c[k:] for k in range(len(c))])
+    assert np.allclose(dsp.autocorrelation(c), lags)
+    assert strength == pytest.approx(lags[6:84].max() / lags[0])
+
+
+def test_cycle_regularity():
     assert dsp.cycle_regularity(SINE, np.array([4, 21, 38, 54]), 50) > 0.99
+    rng = np.random.default_rng(2)
+    x, peaks = rng.normal(size=90), np.array([0, 14, 16, 40, 61, 88])
+    grid = np.linspace(0, 1, 50)
+    warped = [np.interp(grid, np.linspace(0, 1, b - a), x[a:b]) for a, b in zip(peaks, peaks[1:]) if b - a > 2]
+    rs = [np.corrcoef(u, v)[0, 1] for u, v in zip(warped, warped[1:])]
+    assert dsp.cycle_regularity(x, peaks, 50) == pytest.approx((np.mean(rs) + 1) / 2)
+    x[20] = np.nan
+    assert dsp.cycle_regularity(x, peaks[:4], 50) == 0.0

@@ -60,6 +60,26 @@ def test_xlsx_cells_are_positional(spark, tmp_path):
     assert rows(R.read_recording_angles(spark, str(path)), "angle_key", "recording_angle") == [("a.mp4", "lateral")]
 
 
+def test_xlsx_references(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def book(name, last):
+        sheet = (
+            f"<worksheet {ns}><sheetData>"
+            '<row><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="C1" t="str"><v>c</v></c></row>'
+            f'<row><c r="C2" t="b"><v>1</v></c>{last}</row>'
+            "</sheetData></worksheet>"
+        )
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", sheet)
+        return R.read_xlsx(spark, str(tmp_path / name))
+
+    df = book("a.xlsx", "")
+    assert df.columns == ["a", "col_1", "c"] and [tuple(r) for r in df.collect()] == [(None, None, "true")]
+    with pytest.raises(Exception, match="more cells than column names in row 2"):
+        book("b.xlsx", '<c r="D2"><v>4</v></c>').collect()
+
+
 def test_label_files(spark, tmp_path):
     q = write(tmp_path / "q.csv", "video_path,quality_label\n/x/A.mp4,3\n/y/a.mp4,1\nb.mp4,7\nc.mp4,bad\n")
     assert rows(R.read_quality_labels(spark, q), "quality_key", "quality_label") == [("a.mp4", 1)]
@@ -151,3 +171,15 @@ def test_activity_session_stream(spark, tmp_path):
     sessions = twins.activity_sessions(stream, ["video"], "ts", "3 seconds", "10 seconds")
     twins.append_log(sessions, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "o")), "n") == [(5,), (10,)]
+
+
+def test_tracks_of_a_stream_with_times(spark, tmp_path):
+    src, out = str(tmp_path / "s"), str(tmp_path / "o")
+    frames = "SELECT v AS video, i AS frame_idx, 0L AS det_idx, 'Left' AS label, 0.5D AS x, 0.5D AS y, timestamp_seconds({start} + i) AS ts FROM range({n}) AS t(i), (SELECT {v} AS v)"
+    # the first watermark is the epoch: rows at that very time would count as late
+    for v, start, n in ((1, 1_000, 5), (2, 10_000, 4), (3, 20_000, 3)):
+        spark.sql(frames.format(v=f"'r{v}'", start=start, n=n)).coalesce(1).write.mode("append").parquet(src)
+        stream = twins.stream_table(spark, src, "video string, frame_idx long, det_idx long, label string, x double, y double, ts timestamp")
+        twins.append_log(twins.track_stream(stream, 25.0, "Left", ts="ts", lateness="1 minute"), out, str(tmp_path / "c")).awaitTermination(120)
+    got = spark.read.parquet(out).groupBy("video").agg(F.count("*").alias("n"), F.max("track").alias("t"))
+    assert rows(got, "video", "n", "t") == [("r1", 5, 0), ("r2", 4, 0), ("r3", 3, 0)]

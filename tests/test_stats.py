@@ -237,3 +237,31 @@ def test_jobs(spark):
     assert sorted(r[0] for r in jobs.unlogged(tasks, log, "task").collect()) == ["e"]
     parts = [jobs.stripe(tasks, ["task"], 2, r).collect() for r in (0, 1)]
     assert sorted(r[0] for p in parts for r in p) == list("abcde")
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(k, float(i), float((i * 7) % 11), i % 3) for k in ("a", None) for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, g int")
+    rho = stats.spearman(df, ["k"], "x", "y").collect()
+    assert len(rho) == 2 and rho[0]["rho"] == pytest.approx(rho[1]["rho"])
+    h = stats.kruskal(df, ["k"], "g", "x").collect()
+    assert len(h) == 2 and {r["n_groups"] for r in h} == {3}
+    assert len(stats.kendall_on_medians(df, ["k"], "g", "x").collect()) == 2
+
+
+def test_spearman_matrix_with_ties(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"a": rng.integers(0, 4, 200).astype(float), "b": rng.normal(size=200), "c": rng.integers(0, 30, 200).astype(float)})
+    got = {(r["x"], r["y"]): r["r"] for r in stats.correlation_matrix(spark.createDataFrame(data), ["a", "b", "c"], ranks=True).collect()}
+    want = data.rank().corr()
+    assert len(got) == 6 and all(v == pytest.approx(want.loc[x, y]) for (x, y), v in got.items())
+
+
+def test_every_subject_is_a_fold(spark):
+    from oscilla.operators import learn
+
+    df = spark.createDataFrame([(f"s{i % 100}", i) for i in range(300)], "subject string, v int")
+    strict = learn.assign_folds(df, "subject", None)
+    assert strict.select("subject", "fold").distinct().count() == strict.select("fold").distinct().count() == 100
+    sizes = [r["n"] for r in learn.assign_folds(df, "subject", 7).groupBy("fold").agg(F.countDistinct("subject").alias("n")).collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
