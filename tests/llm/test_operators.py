@@ -433,6 +433,35 @@ def test_a_large_group_gives_few_candidates(spark):
     assert near_copies.candidate_pairs(bags, 0.8, 2).count() < 300 * 12
 
 
+def test_hubs_that_are_outsiders(spark):
+    """Two texts of over 0.8 among texts like both, of which some have lesser and some greater hashes: no hub is one of the two."""
+    ship_package(spark)
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(25)
+    base = words(rng, 200, 9000).split()
+
+    def changed(places):
+        copy = list(base)
+        for p in places:
+            copy[p] = f"z{rng.randint(0, 10**9)}"
+        return " ".join(copy)
+
+    def mark(t):
+        return int(np.array([xxh64_intdigest(np.unique(simhash.shingle_hashes(t, 5)).tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+    two = [changed([20, 70]), changed([120, 170])]
+    others = [changed(rng.sample(range(5, 195), 6)) for _ in range(500)]
+    low, high = sorted(map(mark, two))
+    assert sum(mark(t) < low for t in others) > 50 and sum(mark(t) > high for t in others) > 50
+    sets = list(map(shingle_set, [*two, *others]))
+    close = {(a, b) for a in range(502) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert (1, 0) in close
+    rows = [(i, t, "en", "s", *CLASH) for i, t in enumerate([*two, *others])]
+    got = {r["id"]: r["component_id"] for r in near_copies.near_copy_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == roots_by_hand(range(502), {(b, a) for a, b in close})
+
+
 # search
 
 
