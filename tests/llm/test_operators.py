@@ -515,6 +515,23 @@ def test_exponent():
     assert mixing.plan_quotas([0, 0]) == [0, 0]
 
 
+def test_small_sources_do_not_scale_down_the_mix():
+    def kept(tokens, repeats=1.0):
+        quotas = mixing.plan_quotas(tokens, 0.9, repeats)
+        assert all(0 < q <= repeats * n for q, n in zip(quotas, tokens, strict=True))
+        return quotas, sum(quotas) / sum(tokens)
+
+    large = [2 * 10**9] + [4 * 10**9 // 19] * 19
+    even, share = kept(large)
+    assert share > 0.9 and mixing.entropy_share([q / sum(even) for q in even]) > 0.9 - 1e-6
+    more, share_more = kept([*large, 10])
+    assert more == [*even, 10] and share_more > 0.9
+    assert kept([6 * 10**9, 10])[0] == [6 * 10**9, 10]
+    skewed, share = kept([10**9 // i for i in range(1, 1001)])
+    assert share > 0.6 and mixing.entropy_share([q / sum(skewed) for q in skewed]) > 0.9 - 1e-6
+    assert kept(large, 2.0)[1] > 1.8
+
+
 def drawn_by_hand(rows, quotas, blocks, seed="mix"):
     """Rows as (source, epoch, id), read off the definition."""
     out = collections.Counter()
