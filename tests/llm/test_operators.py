@@ -569,3 +569,16 @@ def test_mixing(spark, docs, nothing, monkeypatch):
     quotas = dict(zip(names, mixing.plan_quotas([totals[s] for s in names], 0.9, 1.0), strict=True))
     assert all(0 <= r["t"] - quotas[r["source"]] < 31 for r in out)
     assert mixing.draw(docs).columns == docs.columns and mixing.draw(nothing).count() == 0
+
+
+def test_mixing_counts_tokens_of_the_tokenizer(spark, tmp_path):
+    from oscilla.llm.queries import PLANS
+
+    ship_package(spark)
+    path, rows = tokenizer_path(), [(1, "中文没有空格" * 30, "en", "zh"), (2, "a=b;c(d)" * 40, "en", None), (3, "some words here", "en", "s"), (4, None, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {i: len(bpe.load(path).encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows}
+    got = {r["id"]: r["tokens"] for r in mixing.mix(df, None, 1.0, tokenizer=path).collect()}
+    assert want[1] > 30 and got == {i: want[i] for i in got} and {1, 2, 3} <= set(got)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(r["tokens"] == want[r["doc_id"]] for r in PLANS["op10_source_mixing"](spark, str(tmp_path)).collect())
