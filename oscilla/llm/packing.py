@@ -3,8 +3,8 @@
 A document longer than a sequence is cut into pieces that fill one each; its first piece and all
 shorter documents are the items.  Partitions of bounded size pack their items best-fit, longest
 first.  Sequences that are nearly full, or that no item left anywhere could enter, are final; the
-others go on as single items, fewer partitions each round, until one partition holds them all or a
-round leaves as many as it got.  Last, the nesting of items in items is unrolled round by round.
+others go on as single items, in at most half as many partitions each round, until one partition holds
+them all or a round leaves as many as it got.  Where rounds save little, partitions grow as they get fewer.  Last, the nesting of items in items is unrolled round by round.
 
 Cases: null text counts as empty, and an empty document is its end mark alone.  Rows that repeat an
 identifier are separate documents.  An empty table gives an empty result.
@@ -106,13 +106,14 @@ def _placer(capacity: int, last: bool, smallest: int, nearly_full: float) -> Cal
 
 def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """Sequence and offset of each item of ``items`` (``item`` unique, ``length``): ``item``, ``seq``, ``offset``."""
-    level, levels, left = items.select("item", "length"), [], None
+    level, levels, left, parts = items.select("item", "length"), [], None, None
     while True:
         n, smallest = level.agg(F.count(F.lit(1)), F.min("length")).first()
         if not n:
             break
-        parts = max(1, -(-n // partition_items))
-        last = parts == 1 or (left is not None and n > 0.9 * left)
+        wanted = -(-n // partition_items)
+        parts = max(1, wanted if parts is None else min(wanted, parts // 2))
+        last = parts == 1 or (left is not None and n >= left)
         left = n
 
         group = F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(parts)).alias("part")

@@ -302,6 +302,13 @@ def test_items_that_never_meet_end_the_rounds(spark):
     assert 300 <= seqs <= 320
 
 
+def test_rounds_that_save_little_go_on(spark):
+    """The item of 412 keeps all bins open for a round that saves next to nothing; only later rounds let 507 to 511 meet."""
+    lengths = [513 + i % 100 for i in range(600)] + [507 + i % 5 for i in range(40)] + [412]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    assert packing.pack(items, 1024, partition_items=12).select("seq").distinct().count() <= 612
+
+
 # near copies
 
 
