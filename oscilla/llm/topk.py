@@ -98,7 +98,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
 
 
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, vector: str = "embedding", ident: str = "vec_id") -> DataFrame:
-    """The k best other rows for each row whose identifier is divisible by ``every``."""
+    """The k best other rows for each row whose identifier is divisible by ``every``.
+
+    Of rows that repeat such an identifier the one with the least vector (by its scaled components, the
+    first that differs decides) is the query.
+    """
     rows = durable(vectors.select(F.col(ident).alias("vec_id"), scaled(F.col(vector), scale).alias("v")).filter("v IS NOT NULL AND vec_id IS NOT NULL"))
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     return top_k(asked.select(F.col("vec_id").alias("query_id"), "v"), rows, k)

@@ -497,6 +497,13 @@ def test_top_k(spark):
     assert topk.neighbours(vectors.limit(0)).count() == 0
 
 
+def test_a_repeated_query_is_its_least_vector(spark):
+    rows = [(20, [3.0, 0.0]), (20, [1.0, 2.0]), (20, [1.0, -2.0]), (20, [2.0, 9.0]), (1, [1.0, 1.0])]
+    for turned in (rows, rows[::-1], [rows[1], rows[4], rows[0], rows[3], rows[2]]):
+        got = topk.neighbours(spark.createDataFrame(turned, "vec_id long, embedding array<double>").coalesce(1), k=3).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(20, 1, 64 * 64 - 128 * 64)]
+
+
 def test_top_k_blocks_and_large_numbers(spark):
     rows = [(i, [int((-1) ** (i * j) * (10**15 + i * j)) for j in range(3)]) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
