@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscilla.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash, suffixes, token_count, topk, toxicity
+from oscilla.llm import chat, exact_dedup, lexical, line_dedup, mixing, negatives, packing, quality, simhash, suffixes, token_count, topk, toxicity
 from oscilla.llm.common import held_fold, table
 from oscilla.session import ship_package
 
@@ -151,6 +151,93 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", "position")
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), shifted)
+
+
+PROBE = "</s>[INST] ok [/INST]"  # a text made of the template's own control strings
+
+
+@query(
+    "op12_chat_format",
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    o AS (
+      SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+             len(regexp_extract_all(role || ' ' || text, '<\\*/?s>|\[\\*(/?SYS|/?INST|OUT|ROLE|TEXT)\]')) AS escapes
+      FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(3 + sum(length(text) + escapes + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10
+                                                   ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars,
+           bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'),
+                                       ('assistant', 'user'))) AS valid,
+           valid AND last(role ORDER BY turn, role, text) = 'assistant' AS complete
+    FROM o GROUP BY conv_id
+    """,
+)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH t AS (
+      SELECT rowid AS r, doc_id, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+    f AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+    n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r),
+    c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+    d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM d, c),
+    i AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+    s AS (
+      SELECT item_id, f.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // len)))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN n ON n.r = f.r, c
+      GROUP BY item_id, f.r, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def plans() -> dict[str, Plan]:
     return dict(PLANS)
 
