@@ -53,7 +53,14 @@ class Template:
 
     def control(self) -> list[str]:
         marks = [self.start, *self.other, *(m for before, after, _ in self.roles.values() for m in (before, after))]
-        return sorted({m.strip() for m in marks})
+        return sorted({m.strip() for m in marks} - {""})
+
+    def __post_init__(self) -> None:
+        """Control strings have two characters or more, and inside none of them another begins."""
+        control = self.control()
+        heads = {c[0] for c in control}
+        if any(len(c) < 2 or heads & set(c[1:]) or "\\" in c for c in control):
+            raise ValueError("control strings must not hold the first character of one after their own")
 
 
 class Escape:
