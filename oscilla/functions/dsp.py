@@ -1,6 +1,6 @@
 """Small NumPy kernels for the few steps that Catalyst cannot express.
 
-Each kernel maps one packed, length-bounded signal (or a stack of equally long ones) and runs
+Each kernel maps one packed signal (or a stack of equally long ones) and runs
 inside an Arrow UDF.  Everything around them - interpolation, outlier replacement, crossings,
 cycles, features - is Spark (see :mod:`oscilla.operators.kinematics`).
 """
@@ -68,65 +68,109 @@ def butterworth(order: int, low: float, high: float) -> np.ndarray:
     return _sections(*_digital(both, np.zeros(order), width**order))
 
 
-def _steady_state(sos: np.ndarray) -> np.ndarray:
-    """Section states for a unit step that has always been on."""
+def steady_state(sos: np.ndarray) -> np.ndarray:
+    """State of the whole cascade for a unit input that has always been on."""
     states, level = [], 1.0
     for b0, b1, b2, _, a1, a2 in sos:
         out = level * (b0 + b1 + b2) / (1.0 + a1 + a2)
-        s1 = b2 * level - a2 * out
-        states.append((b1 * level - a1 * out + s1, s1))
+        last = b2 * level - a2 * out
+        states += [b1 * level - a1 * out + last, last]
         level = out
     return np.array(states)
 
 
-def _run(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Filter along axis 0, every column at once, started in its steady state."""
-    y = x
-    for (b0, b1, b2, _, a1, a2), (z0, z1) in zip(sos, _steady_state(sos), strict=True):
-        s0, s1 = z0 * x[0], z1 * x[0]
-        out = np.empty_like(y)
-        for i in range(len(y)):
-            v = y[i]
-            w = b0 * v + s0
-            s0 = b1 * v - a1 * w + s1
-            s1 = b2 * v - a2 * w
-            out[i] = w
-        y = out
-    return y
-
-
-@lru_cache(maxsize=128)
-def zero_phase_matrix(n: int, order: int, low: float, high: float) -> np.ndarray:
-    """Forward-backward filtering of an n-sample signal as one matrix.
-
-    Filtering is linear in the signal, so the matrix is built once per length and a whole batch of
-    recordings becomes a matrix product.
-    """
+@lru_cache(maxsize=64)
+def _system(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The cascade as one linear system: state' = A state + B x, y = C state + D x."""
     sos = butterworth(order, low, high)
-    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
-    pad = 3 * taps
-    eye = np.eye(n)
-    head = 2.0 * eye[0] - eye[pad:0:-1]
-    tail = 2.0 * eye[-1] - eye[-2 : -pad - 2 : -1]
-    extended = np.vstack([head, eye, tail])
-    forward = _run(sos, extended)
-    backward = _run(sos, forward[::-1])[::-1]
-    return backward[pad:-pad]
+    d = 2 * len(sos)
+    unit = np.eye(d + 1)
+    signal, rows = unit[d], []
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        out = b0 * signal + unit[2 * k]
+        rows += [b1 * signal - a1 * out + unit[2 * k + 1], b2 * signal - a2 * out]
+        signal = out
+    rows = np.array(rows)
+    return rows[:, :d], rows[:, d], signal[:d], float(signal[d])
+
+
+def filter_from(edges: tuple[int, float, float], x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filter the columns of ``x`` from the states ``state`` (one column each); the output and the last states.
+
+    A stretch of samples maps the state by an affine map, and such maps compose.  So the signal is
+    cut into blocks of about the root of its length, all blocks run side by side from a zero state, the
+    states at their starts follow from block to block, and what a start adds to its block is a
+    product.  Time and memory are linear in the length.
+    """
+    a, b, c, d = _system(*edges)
+    n, columns = x.shape
+    length = max(1, int(np.sqrt(n)))
+    blocks = n // length
+    whole = blocks * length
+    lanes = x[:whole].reshape(blocks, length, columns).transpose(1, 0, 2).reshape(length, blocks * columns)
+    inner = np.zeros((len(a), blocks * columns))
+    y = np.empty_like(lanes)
+    reach = np.empty((length, len(a)))  # what a state at the start adds to each sample of a block
+    power = np.eye(len(a))
+    for k in range(length):
+        y[k] = c @ inner + d * lanes[k]
+        inner = a @ inner + b[:, None] * lanes[k]
+        reach[k] = c @ power
+        power = a @ power
+    starts = np.empty((len(a), blocks, columns))
+    for j, end in enumerate(inner.reshape(len(a), blocks, columns).transpose(1, 0, 2)):
+        starts[:, j] = state
+        state = power @ state + end
+    y += reach @ starts.reshape(len(a), -1)
+    out = np.empty_like(x)
+    out[:whole] = y.reshape(length, blocks, columns).transpose(1, 0, 2).reshape(whole, columns)
+    for i in range(whole, n):
+        out[i] = c @ state + d * x[i]
+        state = a @ state + b[:, None] * x[i]
+    return out, state
+
+
+def carried(edges: tuple[int, float, float], n: int, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """State after ``n`` samples that end in ``own`` when they start from zero, starting from ``state``."""
+    return np.linalg.matrix_power(_system(*edges)[0], n) @ state + own
+
+
+def padding(edges: tuple[int, float, float]) -> int:
+    """Samples that a signal is extended by on either side."""
+    sos = butterworth(*edges)
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
+
+
+def band_edges(fps: float, cutoff_hz: float, highpass_hz: float, order: int) -> tuple[int, float, float]:
+    """Order and edges in units of Nyquist; a low-pass where the lower edge makes no sense."""
+    nyquist = fps / 2.0
+    high = float(np.clip(cutoff_hz / nyquist, 1e-4, 0.999))
+    low = highpass_hz / nyquist if highpass_hz and highpass_hz > 0 else 0.0
+    return order, 0.0 if low < 1e-4 or low >= high else low, high
+
+
+def shortest_filtered(order: int) -> int:
+    """Signals below this length are left as they are."""
+    return 3 * (2 * order + 3)
+
+
+def zero_phase(edges: tuple[int, float, float], x: np.ndarray) -> np.ndarray:
+    """Forward and backward over the columns of ``x``, extended by their point reflection at both ends."""
+    pad, steady = padding(edges), steady_state(butterworth(*edges))[:, None]
+    y = np.vstack([2.0 * x[0] - x[pad:0:-1], x, 2.0 * x[-1] - x[-2 : -pad - 2 : -1]])
+    for _ in range(2):
+        y, _ = filter_from(edges, y, steady * y[0])
+        y = y[::-1]
+    return y[pad:-pad]
 
 
 def band_filter(
     x: np.ndarray, fps: float, cutoff_hz: float, highpass_hz: float, order: int
 ) -> np.ndarray:
     """Zero-phase band-pass of the columns of ``x``; low-pass without a high-pass edge."""
-    n = len(x)
-    if n < 3 * (2 * order + 3):
+    if len(x) < shortest_filtered(order):
         return x.copy()
-    nyquist = fps / 2.0
-    high = float(np.clip(cutoff_hz / nyquist, 1e-4, 0.999))
-    low = highpass_hz / nyquist if highpass_hz and highpass_hz > 0 else 0.0
-    if low < 1e-4 or low >= high:
-        low = 0.0
-    return zero_phase_matrix(n, order, low, high) @ x
+    return zero_phase(band_edges(fps, cutoff_hz, highpass_hz, order), x)
 
 
 # drift

@@ -1,9 +1,10 @@
 """From frame rows to one feature row per recording, as a Spark plan.
 
-A recording is bounded (``max_frames``), so it is packed into one array row by a hash exchange on
-its keys.  Scalar Arrow UDFs on that row do only the transforms Catalyst lacks (drift removal,
-zero-phase filter, periodogram, peak picking); they keep the partitioning of their input, so
-windows and aggregations before and after them share the one exchange.
+A recording is packed into one array row by a hash exchange on its keys, so it has to fit a task, and
+the kernels on it are linear in its length but for sample entropy and peak picking.  Scalar Arrow UDFs on
+that row do only the transforms Catalyst lacks (drift removal, zero-phase filter, periodogram, peak
+picking); they keep the partitioning of their input, so windows and aggregations before and after them
+share the one exchange.  :mod:`oscilla.operators.filters` filters recordings that don't fit.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def detrended(column: Column, fps: float, settings: Settings = DEFAULTS) -> Colu
 
 
 def filtered(column: Column, fps: float, highpass_hz: float, settings: Settings = DEFAULTS) -> Column:
-    """Zero-phase filter; recordings of equal length in a batch share one matrix product."""
+    """Zero-phase filter; recordings of equal length in a batch run side by side."""
 
     def run(batch: pd.Series) -> pd.Series:
         out: list = [None] * len(batch)

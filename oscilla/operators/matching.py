@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oscilla.config import DEFAULTS
+from oscilla.operators.borders import across, running, totals
+from oscilla.operators.ordering import slice_by_order
 
 
 def merge_extrema(df: DataFrame, keys: Sequence[str], times: str) -> DataFrame:
@@ -107,26 +109,29 @@ def set_distances(points: DataFrame, keys: Sequence[str], t: str = "t", side: st
 
     ``side`` is 'det' or 'man'.  All distances come from one sorted pass over the merged points:
     the nearest point of the other set is the last one before or the first one after, and the
-    Wasserstein distance is the area between the two cumulative shares.
+    Wasserstein distance is the area between the two cumulative shares.  The points are cut by range.
     """
-    order = Window.partitionBy(*keys).orderBy(t, side)
-    whole = Window.partitionBy(*keys)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    beyond = order.rowsBetween(0, Window.unboundedFollowing)
     is_det = F.col(side) == "det"
-    staged = points.withColumns(
-        {
-            "_dp": F.last(F.when(is_det, F.col(t)), ignorenulls=True).over(upto),
-            "_dn": F.first(F.when(is_det, F.col(t)), ignorenulls=True).over(beyond),
-            "_mp": F.last(F.when(~is_det, F.col(t)), ignorenulls=True).over(upto),
-            "_mn": F.first(F.when(~is_det, F.col(t)), ignorenulls=True).over(beyond),
-            "_cd": F.count_if(is_det).over(upto),
-            "_cm": F.count_if(~is_det).over(upto),
-            "_nd": F.count_if(is_det).over(whole),
-            "_nm": F.count_if(~is_det).over(whole),
-            "_next": F.lead(t).over(order),
-        }
-    )
+    placed = slice_by_order(points.withColumn("_o", F.struct(t, side)), keys, ["_o"])
+
+    def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("_o")
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        beyond = order.rowsBetween(0, Window.unboundedFollowing)
+        here = F.when(side_of, F.col(t))
+        return rows.withColumns(
+            {f"{name}p": F.last(here, ignorenulls=True).over(upto), f"{name}n": F.first(here, ignorenulls=True).over(beyond)}
+        )
+
+    staged = placed
+    for name, side_of in (("_d", is_det), ("_m", ~is_det)):
+        staged = across(staged, keys, "_o", neighbours, near=side_of)
+
+    def followed(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("_next", F.lead(t).over(Window.partitionBy(*by).orderBy("_o")))
+
+    staged = across(staged, keys, "_o", followed, after=1).withColumns({"_isd": is_det.cast("long"), "_ism": (~is_det).cast("long")})
+    staged = totals(running(staged, keys, "_o", {"_cd": "_isd", "_cm": "_ism"}), keys, {"_nd": F.sum("_isd"), "_nm": F.sum("_ism")})
 
     def nearest(before: str, after: str) -> Column:
         return F.least(F.col(t) - F.col(before), F.col(after) - F.col(t))

@@ -36,6 +36,7 @@ def _attach_carry(
     sliced: DataFrame,
     keys: Sequence[str],
     totals: Mapping[str, Column],
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add to each running column what the earlier slices of the same key summed up to."""
     per_slice = sliced.groupBy(SLICE, *keys).agg(*[c.alias(f"_c_{n}") for n, c in totals.items()])
@@ -54,7 +55,7 @@ def _attach_carry(
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = local.join(F.broadcast(carry), match, "left")
-    kept = [c for c in local.columns if c not in totals and c != SLICE]
+    kept = [c for c in local.columns if c not in totals and (keep_slice or c != SLICE)]
     return joined.select(
         *kept,
         *[(F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in totals],
@@ -67,12 +68,13 @@ def number_rows(
     order: Sequence[str],
     name: str = "row_no",
     slices: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Zero-based row number per key in a total order."""
     sliced = slice_by_order(df, keys, order, slices)
     here = Window.partitionBy(SLICE, *keys).orderBy(*order)
     local = sliced.withColumn(name, (F.row_number().over(here) - 1).cast("long"))
-    return _attach_carry(local, sliced, keys, {name: F.count(F.lit(1))})
+    return _attach_carry(local, sliced, keys, {name: F.count(F.lit(1))}, keep_slice)
 
 
 def running_sum(
@@ -170,11 +172,9 @@ def to_recordings(
 ) -> DataFrame:
     """Number the samples of each stream; a stream is one whole recording, whatever its length.
 
-    Adds ``clip``, which is 0, and ``frame_idx``.  Nothing is cut here: a gap, a cycle or an event is
-    never torn.  Callers that have recordings of their own pass their keys as ``stream``.  The signal
-    operators that follow hold a recording in one task anyway, so a plain window numbers it, and the
-    windows after it need no further exchange.
+    Adds ``clip``, which is 0, and ``frame_idx``, and keeps the number of the slice a row lies in, so
+    that the signal operators work slice by slice (see :mod:`oscilla.operators.borders`): a stream
+    with a third of all rows is spread over many tasks, and no gap, cycle or event is torn.
     """
-    whole = Window.partitionBy(*stream).orderBy(*order)
-    numbered = df.withColumn("frame_idx", (F.row_number().over(whole) - 1).cast("long"))
+    numbered = number_rows(df, stream, order, "frame_idx", keep_slice=True)
     return numbered.withColumn("clip", F.lit(0).cast("long"))

@@ -1,19 +1,24 @@
-"""Frame-ordered operators on bounded recordings, as windows and array expressions.
+"""Frame-ordered operators on recordings, as windows and array expressions.
 
-All functions take the keys of a recording (``video``, ``clip``), which :func:`to_recordings`
-bounds, so one hash exchange on those keys serves every window a query stacks up.
+All functions take the keys of a recording (``video``, ``clip``).  Frames that carry a slice number (see
+:func:`to_recordings`) are handled slice by slice, with the rows of neighbouring slices that a window
+needs and carried sums, so a recording of any length spreads over many tasks.  Without one, a
+hash exchange on the keys serves every window a query stacks up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from oscilla.config import DEFAULTS, Settings
+from oscilla.operators.borders import across, running, totals, with_same_keys
+from oscilla.operators.ordering import SLICE, exact_percentiles
 
 KEYS = ("video", "clip")
 TWO_PI = 2.0 * math.pi
@@ -77,13 +82,16 @@ def interpolate_gaps(
     df: DataFrame, value: str, out: str, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
     """Linear interpolation over missing samples, ends held flat; all zero below two samples."""
-    w = _w(keys, idx)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
-    before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    staged = df.withColumns(
-        {"_b": before, "_a": after, "_n": F.count(value).over(_whole(keys))}
-    )
+
+    def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = _w(by, idx)
+        before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        return rows.withColumns({"_b": before, "_a": after})
+
+    counted = totals(df, keys, {"_n": F.count(value)})
+    staged = across(counted, keys, idx, neighbours, near=F.col(value).isNotNull())
     share = (F.col(idx) - F.col("_b.i")) / F.nullif(F.col("_a.i") - F.col("_b.i"), F.lit(0))
     inner = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
     filled = F.coalesce(F.col(value), inner, F.col("_b.v"), F.col("_a.v"))
@@ -100,14 +108,16 @@ def hampel(
 ) -> DataFrame:
     """Replace samples far from the local median (in scaled MADs of the raw window)."""
     half = settings.hampel_window // 2
-    patch = F.collect_list(value).over(_w(keys, idx).rowsBetween(-half, half))
+
+    def patched(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("_patch", F.collect_list(value).over(_w(by, idx).rowsBetween(-half, half)))
 
     def cleaned(med: Column) -> Column:
         mad = array_median(F.transform("_patch", lambda x: F.abs(x - med)))
         far = F.abs(F.col(value) - med) > settings.hampel_sigma * 1.4826 * mad
         return F.when(far, med).otherwise(F.col(value))
 
-    staged = df.withColumn("_patch", patch)
+    staged = across(df, keys, idx, patched, before=half, after=half)
     return staged.withColumn(out, let(array_median(F.col("_patch")), cleaned)).drop("_patch")
 
 
@@ -118,8 +128,12 @@ def moving_average(
     if window <= 1:
         return df.withColumns({f"{c}_smooth": F.col(c) for c in columns})
     half = (window if window % 2 else window + 1) // 2
-    span = _w(keys, idx).rangeBetween(-half, half)
-    return df.withColumns({f"{c}_smooth": F.avg(c).over(span) for c in columns})
+
+    def smoothed(rows: DataFrame, by: list[str]) -> DataFrame:
+        span = _w(by, idx).rangeBetween(-half, half)
+        return rows.withColumns({f"{c}_smooth": F.avg(c).over(span) for c in columns})
+
+    return across(df, keys, idx, smoothed, before=half, after=half)
 
 
 def one_euro(
@@ -133,49 +147,47 @@ def one_euro(
 ) -> DataFrame:
     """One-Euro filter per recording; gaps of two or more missing samples restart it.
 
-    The recursion is a fold over the packed samples (at most ``max_frames``), so it stays in the
-    JVM.  The derivative uses the previous *filtered* value.
+    A restart forgets everything, so recordings are cut there into stretches, numbered by a running sum.
+    A stretch is a recursion: its samples pass through one task as a sorted stream, which holds a batch and
+    the state of the filter, however long the stretch is.  The derivative uses the previous *filtered*
+    value.  ``idx`` counts frames without holes.
     """
-    dt = 1.0 / max(fps, 1.0)
+    keys = list(keys)
+    present = df.filter(F.col(value).isNotNull())
 
-    def alpha(cutoff: Column) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.lit(1.0) / (F.lit(TWO_PI) * cutoff) / F.lit(dt))
-
-    a_d = alpha(F.lit(settings.one_euro_d_cutoff))
-    null = F.lit(None).cast("double")
-    zero = F.struct(
-        null.alias("x"),
-        F.lit(0.0).alias("dx"),
-        F.lit(0).alias("gap"),
-        F.array().cast("array<double>").alias("ys"),
-    )
+    def begun(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("_fresh", F.coalesce(F.col(idx) - F.lag(idx).over(_w(by, idx)) > 2, F.lit(True)).cast("int"))
 
-    def step(acc: Column, s: Column) -> Column:
-        v = s["v"]
-        restart = acc["x"].isNull() | (acc["gap"] > 1)
-        dx = F.when(restart, 0.0).otherwise(
-            a_d * ((v - acc["x"]) / F.lit(dt)) + (F.lit(1.0) - a_d) * acc["dx"]
-        )
-        a = alpha(F.lit(settings.one_euro_min_cutoff) + F.lit(settings.one_euro_beta) * F.abs(dx))
-        y = F.when(restart, v).otherwise(a * v + (F.lit(1.0) - a) * acc["x"])
-        seen = v.isNotNull()
-        return F.struct(
-            F.when(seen, y).otherwise(acc["x"]).alias("x"),
-            F.when(seen, dx).otherwise(acc["dx"]).alias("dx"),
-            F.when(seen, 0).otherwise(acc["gap"] + 1).alias("gap"),
-            F.concat(acc["ys"], F.array(F.when(seen, y))).alias("ys"),
-        )
+    stretches = running(across(present, keys, idx, begun, before=1), keys, idx, {"_stretch": "_fresh"})
+    slim = stretches.select(*keys, F.col("_stretch").cast("long").alias("_stretch"), idx, F.col(value).cast("double").alias("_v"))
+    dt = 1.0 / max(fps, 1.0)
 
-    packed = df.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).cast("double").alias("v")))
-        ).alias("s")
-    )
-    filtered = F.aggregate("s", zero, step)["ys"]
-    pairs = F.arrays_zip(F.transform("s", lambda p: p["i"]).alias("i"), filtered.alias("y"))
-    return packed.select(*keys, F.explode(pairs).alias("_p")).select(
-        *keys, F.col("_p.i").alias(idx), F.col("_p.y").alias(out)
-    )
+    def alpha(cutoff: float) -> float:
+        return 1.0 / (1.0 + 1.0 / (TWO_PI * cutoff) / dt)
+
+    a_d, low, beta = alpha(settings.one_euro_d_cutoff), settings.one_euro_min_cutoff, settings.one_euro_beta
+    names = [*keys, idx, out]
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        x = dx = 0.0
+        for batch in batches:
+            ys = []
+            for *key, v in batch[[*keys, "_stretch", "_v"]].itertuples(index=False, name=None):
+                if key == last:
+                    dx = a_d * ((v - x) / dt) + (1.0 - a_d) * dx
+                    a = alpha(low + beta * abs(dx))
+                    x = a * v + (1.0 - a) * x
+                else:
+                    last, x, dx = key, v, 0.0
+                ys.append(x)
+            yield batch.assign(**{out: ys})[names]
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, idx]) + f", `{out}` double"
+    ordered = slim.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", idx)
+    missing = df.filter(F.col(value).isNull()).select(*keys, idx, F.lit(None).cast("double").alias(out))
+    return ordered.mapInPandas(smooth, schema).unionByName(missing)
 
 
 # angles
@@ -197,13 +209,16 @@ def reject_spikes(
     """NULL a sample that jumps from both valid neighbours by more than the limit."""
     limit = settings.spike_jump_rad * settings.base_fps / fps
     valid = F.col(angle).isNotNull()
-    w = Window.partitionBy(*keys, valid).orderBy(idx)
+
+    def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by, valid).orderBy(idx)
+        return rows.withColumns({"_p": F.lag(angle).over(w), "_n": F.lead(angle).over(w)})
 
     def arc(other: Column) -> Column:
         d = F.abs(F.col(angle) - other)
         return F.least(d, F.lit(TWO_PI) - d)
 
-    staged = df.withColumns({"_p": F.lag(angle).over(w), "_n": F.lead(angle).over(w)})
+    staged = across(df, keys, idx, neighbours, near=valid)
     spike = valid & (arc(F.col("_p")) > limit) & (arc(F.col("_n")) > limit)
     return staged.withColumn(
         out, F.when(~F.coalesce(spike, F.lit(False)), F.col(angle))
@@ -225,25 +240,36 @@ def unwrap(
     factor = 2.0 if axial else 1.0
     scaled = F.col(angle) * factor
     valid = F.col(angle).isNotNull()
-    w = Window.partitionBy(*keys, valid).orderBy(idx)
-    staged = df.withColumn("_turns", F.coalesce(F.rint((scaled - F.lag(scaled).over(w)) / TWO_PI), F.lit(0.0)))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_turns").over(upto)
+
+    def turned(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by, valid).orderBy(idx)
+        step = F.rint((scaled - F.lag(scaled).over(w)) / TWO_PI)
+        return rows.withColumn("_turns", F.when(valid, F.coalesce(step, F.lit(0.0))).otherwise(0.0))
+
+    staged = running(across(df, keys, idx, turned, near=valid), keys, idx, {"_total": "_turns"})
     return staged.withColumn(
-        out, F.when(valid, (scaled - TWO_PI * total) / factor)
-    ).drop("_turns")
+        out, F.when(valid, (scaled - TWO_PI * F.col("_total")) / factor)
+    ).drop("_turns", "_total")
 
 
 # extrema and cycles
 
 
+def _with_neighbours(df: DataFrame, value: str, keys: Sequence[str], idx: str) -> DataFrame:
+    """Add the sample before (``_p``) and after (``_n``)."""
+
+    def add(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = _w(by, idx)
+        return rows.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)})
+
+    return across(df, keys, idx, add, before=1, after=1)
+
+
 def gradient(
     df: DataFrame, value: str, out: str, fps: float, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
     """Central differences, one-sided at the ends."""
-    w = _w(keys, idx)
-    prev, nxt = F.lag(value).over(w), F.lead(value).over(w)
-    staged = df.withColumns({"_p": prev, "_n": nxt})
+    staged = _with_neighbours(df, value, keys, idx)
     rate = (
         F.when(F.col("_p").isNull(), F.col("_n") - F.col(value))
         .when(F.col("_n").isNull(), F.col(value) - F.col("_p"))
@@ -266,14 +292,14 @@ def zero_crossing_extrema(
     A half cycle runs from the last sample before one crossing to the last sample before the next,
     both included; exact zeros count as positive.
     """
-    w = _w(keys, idx)
     sign = F.when(F.col(centred) < 0, -1).otherwise(1)
-    marked = df.withColumn("_sign", sign).withColumn(
-        "_crossing", (F.lead("_sign").over(w) != F.col("_sign"))
-    )
-    ends = F.coalesce(F.col("_crossing"), F.lit(False)).cast("int")
-    passed = F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = marked.withColumn("_part", passed).withColumn("_end", ends)
+
+    def marked(rows: DataFrame, by: list[str]) -> DataFrame:
+        signed = rows.withColumn("_sign", sign)
+        crossing = F.lead("_sign").over(_w(by, idx)) != F.col("_sign")
+        return signed.withColumn("_end", F.coalesce(crossing, F.lit(False)).cast("int"))
+
+    parts = running(across(df, keys, idx, marked, after=1), keys, idx, {"_part": "_end"}, inclusive=False)
     # the closing sample of part p is also the opening sample of part p + 1
     both = parts.withColumn(
         "_half",
@@ -311,11 +337,12 @@ def alternate(
     idx: str = "frame_idx",
 ) -> DataFrame:
     """Collapse runs of equal types to their extreme sample; the first of equals wins."""
-    w = _w(keys, idx)
-    fresh = (F.lag(etype).over(w).isNull() | (F.lag(etype).over(w) != F.col(etype))).cast("int")
-    runs = df.withColumn("_fresh", fresh).withColumn(
-        "_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+
+    def begun(rows: DataFrame, by: list[str]) -> DataFrame:
+        before = F.lag(etype).over(_w(by, idx))
+        return rows.withColumn("_fresh", (before.isNull() | (before != F.col(etype))).cast("int"))
+
+    runs = running(across(df, keys, idx, begun, before=1), keys, idx, {"_run": "_fresh"})
     best = F.struct((F.col(etype) * F.col(height)).alias("h"), (-F.col(idx)).alias("i"))
     return runs.groupBy(*keys, "_run").agg(
         F.max_by(F.col(etype), best).alias(etype),
@@ -328,8 +355,7 @@ def parabolic_vertex(
     df: DataFrame, value: str, out: str, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
     """Vertex through a sample and its neighbours, the sample itself where that fails."""
-    w = _w(keys, idx)
-    staged = df.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)})
+    staged = _with_neighbours(df, value, keys, idx)
     p, c, n = F.col("_p"), F.col(value), F.col("_n")
     denom = p - 2.0 * c + n
     vertex = c - 0.25 * (p - n) * (0.5 * (p - n) / F.nullif(denom, F.lit(0.0)))
@@ -351,18 +377,14 @@ def integral_amplitude(
 ) -> DataFrame:
     """Mean trapezoid integral of |velocity| between consecutive extrema."""
     marks = extrema.select(*keys, idx, F.lit(1).alias("_mark"))
-    joined = velocity.join(marks, [*keys, idx], "left")
-    w = _w(keys, idx)
-    staged = joined.withColumns(
-        {
-            "_half": F.coalesce(
-                F.sum(F.coalesce("_mark", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-            "_area": (F.abs(F.col(rate)) + F.abs(F.lag(rate).over(w))) / 2.0 / fps,
-            "_marks": F.count("_mark").over(_whole(keys)),
-        }
-    )
+    joined = velocity.join(marks, [*keys, idx], "left").withColumn("_mark", F.coalesce("_mark", F.lit(0)))
+
+    def areas(rows: DataFrame, by: list[str]) -> DataFrame:
+        before = F.lag(rate).over(_w(by, idx))
+        return rows.withColumn("_area", (F.abs(F.col(rate)) + F.abs(before)) / 2.0 / fps)
+
+    counted = totals(across(joined, keys, idx, areas, before=1), keys, {"_marks": F.sum("_mark")})
+    staged = running(counted, keys, idx, {"_half": "_mark"}, inclusive=False)
     # part 0 lies before the first extremum, the last part after the last one
     inside = (F.col("_half") >= 1) & (F.col("_half") < F.col("_marks"))
     halves = staged.filter(inside).groupBy(*keys, "_half").agg(F.sum("_area").alias("excursion"))
@@ -427,9 +449,12 @@ def occlusion_gaps(
     df: DataFrame, detected: Column, fps: float, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
     """Runs of undetected frames between the first and last detection of a recording."""
-    hits = df.filter(detected).select(*keys, idx)
-    w = _w(keys, idx)
-    steps = hits.withColumn("_gap", F.col(idx) - F.lag(idx).over(w) - 1)
+    hits = df.filter(detected).select(*keys, idx, *[c for c in (SLICE,) if c in df.columns])
+
+    def stepped(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("_gap", F.col(idx) - F.lag(idx).over(_w(by, idx)) - 1)
+
+    steps = across(hits, keys, idx, stepped, before=1)
     gap = F.when(F.col("_gap") > 0, F.col("_gap"))
     window_len = F.max(idx) - F.min(idx) + 1
     return steps.groupBy(*keys).agg(
@@ -447,11 +472,15 @@ def nearest_tracked(
     df: DataFrame, tracked: Column, columns: Sequence[str], keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
     """Nearest tracked frame of each frame; of two equally near ones the earlier."""
-    w = _w(keys, idx)
     here = F.when(tracked, F.struct(F.col(idx).alias("i"), *columns))
-    before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    staged = df.withColumns({"_b": before, "_a": after})
+
+    def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = _w(by, idx)
+        before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        return rows.withColumns({"_b": before, "_a": after})
+
+    staged = across(df, keys, idx, neighbours, near=tracked)
     nearer = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).otherwise(
         F.when(F.col(idx) - F.col("_b.i") <= F.col("_a.i") - F.col(idx), F.col("_b")).otherwise(F.col("_a"))
     )
@@ -527,10 +556,7 @@ def cycle_features(
 
     ``start`` is the start time of a cycle; without it cycles follow one another without gaps.
     """
-    if start is None:
-        before = F.sum(interval).over(_w(keys, idx).rowsBetween(Window.unboundedPreceding, -1))
-        start = F.coalesce(before, F.lit(0.0))
-    timed = df.withColumn("_t", start)
+    timed = df.withColumn("_t", start) if start is not None else running(df, keys, idx, {"_t": interval}, inclusive=False)
     n = F.count(F.lit(1))
     cycle_no = F.col(idx).cast("double")
     agg = timed.groupBy(*keys).agg(
@@ -583,10 +609,12 @@ def interruptions(
     df: DataFrame, interval: str, keys: Sequence[str] = KEYS, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Hesitations, arrests and pause burden of the half-cycle intervals of each recording."""
-    clean = df.filter(F.col(interval) > 1e-6)
-    med = F.percentile(interval, 0.5).over(_whole(keys))
-    n = F.count(F.lit(1)).over(_whole(keys))
-    staged = clean.withColumns({"_med": med, "_n": n})
+    clean = totals(df.filter(F.col(interval) > 1e-6), keys, {"_n": F.count(F.lit(1))})
+    if SLICE in df.columns:
+        middle = exact_percentiles(clean, keys, interval, {"_med": 0.5})
+        staged = with_same_keys(clean, keys, middle)
+    else:
+        staged = clean.withColumn("_med", F.percentile(interval, 0.5).over(_whole(keys)))
     enough = F.col("_n") >= 2
     arrest = enough & (
         F.col(interval) > F.greatest(settings.arrest_ratio * F.col("_med"), F.lit(settings.arrest_floor_s))

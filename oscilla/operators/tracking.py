@@ -1,12 +1,13 @@
 """Association of per-frame detections to tracks, and choice of the main track.
 
 Only the order-dependent part - which detection continues which track - runs in Python, once per
-bounded recording.  Rotation, ranking, gap filling and appearance are windows and aggregations.
+stretch of a recording.  Rotation, ranking, gap filling and appearance are windows and aggregations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from oscilla.config import DEFAULTS, Settings
 from oscilla.operators import geometry as G
+from oscilla.operators.borders import across, running
+from oscilla.operators.cohort import null_safe_join
+from oscilla.operators.ordering import running_sum, slice_by_order
 from oscilla.operators.sequence import nearest_tracked, wrap_to_pi
+from oscilla.session import durable
 
 
 class Tracker:
@@ -28,13 +33,20 @@ class Tracker:
         self.gate = settings.match_thresh
         self.penalty = settings.handedness_penalty
         self.expected = expected
-        # one row per track: x, y, vx, vy, last frame
+        # one row per track: x, y, vx, vy, last frame; the first ones may be forgotten
         self.state = np.zeros((0, 5))
+        self.gone = 0
 
     def _start(self, frame: int, xy: np.ndarray) -> int:
         self.state = np.vstack([self.state, [xy[0], xy[1], 0.0, 0.0, frame]])
         return len(self.state) - 1
 
+    def forget(self, frame: int) -> None:
+        """Drop the leading tracks that no later frame can continue; numbers stay as they are."""
+        alive = frame - self.state[:, 4] < self.max_gap
+        drop = int(np.argmax(alive)) if alive.any() else len(alive)
+        self.state, self.gone = self.state[drop:], self.gone + drop
+
     def step(self, frame: int, xy: np.ndarray, labels: Sequence[str | None]) -> list[int]:
         """Track number of each detection of this frame."""
         assigned = [-1] * len(xy)
@@ -62,7 +74,7 @@ class Tracker:
         for d, track in enumerate(assigned):
             if track < 0:
                 assigned[d] = self._start(frame, xy[d])
-        return assigned
+        return [self.gone + t for t in assigned]
 
 
 def associate(
@@ -72,24 +84,70 @@ def associate(
     keys: Sequence[str] = ("video",),
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Add ``track`` to detections (keys, frame_idx, det_idx, label, lm, ...)."""
+    """Add ``track`` to detections (keys, frame_idx, det_idx, label, lm, ...).
+
+    After more than ``max_gap`` frames without a detection no track is alive, so recordings are cut
+    there: stretches are independent, and the tracks of one are numbered on from those before it.  The
+    detections of a stretch pass through one task as a sorted stream, which holds a batch and the tracks
+    that may still go on, however long the stretch is.
+    """
     keys = list(keys)
     wrist = G.point(F.col("lm"), G.WRIST)
     slim = detections.select(*keys, "frame_idx", "det_idx", "label", wrist["x"].alias("x"), wrist["y"].alias("y"))
+    placed = slice_by_order(slim.withColumn("_o", F.struct("frame_idx", "det_idx")), keys, ["_o"])
+    dead = Tracker(fps, expected, settings).max_gap
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable")
-        tracker = Tracker(fps, expected, settings)
-        tracks: list[int] = []
-        for frame, group in pdf.groupby("frame_idx", sort=True):
-            labels = [None if pd.isna(v) else v for v in group["label"]]
-            tracks += tracker.step(int(frame), group[["x", "y"]].to_numpy(float), labels)
-        return pdf[[*keys, "frame_idx", "det_idx"]].assign(track=tracks)
+    def begun(rows: DataFrame, by: list[str]) -> DataFrame:
+        before = F.lag("frame_idx").over(Window.partitionBy(*by).orderBy("_o"))
+        return rows.withColumn("_fresh", F.coalesce(F.col("frame_idx") - before > dead, F.lit(True)).cast("long"))
 
+    cut = running(across(placed, keys, "_o", begun, before=1), keys, "_o", {"stretch": "_fresh"})
     types = dict(detections.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "frame_idx", "det_idx"]) + ", track int"
-    assigned = slim.groupBy(*keys).applyInPandas(run, schema)
-    return detections.join(assigned, [*keys, "frame_idx", "det_idx"])
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "frame_idx", "det_idx"]) + ", stretch long, track long"
+    by = [*keys, "stretch"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracker, last, held = Tracker(fps, expected, settings), None, None
+        for batch in chain(batches, [None]):
+            # the last frame of a batch may go on in the next
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            edges = _edges(rows, [*by, "frame_idx"])
+            ready = len(rows) if batch is None else edges[-2]
+            tracks: list[int] = []
+            for a, b in pairwise(e for e in edges if e <= ready):
+                stretch = tuple(None if pd.isna(v) else v for v in rows.iloc[a][by])
+                if stretch != last:
+                    tracker, last = Tracker(fps, expected, settings), stretch
+                labels = [None if pd.isna(v) else v for v in rows["label"].iloc[a:b]]
+                frame = int(rows["frame_idx"].iloc[a])
+                tracks += tracker.step(frame, rows[["x", "y"]].iloc[a:b].to_numpy(float), labels)
+                tracker.forget(frame)
+            held = rows.iloc[ready:]
+            if tracks:
+                yield rows.iloc[:ready][[*keys, "frame_idx", "det_idx", "stretch"]].assign(track=tracks)
+
+    ordered = cut.select(*by, "frame_idx", "det_idx", "label", "x", "y").repartition(*by).sortWithinPartitions(*by, "frame_idx", "det_idx")
+    local = durable(ordered.mapInPandas(run, schema))
+    sizes = local.groupBy(*by).agg((F.max("track") + 1).alias("_tracks"))
+    numbered = running_sum(sizes, keys, ["stretch"], {"_upto": "_tracks"})
+    offsets = numbered.select(*by, (F.col("_upto") - F.col("_tracks")).alias("_before"))
+    # the offsets of the stretches after the first; most recordings have one stretch only
+    later = offsets.filter("_before > 0")
+    assigned = null_safe_join(local, later, by, "left").select(
+        *keys, "frame_idx", "det_idx", (F.col("track") + F.coalesce("_before", F.lit(0))).cast("int").alias("track")
+    )
+    return null_safe_join(detections, assigned, [*keys, "frame_idx", "det_idx"])
+
+
+def _edges(rows: pd.DataFrame, by: Sequence[str]) -> list[int]:
+    """Where runs of equal rows begin, and the end."""
+    changed = np.zeros(len(rows), bool)
+    for c in by:
+        v = rows[c].to_numpy()
+        changed[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+    return [0, *np.flatnonzero(changed).tolist(), len(rows)]
 
 
 def rotation(tracked: DataFrame, keys: Sequence[str] = ("video", "track")) -> DataFrame:

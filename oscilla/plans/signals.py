@@ -6,7 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from oscilla.config import DEFAULTS
+from oscilla.functions import dsp
 from oscilla.operators import sequence as S
+from oscilla.operators.borders import totals
+from oscilla.operators.filters import zero_phase
+from oscilla.operators.ordering import SLICE, slice_by_order
 from oscilla.plans.registry import query
 from oscilla.sources.fixtures import cycles, frames, with_ctes
 
@@ -16,6 +21,11 @@ ROW = [*KEYS, "frame_idx"]
 W = "PARTITION BY video, clip ORDER BY frame_idx"
 
 
+def sliced(df):
+    """Extrema of recordings, cut by range like their frames."""
+    return slice_by_order(df, KEYS, ["frame_idx"])
+
+
 def _out(df, **columns):
     return df.select(*ROW, *[F.round(c, d).alias(n) for n, (c, d) in columns.items()])
 
@@ -175,6 +185,51 @@ def parabolic(spark, sf_dir):
     return _out(S.parabolic_vertex(scaled, "scaled", "vertex"), vertex=("vertex", 6))
 
 
+def _section_sql(name, source, row, states):
+    """One second-order section over the list ``ys`` of each recording, as a fold; it starts in its steady state."""
+    b0, b1, b2, _, a1, a2 = (repr(float(c)) for c in row)
+    z0, z1 = (repr(float(z)) for z in states)
+    w = f"({b0} * b.v + a.s0)"
+    return f"""
+, {name} AS (SELECT video, clip, x1, list_reduce(list_prepend({{'v': CAST(0 AS DOUBLE), 's0': {z0} * x1, 's1': {z1} * x1, 'ys': CAST([] AS DOUBLE[])}},
+   list_transform(ys, lambda y: {{'v': y, 's0': CAST(0 AS DOUBLE), 's1': CAST(0 AS DOUBLE), 'ys': CAST([] AS DOUBLE[])}})), lambda a, b:
+   {{'v': b.v, 's0': {b1} * b.v - {a1} * {w} + a.s1, 's1': {b2} * b.v - {a2} * {w}, 'ys': list_append(a.ys, {w})}}).ys AS ys FROM {source})"""
+
+
+def _zero_phase_sql():
+    """Odd extension, all sections forward, all sections backward."""
+    edges = dsp.band_edges(FPS, DEFAULTS.cutoff_hz, DEFAULTS.highpass_hz, DEFAULTS.filter_order)
+    sos, pad = dsp.butterworth(*edges), dsp.padding(edges)
+    states = dsp.steady_state(sos).reshape(-1, 2)
+    parts = [
+        f"""
+, p AS (SELECT video, clip, list(CAST(value AS DOUBLE) ORDER BY frame_idx) AS v, count(*) AS n FROM frames GROUP BY ALL)
+, e0 AS (SELECT video, clip, list_concat(list_concat(list_transform(range({pad}, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v),
+     list_transform(range(1, {pad + 1}), lambda i: 2 * v[n] - v[n - i])) AS ys FROM p WHERE n >= {dsp.shortest_filtered(DEFAULTS.filter_order)})"""
+    ]
+    source = "e0"
+    for way in ("f", "b"):
+        parts.append(f"\n, {way} AS (SELECT video, clip, ys[1] AS x1, ys FROM {source})")
+        source = way
+        for k, (row, state) in enumerate(zip(sos, states, strict=True)):
+            parts.append(_section_sql(f"{way}{k}", source, row, state))
+            source = f"{way}{k}"
+        parts.append(f"\n, r{way} AS (SELECT video, clip, list_reverse(ys) AS ys FROM {source})")
+        source = f"r{way}"
+    parts.append(
+        f"""
+SELECT p.video, p.clip, unnest(range(n)) AS frame_idx, round(unnest(coalesce(ys[{pad + 1}:{pad} + n], v)), 4) AS band
+FROM p LEFT JOIN rb USING (video, clip)"""
+    )
+    return with_ctes("frames", body="".join(parts))
+
+
+@query("zero_phase_filter", _zero_phase_sql())
+def zero_phase_filter(spark, sf_dir):
+    band = zero_phase(frames(spark, sf_dir), "value", "band", FPS, DEFAULTS.highpass_hz, KEYS)
+    return _out(band, band=("band", 4))
+
+
 _EXTREMA_SQL = f"""
 , c AS (SELECT *, value - avg(value) OVER (PARTITION BY video, clip) AS x FROM frames)
 , s AS (SELECT *, CASE WHEN round(x, 9) < 0 THEN -1 ELSE 1 END AS sgn FROM c)
@@ -196,9 +251,10 @@ _ALT_SQL = (
 
 
 def _raw_extrema(spark, sf_dir):
-    df = frames(spark, sf_dir).select(*ROW, "value")
+    df = frames(spark, sf_dir).select(*ROW, SLICE, "value")
     # round keeps the sign of a centred sample independent of summation order
-    centred = df.withColumn("centred", F.round(F.col("value") - F.avg("value").over(S._whole(KEYS)), 9))
+    summed = totals(df, KEYS, {"_s": F.sum("value"), "_c": F.count("value")})
+    centred = summed.withColumn("centred", F.round(F.col("value") - F.col("_s") / F.col("_c"), 9))
     return df, S.zero_crossing_extrema(centred, "value", "centred", 2, 100)
 
 
@@ -223,7 +279,7 @@ def zero_crossings(spark, sf_dir):
 )
 def alternating_extrema(spark, sf_dir):
     _, raw = _raw_extrema(spark, sf_dir)
-    return S.alternate(raw).select(*KEYS, "etype", "frame_idx", F.round("height", 4).alias("height"))
+    return S.alternate(sliced(raw)).select(*KEYS, "etype", "frame_idx", F.round("height", 4).alias("height"))
 
 
 @query(
@@ -244,7 +300,7 @@ SELECT video, clip, CASE WHEN count(*) >= 2 THEN round(avg(e), 9) END AS integra
 def integral_amplitude(spark, sf_dir):
     df, raw = _raw_extrema(spark, sf_dir)
     rate = S.gradient(df, "value", "rate", FPS)
-    out = S.integral_amplitude(rate, S.alternate(raw), "rate", FPS)
+    out = S.integral_amplitude(rate, S.alternate(sliced(raw)), "rate", FPS)
     return out.select(*KEYS, F.round("integral_amplitude", 9).alias("integral_amplitude"))
 
 

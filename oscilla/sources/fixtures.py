@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oscilla.config import DEFAULTS
 from oscilla.functions import normalize
-from oscilla.operators.ordering import to_recordings
+from oscilla.operators.ordering import SLICE, to_recordings
 
 # embeddings have no recording of their own: so many in a row play one
 LANDMARK_FRAMES = 250
@@ -162,7 +162,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "amplitude", "interval_s"]
     numbered = to_recordings(li, ["video"], order)
     return numbered.select(
-        "video", "clip", F.col("frame_idx").alias("cycle_no"), "amplitude", "interval_s", "peak_velocity"
+        SLICE, "video", "clip", F.col("frame_idx").alias("cycle_no"), "amplitude", "interval_s", "peak_velocity"
     )
 
 

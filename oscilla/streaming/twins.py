@@ -76,21 +76,16 @@ def track_stream(
             state.remove()
             return
         tracker = Tracker(fps, expected, settings)
-        first = 0
         if state.exists:
-            first, rows = state.get
+            tracker.gone, rows = state.get
             tracker.state = np.asarray(rows, dtype=float).reshape(-1, 5)
         pdf = pd.concat(list(batches)).sort_values(["frame_idx", "det_idx"], kind="stable")
         tracks: list[int] = []
         for frame, part in pdf.groupby("frame_idx", sort=True):
             labels = [None if pd.isna(v) else v for v in part["label"]]
-            steps = tracker.step(int(frame), part[["x", "y"]].to_numpy(float), labels)
-            tracks += [first + t for t in steps]
-        last = int(pdf["frame_idx"].max())
-        alive = last - tracker.state[:, 4] <= tracker.max_gap
-        # numbers stay stable: only the leading dead tracks may be forgotten
-        drop = int(np.argmax(alive)) if alive.any() else len(alive)
-        state.update((first + drop, [float(v) for v in tracker.state[drop:].ravel()]))
+            tracks += tracker.step(int(frame), part[["x", "y"]].to_numpy(float), labels)
+            tracker.forget(int(frame))
+        state.update((tracker.gone, [float(v) for v in tracker.state.ravel()]))
         if ts:
             seen = int(pdf[ts].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + 1)
