@@ -2,12 +2,11 @@
 
 The token share p of each source is raised to an exponent a and normalised.  The largest a in [0, 1]
 is found by bisection whose weights reach the target entropy (as a share of the logarithm of the
-number of sources) and repeat no source more than the limit allows at the given budget.  Without a
-budget the draw is the largest that reaches the target within the limit: every source is drawn as often
-as the limit allows, but none beyond a common ceiling, found by bisection.  Any other draw of this
-entropy within the limit has fewer tokens.  Sources with less than a hundredth of an equal share of the
-tokens are drawn as often as the limit allows and don't count in that entropy, so they don't lower the
-ceiling of the others.
+number of sources); without a target it is the smallest one, the flattest mix, that repeats no source
+more than the limit allows.  The weights share out a budget, a part of the tokens of the corpus.  A source
+whose part exceeds its repetition limit is held there, and what it can't take goes to the others in
+proportion to their weights, so a small source limits itself only.  With an entropy beyond what the limit
+allows, the mix comes as near as the limit lets it.
 
 A source's quota is drawn from permutations of its documents, one for each pass: documents are dealt
 by a keyed hash into blocks, blocks are taken whole in the order of their number while the quota
@@ -28,16 +27,19 @@ their place in the files.  Without any token nothing is drawn.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from oscilla.llm.common import FILE, ROW, on_file, with_locator
-from oscilla.llm.token_count import count_tokens
+from oscilla.llm.bpe import encoder
+from oscilla.llm.common import FILE, ROW, on_file, slices, texts_of, with_locator
 from oscilla.session import durable
 
 BLOCK_ROWS = 2_000
-SLIGHT = 0.01  # part of an equal share below which a source doesn't count in the entropy
 
 
 def word_count(text: Column) -> Column:
@@ -59,57 +61,58 @@ def entropy_share(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in live) / math.log(len(live))
 
 
-def exponent_for(
-    tokens: list[int], entropy: float | None, repeats: float | None, budget: int | None, rounds: int = 60
-) -> float:
-    """Largest exponent that meets the target entropy; smallest that keeps the repetition limit wins over it."""
+def exponent_for(tokens: list[int], entropy: float | None, repeats: float | None, budget: int, rounds: int = 60) -> float:
+    """Largest exponent whose weights reach the entropy; without one, the smallest that keeps the repetition limit."""
 
-    def flat_enough(a: float) -> bool:
-        return entropy is None or entropy_share(tempered(tokens, a)) >= entropy
+    def reached(a: float) -> bool:
+        return entropy_share(tempered(tokens, a)) >= entropy
 
     def within(a: float) -> bool:
-        if repeats is None or budget is None:
-            return True
         return all(w * budget <= repeats * n * (1 + 1e-12) for w, n in zip(tempered(tokens, a), tokens, strict=True))
 
-    def bisect(good_low: float, bad_high: float, test) -> float:
+    def bisect(good: float, bad: float, test) -> float:  # noqa: ANN001
+        if test(bad):
+            return bad
         for _ in range(rounds):
-            mid = (good_low + bad_high) / 2
-            good_low, bad_high = (mid, bad_high) if test(mid) else (good_low, mid)
-        return good_low
+            mid = (good + bad) / 2
+            good, bad = (mid, bad) if test(mid) else (good, mid)
+        return good
 
-    a = 1.0 if flat_enough(1.0) else bisect(0.0, 1.0, flat_enough)
-    # flatter weights repeat small sources more, so the limit can only push the exponent up again
-    return a if within(a) else 1 - bisect(0.0, 1 - a, lambda x: within(1 - x))
+    if entropy is not None:
+        return bisect(0.0, 1.0, reached)
+    return 1.0 if repeats is None else bisect(1.0, 0.0, within)
 
 
-def largest_draw(tokens: list[int], entropy: float | None, repeats: float) -> list[int]:
-    """Most tokens of each source within the repetition limit that reach the target entropy together."""
-    least = SLIGHT * sum(tokens) / sum(n > 0 for n in tokens)
-    counted = [n for n in tokens if n >= least]
-    low, high = repeats * min(counted), repeats * max(counted)
+def plan_quotas(tokens: list[int], entropy: float | None = None, repeats: float | None = 1.0, budget: int | None = None) -> list[int]:
+    """Tokens to draw from each source; the budget is all tokens unless it is given."""
+    total = sum(tokens)
+    if not total:
+        return [0] * len(tokens)
+    budget = total if budget is None else budget
+    weights = tempered(tokens, exponent_for(tokens, entropy, repeats, budget))
+    limits = [math.inf if repeats is None else repeats * n for n in tokens]
+    quotas, open_, left = [0.0] * len(tokens), [i for i, w in enumerate(weights) if w > 0], float(budget)
+    while open_:
+        scale = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * scale >= limits[i]]
+        for i in full or open_:
+            quotas[i] = limits[i] if full else weights[i] * scale
+        left -= sum(limits[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return [math.floor(min(q, limit) + 0.5) for q, limit in zip(quotas, limits, strict=True)]
 
-    def even(ceiling: float) -> bool:
-        drawn = [min(repeats * n, ceiling) for n in counted]
-        return entropy is None or entropy_share([x / sum(drawn) for x in drawn]) >= entropy
 
-    if even(high):
-        low = high
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if even(mid) else (low, mid)
-    return [math.floor((min(repeats * n, low) if n >= least else repeats * n) + 1e-6) for n in tokens]
+def token_lengths(rows: DataFrame, path: str) -> DataFrame:
+    """``who`` and ``tokens``, the number of ids of ``text`` as the packing counts them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = encoder(path)
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            lengths = [memo.values(texts[a:b])[1] for a, b in slices(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("who"), pa.array(np.concatenate(lengths) if lengths else [], pa.int64())], ["who", "tokens"])
 
-def plan_quotas(tokens: list[int], entropy: float | None = None, repeats: float | None = 1.0, budget: int | None = None) -> list[int]:
-    """Tokens to draw from each source."""
-    if not sum(tokens):
-        return [0] * len(tokens)
-    if budget is None:
-        return largest_draw(tokens, entropy, repeats or 1.0)
-    a = exponent_for(tokens, entropy, repeats, budget)
-    weights = tempered(tokens, a)
-    return [min(math.floor(w * budget + 0.5), math.floor((repeats or math.inf) * n)) if repeats else math.floor(w * budget + 0.5) for w, n in zip(weights, tokens, strict=True)]
+    return rows.mapInArrow(run, StructType().add("who", rows.schema["who"].dataType).add("tokens", "long"))
 
 
 def mix(
@@ -117,22 +120,27 @@ def mix(
     entropy: float | None = 0.9,
     repeats: float | None = 1.0,
     budget: int | None = None,
+    kept: float = 1.0,
     text: str = "text",
     source: str = "source",
     ident: str = "doc_id",
     seed: str = "mix",
     tokenizer: str | None = None,
 ) -> DataFrame:
-    """The drawn rows: their locator, ``id``, ``source``, ``tokens``, the pass (``epoch``) and ``block``."""
+    """The drawn rows: their locator, ``id``, ``source``, ``tokens``, the pass (``epoch``) and ``block``.
+
+    The budget is the part ``kept`` of all tokens unless it is given.
+    """
     spark = docs.sparkSession
     placed = with_locator(docs).select(F.struct(FILE, ROW, F.col(ident).alias("id"), F.col(source).cast("string").alias("source")).alias("who"), F.col(text).alias("text"))
     if tokenizer is None:
         sized = placed.select("who.*", word_count(F.col("text")).alias("tokens"))
     else:
-        sized = count_tokens(placed, tokenizer, "text", "who").select("id.*", F.col("n_tokens").alias("tokens"))
+        sized = token_lengths(placed, tokenizer).select("who.*", "tokens")
     sized = durable(sized)
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("source").collect()
-    quotas = plan_quotas([r["t"] for r in totals], entropy, repeats, budget)
+    tokens = [r["t"] for r in totals]
+    quotas = plan_quotas(tokens, entropy, repeats, math.floor(kept * sum(tokens)) if budget is None else budget)
     # passes over each source: whole ones, and one that ends inside
     passes = [
         (r["source"], e, min(q - e * r["t"], r["t"]), -(-r["n"] // BLOCK_ROWS))

@@ -14,7 +14,7 @@ from oscilla.llm.queries import ORACLES, PLANS
 
 def test_registered():
     plans = entry_point.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in plans if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in plans if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert plans["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert not any(re.search(r"\bLIMIT\b|USING SAMPLE", sql) for sql in ORACLES.values())
 
