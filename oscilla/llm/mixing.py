@@ -1,12 +1,12 @@
 """Mixing sources to target weights by temperature.
 
-The token share p of each source is raised to an exponent a and normalised.  The largest a in [0, 1]
-is found by bisection whose weights reach the target entropy (as a share of the logarithm of the
-number of sources); without a target it is the smallest one, the flattest mix, that repeats no source
-more than the limit allows.  The weights share out a budget, a part of the tokens of the corpus.  A source
-whose part exceeds its repetition limit is held there, and what it can't take goes to the others in
-proportion to their weights, so a small source limits itself only.  With an entropy beyond what the limit
-allows, the mix comes as near as the limit lets it.
+The token share p of each source is raised to an exponent a and normalised.  The weights share out a
+budget, a part of the tokens of the corpus.  A source whose part exceeds its repetition limit is held there,
+and what it can't take goes to the others in proportion to their weights, so a small source limits itself
+only.  The exponent is the largest in [0, 1], found by bisection, whose mix has the target entropy: a share
+of the greatest entropy that the limit allows at this budget (that of the flattest mix, a = 0), so a source
+that can hardly be drawn hardly counts.  Without a target it is the smallest exponent that repeats no
+source more than the limit allows.
 
 A source's quota is drawn from permutations of its documents, one for each pass: documents are dealt
 by a keyed hash into blocks, blocks are taken whole in the order of their number while the quota
@@ -54,21 +54,37 @@ def tempered(tokens: list[int], exponent: float) -> list[float]:
     return [x / whole for x in raised]
 
 
-def entropy_share(weights: list[float]) -> float:
-    live = [w for w in weights if w > 0]
-    if len(live) < 2:
-        return 1.0
-    return -sum(w * math.log(w) for w in live) / math.log(len(live))
+def entropy(parts: list[float]) -> float:
+    whole = sum(parts)
+    return -sum(x / whole * math.log(x / whole) for x in parts if x > 0)
 
 
-def exponent_for(tokens: list[int], entropy: float | None, repeats: float | None, budget: int, rounds: int = 60) -> float:
-    """Largest exponent whose weights reach the entropy; without one, the smallest that keeps the repetition limit."""
+def shared_out(weights: list[float], limits: list[float], budget: float) -> list[float]:
+    """Parts of the budget by weight; what exceeds a limit goes to the others by their weights."""
+    parts, live, left = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0], budget
+    while live:
+        scale = left / sum(weights[i] for i in live)
+        full = [i for i in live if weights[i] * scale >= limits[i]]
+        if not full:
+            for i in live:
+                parts[i] = weights[i] * scale
+            break
+        for i in full:
+            parts[i] = limits[i]
+            left -= limits[i]
+        live = [i for i in live if parts[i] == 0.0 and limits[i] > 0]
+    return parts
+
+
+def exponent_for(tokens: list[int], target: float | None, repeats: float | None, budget: int, rounds: int = 60) -> float:
+    """Largest exponent whose mix has the target entropy; without one, the smallest that keeps the repetition limit."""
+    limits = [math.inf if repeats is None else repeats * n for n in tokens]
 
     def reached(a: float) -> bool:
-        return entropy_share(tempered(tokens, a)) >= entropy
+        return entropy(shared_out(tempered(tokens, a), limits, budget)) >= least
 
     def within(a: float) -> bool:
-        return all(w * budget <= repeats * n * (1 + 1e-12) for w, n in zip(tempered(tokens, a), tokens, strict=True))
+        return all(w * budget <= limit * (1 + 1e-12) for w, limit in zip(tempered(tokens, a), limits, strict=True))
 
     def bisect(good: float, bad: float, test) -> float:  # noqa: ANN001
         if test(bad):
@@ -78,28 +94,21 @@ def exponent_for(tokens: list[int], entropy: float | None, repeats: float | None
             good, bad = (mid, bad) if test(mid) else (good, mid)
         return good
 
-    if entropy is not None:
+    if target is not None:
+        least = target * entropy(shared_out(tempered(tokens, 0.0), limits, budget)) * (1 - 1e-12)
         return bisect(0.0, 1.0, reached)
-    return 1.0 if repeats is None else bisect(1.0, 0.0, within)
+    return bisect(1.0, 0.0, within)
 
 
-def plan_quotas(tokens: list[int], entropy: float | None = None, repeats: float | None = 1.0, budget: int | None = None) -> list[int]:
+def plan_quotas(tokens: list[int], target: float | None = None, repeats: float | None = 1.0, budget: int | None = None) -> list[int]:
     """Tokens to draw from each source; the budget is all tokens unless it is given."""
     total = sum(tokens)
-    if not total:
-        return [0] * len(tokens)
     budget = total if budget is None else budget
-    weights = tempered(tokens, exponent_for(tokens, entropy, repeats, budget))
+    if not budget:
+        return [0] * len(tokens)
     limits = [math.inf if repeats is None else repeats * n for n in tokens]
-    quotas, open_, left = [0.0] * len(tokens), [i for i, w in enumerate(weights) if w > 0], float(budget)
-    while open_:
-        scale = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * scale >= limits[i]]
-        for i in full or open_:
-            quotas[i] = limits[i] if full else weights[i] * scale
-        left -= sum(limits[i] for i in full)
-        open_ = [i for i in open_ if i not in full] if full else []
-    return [math.floor(min(q, limit) + 0.5) for q, limit in zip(quotas, limits, strict=True)]
+    parts = shared_out(tempered(tokens, exponent_for(tokens, target, repeats, budget)), limits, budget)
+    return [math.floor(x + 0.5) for x in parts]
 
 
 def token_lengths(rows: DataFrame, path: str) -> DataFrame:
@@ -117,7 +126,7 @@ def token_lengths(rows: DataFrame, path: str) -> DataFrame:
 
 def mix(
     docs: DataFrame,
-    entropy: float | None = 0.9,
+    target: float | None = 0.9,
     repeats: float | None = 1.0,
     budget: int | None = None,
     kept: float = 1.0,
@@ -140,7 +149,7 @@ def mix(
     sized = durable(sized)
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("source").collect()
     tokens = [r["t"] for r in totals]
-    quotas = plan_quotas(tokens, entropy, repeats, math.floor(kept * sum(tokens)) if budget is None else budget)
+    quotas = plan_quotas(tokens, target, repeats, math.floor(kept * sum(tokens)) if budget is None else budget)
     # passes over each source: whole ones, and one that ends inside
     passes = [
         (r["source"], e, min(q - e * r["t"], r["t"]), -(-r["n"] // BLOCK_ROWS))

@@ -147,7 +147,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_source_mixing")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.mix(table(spark, sf_dir, "documents"), entropy=0.999, repeats=2.0, tokenizer=tokenizer_path())
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), target=0.999, repeats=2.0, tokenizer=tokenizer_path())
     return drawn.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", "position")
 
 

@@ -522,7 +522,7 @@ def test_top_k_blocks_and_large_numbers(spark):
 def test_exponent():
     tokens = [900, 50, 50]
     a = mixing.exponent_for(tokens, 0.8, None, 1000)
-    assert 0 < a < 1 and abs(mixing.entropy_share(mixing.tempered(tokens, a)) - 0.8) < 1e-9
+    assert 0 < a < 1 and mixing.entropy(mixing.tempered(tokens, a)) == pytest.approx(0.8 * math.log(3))
     assert mixing.exponent_for([10, 10], 1.0, None, 20) == 1.0
     assert mixing.exponent_for(tokens, 0.1, None, 1000) == 1.0
     limited = mixing.exponent_for(tokens, None, 2.0, 1000)
@@ -532,35 +532,37 @@ def test_exponent():
 
 
 def test_quotas_by_hand():
-    # weights 3 : 1 at exponent 1/2; the small source may give 150, the rest goes to the other
-    tokens, a = [900, 100], 0.5
-    entropy = mixing.entropy_share([0.75, 0.25])
-    assert mixing.exponent_for(tokens, entropy, None, 1000) == pytest.approx(a)
-    assert mixing.plan_quotas(tokens, entropy, None, 1000) == [750, 250]
-    assert mixing.plan_quotas(tokens, entropy, 1.5, 1000) == [850, 150]
-    assert mixing.plan_quotas(tokens, entropy, 1.0, 800) == [700, 100]
-    assert mixing.plan_quotas(tokens, entropy, 1.0, 5000) == [900, 100]
+    # weights 3 : 1 at exponent 1/2
+    tokens = [900, 100]
+    target = mixing.entropy([3, 1]) / math.log(2)
+    assert mixing.exponent_for(tokens, target, None, 1000) == pytest.approx(0.5)
+    assert mixing.plan_quotas(tokens, target, None, 1000) == [750, 250]
+    # the small source may give 150, and the rest goes to the other
+    assert mixing.plan_quotas(tokens, 1.0, 1.5, 1000) == [850, 150]
+    assert mixing.plan_quotas(tokens, 1.0, 1.0, 800) == [700, 100]
+    assert mixing.plan_quotas(tokens, 1.0, 1.0, 5000) == [900, 100]
     # two sources held at their limits, one after the other
     assert mixing.plan_quotas([800, 100, 100], 1.0, 2.0, 900) == [500, 200, 200]
     assert mixing.plan_quotas([600, 300, 100], 1.0, 1.1, 900) == [460, 330, 110]
 
 
 def test_small_sources_do_not_scale_down_the_mix():
-    def kept(tokens, repeats=1.0, part=0.9):
-        quotas = mixing.plan_quotas(tokens, 0.9, repeats, int(part * sum(tokens)))
+    def kept(tokens, repeats=1.0, part=0.9, target=0.99):
+        quotas = mixing.plan_quotas(tokens, target, repeats, int(part * sum(tokens)))
         assert all(0 < q <= repeats * n for q, n in zip(quotas, tokens, strict=True))
         return quotas, sum(quotas) / sum(tokens)
 
     large = [2 * 10**9] + [4 * 10**9 // 19] * 19
     even, share = kept(large)
-    assert share == pytest.approx(0.9) and even[0] / sum(even) < 0.3
+    assert share == pytest.approx(0.9, rel=1e-6) and even[0] / sum(even) < 0.3
     more, share_more = kept([*large, 10])
-    assert more[-1] == 10 and share_more == pytest.approx(0.9) and max(abs(a - b) / b for a, b in zip(more, even)) < 0.01
-    assert kept([10**9 // i for i in range(1, 1001)])[1] == pytest.approx(0.9)
+    assert more[-1] <= 10 and share_more == pytest.approx(0.9, rel=1e-6)
+    assert max(abs(a - b) / b for a, b in zip(more, even)) < 0.01
+    assert kept([10**9 // i for i in range(1, 1001)])[1] == pytest.approx(0.9, rel=1e-6)
     # a little more in a small source changes little
     one, two = kept([6 * 10**9, 30_000_000])[0], kept([6 * 10**9, 30_300_000])[0]
-    assert abs(one[0] - two[0]) / one[0] < 0.01 and one[1] == 30_000_000 and two[1] == 30_300_000
-    assert kept(large, 2.0, 1.5)[1] == pytest.approx(1.5)
+    assert abs(one[0] - two[0]) / one[0] < 0.01 and abs(one[1] - two[1]) / one[1] < 0.02
+    assert kept(large, 2.0, 1.5)[1] == pytest.approx(1.5, rel=1e-6)
 
 
 def drawn_by_hand(rows, quotas, blocks, seed="mix"):
