@@ -36,9 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens, shared out by temperature to 0.9 of the greatest entropy as far as no row is repeated."""
+    """Nine tenths of the tokens, shared out by temperature to 0.99 of the greatest entropy that unrepeated rows allow."""
     ship_package(spark)
-    return mixing.draw(docs, entropy=0.9, repeats=1.0, kept=0.9, tokenizer=tokenizer_path())
+    return mixing.draw(docs, target=0.99, repeats=1.0, kept=0.9, tokenizer=tokenizer_path())
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
