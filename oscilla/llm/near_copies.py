@@ -1,19 +1,24 @@
-"""Near copies by similarity: SimHash and min-wise candidates, verified on the sets of word shingles.
+"""Near copies by similarity: fingerprint groups first, then an exact prefix filter, verified on word shingles.
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 10 of 64 SimHash
 bits.  The generalised pigeonhole is exact at any radius, but at that one its candidates grow with the
-square of the documents.  So the groups of ``simhash.links`` at a small radius are one source of
-candidates here, and bands of min-wise hashes, which stay selective, are the other.  Every candidate of
-both is verified by the exact similarity, and verified links become groups.
-
-Texts with the same set are folded to one first.  In a first pass a band that several sets share gives
-each of them one candidate, the least set of the narrow band or the greatest of the wide one, and a group
-of fingerprints its least set.  That hub may be an outsider that is like none of the others, so buckets
-whose members are not all in one group after it are settled exactly: in crowded ones further hubs link
-what they can, and then every pair of members that are still in different groups is compared.  That is
-quadratic only in members of one bucket that stay in different groups.  So a link is missed only if no
-band and no group of fingerprints is shared.  At a similarity of 0.8 a pair shares one of the 24 narrow
-bands with a chance of 0.999; a shared wide band is two shared narrow ones.
+square of the documents.  So the groups of ``simhash.links`` at a small radius are a first source of
+candidates here, which joins what is almost equal, and a prefix filter finds the rest exactly.
+
+Shingles have one order for the whole corpus, rare ones first.  Two sets of the similarity s share a shingle
+among the first n - ceil(s * n) + 1 of both, so only those are posted, and a passage that many texts share is
+frequent and stays out of them.  How frequent a shingle is comes from counts in a table of fixed size; the
+order is only approximately that of the true counts, and any order gives the same groups.  The
+places of the shared shingle and the sizes bound the overlap, and pairs below the bound are no candidates.
+
+Large groups of like texts share their prefixes.  Members of one group need one verified link only, so a list
+of postings is settled when all its members are in one group.  In crowded lists a hub, the same in all lists
+it is in, is compared with the others first, round by round; then the members outside a list's largest group
+are compared with all members of other groups that the bound allows.
+
+Texts with the same set are folded to one first.  Every candidate is verified by the exact similarity on the
+sets, read from the texts again.  So every pair of at least the similarity ends in one group, and every group
+hangs together by such pairs.
 
 Cases: texts with fewer words than a shingle are one shingle.  Null and empty texts and texts without
 words have the same, empty set, so one of them stays.  A null identifier gives way to any other; of rows
@@ -25,101 +30,151 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from oscilla.llm.common import FILE, ROW, on_file, with_locator
 from oscilla.llm.components import components
 from oscilla.llm.simhash import links, majority, shingle_hashes
 from oscilla.session import durable
 
-BANDS, WIDTH = 24, 6  # narrow bands, and hashes in each; a wide band is a narrow one and its successor
 SALTS = 32  # parts that the members of one candidate set are dealt to
-CROWD = 32  # members outside a bucket's largest group above which further hubs come before pairs
-BLOCK_ROWS = 1_000  # members of a bucket that are compared in one part
+CROWD = 32  # members outside a list's largest group above which further hubs come before pairs
+BLOCK_ROWS = 1_000  # members of a list that are compared in one part
+CELL_BITS, CHUNK_BITS = 20, 8  # cells of the table of counts, and chunks in which it is added up
+
 
+def set_mark(bag: np.ndarray) -> int:
+    """Signed hash of a set of shingles."""
+    from xxhash import xxh64_intdigest
 
-def minima(bag: np.ndarray) -> np.ndarray:
-    """Least value of each of ``BANDS * WIDTH`` permutations of a set of hashes."""
-    rng = np.random.default_rng(11)
-    factor = rng.integers(0, 1 << 31, (BANDS * WIDTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    offset = rng.integers(0, 1 << 32, (BANDS * WIDTH, 1), dtype=np.uint32)
-    low = np.full(BANDS * WIDTH, np.iinfo(np.uint32).max, np.uint32)
-    short = (bag >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(short), 1024):
-        np.minimum(low, (factor * short[None, a : a + 1024] + offset).min(1), out=low)
-    return low
+    return int(np.array([xxh64_intdigest(bag.tobytes(), 42)], np.uint64).view(np.int64)[0])
 
 
-def band_keys(bag: np.ndarray) -> list[int]:
-    """Signed keys of the narrow bands, then of the wide ones."""
-    from xxhash import xxh64_intdigest
+def cell_of(bag: np.ndarray) -> np.ndarray:
+    return (bag >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    low = minima(bag)
-    ring = np.append(low, low[:WIDTH])
-    keys = [xxh64_intdigest(ring[b * WIDTH : (b + n) * WIDTH].tobytes(), n * BANDS + b) for n in (1, 2) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
 
+def marked_sets(rows: DataFrame, words: int) -> DataFrame:
+    """For the text in the last column: ``bag`` (a hash of the set), its size ``n`` and ``fp``.
 
-def _mapped(rows: DataFrame, kernel, fields: str) -> DataFrame:  # noqa: ANN001
-    """``rows`` with the last column, a text, replaced by the ``fields`` that ``kernel`` makes of it."""
+    Each task adds rows with a ``chunk``: its part of the table of counts, ``cells``.
+    """
     last = len(rows.columns) - 1
-    added = StructType.fromDDL(fields)
-    schema = StructType([*rows.schema.fields[:last], *added.fields])
+    given = [StructField(f.name, f.dataType) for f in rows.schema.fields[:last]]  # null in the rows of counts
+    schema = StructType([*given, *StructType.fromDDL("bag long, n int, fp long, chunk int, cells array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, kinds = np.zeros(1 << CELL_BITS, np.int64), None
         for batch in batches:
+            kinds = [c.type for c in batch.columns[:last]]
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                made = zip(*(kernel(t.as_py()) for t in part.column(last)), strict=True)
-                columns = [pa.array(c, pa.list_(pa.int64()) if isinstance(c[0], list | np.ndarray) else pa.int64()) for c in made]
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], *columns], schema.names)
+                marks, sizes, prints, met = [], [], [], []
+                for text in part.column(last):
+                    hashes = shingle_hashes(text.as_py(), words)
+                    bag = np.unique(hashes)
+                    met.append(cell_of(bag))
+                    marks.append(set_mark(bag))
+                    sizes.append(len(bag))
+                    prints.append(majority(hashes))
+                cells += np.bincount(np.concatenate(met), minlength=len(cells)) if met else 0
+                made = [pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+                empty = [pa.nulls(len(marks), pa.int32()), pa.nulls(len(marks), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *made, *empty], schema.names)
+        if kinds is not None:
+            table = np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32).reshape(1 << CHUNK_BITS, -1)
+            blank = [pa.nulls(len(table), t) for t in [*kinds, pa.int64(), pa.int32(), pa.int64()]]
+            yield pa.RecordBatch.from_arrays(
+                [*blank, pa.array(np.arange(len(table), dtype=np.int32)), pa.array(list(table), pa.list_(pa.int32()))], schema.names
+            )
 
     return rows.mapInArrow(run, schema)
 
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """For the text in the last column: ``bag`` (a hash of the set), its size ``n``, ``fp`` and the band ``keys``."""
+def commonness(marked: DataFrame) -> np.ndarray:
+    """A level for each cell that grows with the shingles counted in it; a table of fixed size for the driver."""
 
-    def kernel(text: str | None) -> tuple[int, int, int, list[int]]:
-        from xxhash import xxh64_intdigest
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum(np.stack(parts["cells"].to_numpy()).astype(np.int64), axis=0)
+        levels = np.minimum(4 * np.log2(whole + 1), 255).astype(np.int32)
+        return pd.DataFrame({"chunk": [parts["chunk"].iloc[0]], "levels": [levels]})
 
-        hashes = shingle_hashes(text, words)
-        bag = np.unique(hashes)
-        marks = np.array([xxh64_intdigest(bag.tobytes(), 42), majority(hashes)], np.uint64).view(np.int64).tolist()
-        return marks[0], len(bag), marks[1], band_keys(bag) if len(bag) else []
+    summed = marked.filter("chunk IS NOT NULL").select("chunk", "cells").groupBy("chunk").applyInPandas(add, "chunk int, levels array<int>")
+    out = np.zeros((1 << CHUNK_BITS, 1 << (CELL_BITS - CHUNK_BITS)), np.uint8)
+    for r in summed.collect():
+        out[r["chunk"]] = r["levels"]
+    return out.ravel()
 
-    return _mapped(rows, kernel, "bag long, n long, fp long, keys array<long>")
 
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
-def members(rows: DataFrame, words: int) -> DataFrame:
-    """For the text in the last column: its set as the array ``members``."""
 
-    def kernel(text: str | None) -> tuple[np.ndarray]:
-        return (np.unique(shingle_hashes(text, words)).view(np.int64),)
+def prefixes(rows: DataFrame, words: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """Postings of the texts in the only column: ``key`` (a shingle), ``bag``, ``n`` and its place ``pos`` in the order."""
+    sent = rows.sparkSession.sparkContext.broadcast(levels)
 
-    return _mapped(rows, kernel, "members array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                keys, marks, sizes = [], [], []
+                for text in batch.column(0).slice(a, 500):
+                    bag = np.unique(shingle_hashes(text.as_py(), words))
+                    if not len(bag):
+                        continue
+                    first = np.lexsort((bag, level[cell_of(bag)]))[: prefix_length(len(bag), similarity)]
+                    keys.append(bag[first].view(np.int64))
+                    marks.append(set_mark(bag))
+                    sizes.append(len(bag))
+                if keys:
+                    counts = np.array([len(k) for k in keys])
+                    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    columns = [np.concatenate(keys), np.repeat(marks, counts), np.repeat(sizes, counts).astype(np.int32), place.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "bag", "n", "pos"])
 
+    return rows.mapInArrow(run, "key long, bag long, n int, pos int")
 
-def fingerprint_groups(bags: DataFrame, radius: int) -> DataFrame:
-    """``fp``, the ``root`` of its group in the radius, and the ``least`` set that has it."""
-    fps = durable(bags.filter("n > 0").groupBy("fp").agg(F.min("bag").alias("least")))
-    named = fps.join(components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left")
-    return durable(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
 
+def shared_postings(rows: DataFrame, words: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """The postings of shingles that several sets have in their prefix."""
+    posted = durable(prefixes(rows, words, similarity, levels))
+    shared = posted.groupBy("key").agg(F.min("bag").alias("lo"), F.max("bag").alias("hi")).filter("lo < hi").select("key")
+    return durable(posted.join(shared.hint("merge"), "key").distinct())
 
-def candidate_pairs(bags: DataFrame, similarity: float, radius: int, named: DataFrame | None = None) -> DataFrame:
-    """Pairs ``a``, ``b`` of a hub and a member to verify first: by bands, and by groups of fingerprints in the radius."""
-    keyed = bags.select("bag", F.posexplode("keys").alias("pos", "key"))
-    shared = keyed.groupBy("key").agg(F.min("bag").alias("lo"), F.max("bag").alias("hi")).filter("lo < hi")
-    by_band = keyed.join(shared, "key").select(F.when(F.col("pos") < BANDS, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.col("bag").alias("b"))
 
-    named = fingerprint_groups(bags, radius) if named is None else named
+def may_reach(similarity: float, n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+    """Whether two sets whose first common shingle has these places can overlap enough."""
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (n + other_n) - 1e-9)
+    return F.least(n - pos, other_n - other_pos) >= needed
+
+
+def members(rows: DataFrame, words: int) -> DataFrame:
+    """For the text in the last of two columns: its set as the array ``members``."""
+    schema = StructType([rows.schema.fields[0], *StructType.fromDDL("members array<long>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def fingerprint_pairs(bags: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of the least set and each other one of a group of fingerprints in the radius."""
+    fps = durable(bags.filter("n > 0").groupBy("fp").agg(F.min("bag").alias("least")))
+    named = fps.join(components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left")
+    named = durable(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     heads = named.groupBy("root").agg(F.min("least").alias("a"))
-    by_fp = bags.filter("n > 0").select("fp", F.col("bag").alias("b")).join(named.join(heads, "root").select("fp", "a"), "fp").select("a", "b")
-    return alike_in_size(bags, by_band.unionByName(by_fp).filter("a <> b").distinct(), similarity)
+    pairs = bags.filter("n > 0").select("fp", F.col("bag").alias("b")).join(named.join(heads, "root").select("fp", "a"), "fp").select("a", "b")
+    return alike_in_size(bags, pairs.filter("a <> b").distinct(), similarity)
 
 
 def alike_in_size(bags: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -129,38 +184,36 @@ def alike_in_size(bags: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     return sized.filter(F.least("na", "nb") / F.greatest("na", "nb") >= similarity).select("a", "b")
 
 
-def buckets(bags: DataFrame, named: DataFrame) -> DataFrame:
-    """``key``, ``bag``, ``n`` and ``lo``, the hub of the first pass, of buckets that it may have left unsettled."""
-    narrow = bags.select("bag", "n", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
-    by_fp = bags.filter("n > 0").join(named, "fp").select("bag", "n", F.xxhash64("root", F.lit("fp")).alias("key"))
-    met = narrow.unionByName(by_fp)
-    return durable(met.join(met.groupBy("key").agg(F.min("bag").alias("lo"), F.count(F.lit(1)).alias("c")).filter("c > 2").drop("c"), "key"))
-
-
 def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``met`` in buckets of several groups: their ``root``, the bucket's largest group ``top``, rows ``c`` and rows ``out`` side ``top``."""
+    """Rows of ``met`` in lists of several groups: their ``root``, the list's largest group ``top``, rows ``c`` and rows ``out`` side ``top``."""
     named = durable(met.join(roots.withColumnRenamed("node", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag")))
     sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("t"), F.sum("m").alias("c"))
     open_ = sizes.filter(F.col("t.m") < F.col("c")).select("key", F.col("t.root").alias("top"), "c", (F.col("c") - F.col("t.m")).alias("out"))
     return durable(named.join(open_, "key"))
 
 
-def hub_pairs(left: DataFrame, turn: int) -> DataFrame:
-    """A new hub outside the largest group for each crowded bucket, with the members of other groups than its own."""
+def hub_pairs(left: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """A new hub outside the largest group for each crowded list, with the members of other groups that the bound allows.
+
+    The order of hubs is one for all lists, so lists of the same texts have the same hub.
+    """
     crowded = left.filter(F.col("out") > CROWD)
-    drawn = F.min(F.struct(F.xxhash64("bag", "key", F.lit(turn)).alias("h"), "bag", "root")).alias("hub")
-    hubs = crowded.filter("root <> top").groupBy("key").agg(drawn).select("key", F.col("hub.bag").alias("a"), F.col("hub.root").alias("ra"))
-    return crowded.join(hubs, "key").filter("root <> ra").select("a", F.col("bag").alias("b")).distinct()
+    drawn = F.min(F.struct(F.xxhash64("bag", F.lit(turn)).alias("h"), "bag", "root", "n", "pos")).alias("hub")
+    hubs = crowded.filter("root <> top").groupBy("key").agg(drawn)
+    near = may_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
+    met = crowded.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & near)
+    return met.select(F.col("hub.bag").alias("a"), F.col("bag").alias("b")).distinct()
 
 
 def pairs_across(left: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of members of a bucket that are in different groups, without those of the first hub."""
+    """All pairs of members of a list that are in different groups and that the bound allows."""
     parts = F.ceil(F.col("c") / BLOCK_ROWS)
-    rest = left.filter("bag <> lo")
-    every = rest.withColumn("part", F.pmod(F.xxhash64("bag"), parts)).select("key", "part", F.col("bag").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    outside = rest.filter("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    met = outside.join(every, ["key", "part"]).filter((F.col("root") != F.col("ry")) & (F.least("n", "ny") / F.greatest("n", "ny") >= similarity))
-    return met.select(F.least("bag", "y").alias("a"), F.greatest("bag", "y").alias("b")).distinct()
+    names = ["bag", "n", "pos", "root"]
+    every = left.withColumn("part", F.pmod(F.xxhash64("bag"), parts)).select("key", "part", *[F.col(c).alias(f"_{c}") for c in names])
+    outside = left.filter("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    near = may_reach(similarity, F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos"))
+    met = outside.join(every, ["key", "part"]).filter((F.col("root") != F.col("_root")) & near)
+    return met.select(F.least("bag", "_bag").alias("a"), F.greatest("bag", "_bag").alias("b")).distinct()
 
 
 def similar_pairs(docs: DataFrame, bags: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
@@ -176,22 +229,22 @@ def similar_pairs(docs: DataFrame, bags: DataFrame, pairs: DataFrame, words: int
     return met.filter(F.col("both") / F.col("either") >= similarity).select("a", "b")
 
 
-def settled_roots(docs: DataFrame, bags: DataFrame, words: int, similarity: float, radius: int, text: str) -> DataFrame:
-    """``node`` and ``root`` of all sets with a link; no bucket is left with two of them not compared or in one group."""
-    named = fingerprint_groups(bags, radius)
+def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: int, similarity: float, radius: int, text: str) -> DataFrame:
+    """``node`` and ``root`` of all sets with a link; no list of postings is left with two of them not compared or in one group."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         return durable(similar_pairs(docs, bags, durable(pairs), words, similarity, text))
 
-    found = verified(candidate_pairs(bags, similarity, radius, named))
-    roots, met, before, turn = components(found), buckets(bags, named), None, 0
+    found = verified(fingerprint_pairs(bags, similarity, radius))
+    met = shared_postings(docs.select(text), words, similarity, levels)
+    roots, before, turn = components(found), None, 0
     while True:
         left = unsettled(met, roots)
         crowded = left.filter((F.col("out") > CROWD) & (F.col("root") != F.col("top"))).count()
         # hubs are only worth a round while they link many; what they leave is compared pair by pair
         if not crowded or (before is not None and crowded > 0.8 * before):
             break
-        found = found.unionByName(verified(alike_in_size(bags, hub_pairs(left, turn), similarity)))
+        found = found.unionByName(verified(hub_pairs(left, turn, similarity)))
         roots, met, before, turn = components(found), left.select(met.columns), crowded, turn + 1
     return components(found.unionByName(verified(pairs_across(left, similarity))))
 
@@ -200,10 +253,11 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     """One row per row of ``docs``: locator, ``id``, ``component_id`` (identifier of the row that stays) and ``kept``."""
     docs = on_file(docs)
     placed = with_locator(docs).select(FILE, ROW, F.col(ident).alias("id"), F.col(text).alias("text"))
-    marked = durable(sketches(placed, words))
+    made = durable(marked_sets(placed, words))
+    levels, marked = commonness(made), made.filter("chunk IS NULL").drop("chunk", "cells")
     best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", FILE, ROW))
-    bags = durable(marked.groupBy("bag").agg(best.alias("head"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]))
-    roots = settled_roots(docs, bags, words, similarity, radius, text).withColumnRenamed("node", "bag")
+    bags = durable(marked.groupBy("bag").agg(best.alias("head"), *[F.first(c).alias(c) for c in ("n", "fp")]))
+    roots = settled_roots(docs, bags, levels, words, similarity, radius, text).withColumnRenamed("node", "bag")
     named = bags.select("bag", "head").join(roots, "bag", "left").select("bag", "head", F.coalesce("root", "bag").alias("root"))
     heads = named.groupBy("root").agg(F.min("head").alias("head"))
     by_bag = named.select("bag", "root").join(heads, "root").select("bag", "head")

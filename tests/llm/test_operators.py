@@ -423,21 +423,45 @@ def test_near_copies(spark, docs, nothing):
     assert near_copies.drop_near_copies(nothing).count() == 0
 
 
-def test_a_large_group_gives_few_candidates(spark):
+def test_a_large_group_gives_few_candidates(spark, monkeypatch):
+    """Three hundred copies with a change each, and as many unlike texts around a long common passage."""
     ship_package(spark)
     rng = random.Random(22)
-    base = words(rng, 200, 9000).split()
+    base, passage = words(rng, 200, 9000).split(), words(rng, 150, 9000)
     rows = []
     for i in range(300):
         copy = list(base)
         copy[rng.randrange(200)] = f"y{i}"
         rows.append((i, " ".join(copy), "en", "s", *CLASH))
+        rows.append((1000 + i, f"{passage} {words(rng, 60, 10**6)}", "en", "s", *CLASH))
     df = spark.createDataFrame(rows, SCHEMA)
-    assert {r["component_id"] for r in near_copies.near_copy_groups(df).collect()} == {0}
-    bags = near_copies.durable(
-        near_copies.sketches(df.select("doc_id", "text"), 5).withColumnRenamed("doc_id", "head")
-    )
-    assert near_copies.candidate_pairs(bags, 0.8, 2).count() < 300 * 12
+    compared = []
+    similar = near_copies.similar_pairs
+    monkeypatch.setattr(near_copies, "similar_pairs", lambda docs, bags, pairs, *a: compared.append(pairs.count()) or similar(docs, bags, pairs, *a))
+    got = {r["id"]: r["component_id"] for r in near_copies.near_copy_groups(df).collect()}
+    assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(300))
+    assert sum(compared) < 300 * 12
+
+
+def test_the_order_of_shingles_changes_nothing(spark):
+    """Every pair of the similarity shares a posting that the bound lets pass, whatever counts the order comes from."""
+    rng = random.Random(23)
+    base = words(rng, 90, 5000).split()
+    texts = []
+    for _ in range(40):
+        copy = base[: rng.randint(70, 90)]
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"q{rng.randint(0, 999)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sets = {near_copies.set_mark(np.unique(simhash.shingle_hashes(t, 5))): shingle_set(t) for t in texts}
+    for seed in range(3):
+        levels = np.random.default_rng(seed).integers(0, 3, 1 << near_copies.CELL_BITS).astype(np.uint8)
+        met = near_copies.shared_postings(df, 5, 0.8, levels)
+        left = met.withColumns({"root": F.col("bag"), "top": F.lit(0).cast("long"), "c": F.lit(2500)})
+        found = {(r["a"], r["b"]) for r in near_copies.pairs_across(left, 0.8).collect()}
+        close = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+        assert close and close <= found
 
 
 def test_hubs_that_are_outsiders(spark):
