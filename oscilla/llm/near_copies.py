@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -141,10 +141,10 @@ def prefixes(rows: DataFrame, words: int, similarity: float, levels: np.ndarray)
 
 
 def shared_postings(rows: DataFrame, words: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """The postings of shingles that several sets have in their prefix."""
-    posted = durable(prefixes(rows, words, similarity, levels))
-    shared = posted.groupBy("key").agg(F.min("bag").alias("lo"), F.max("bag").alias("hi")).filter("lo < hi").select("key")
-    return durable(posted.join(shared.hint("merge"), "key").distinct())
+    """The postings of shingles that several sets have in their prefix; the others, nearly all, are shuffled once and go."""
+    alike = Window.partitionBy("key")
+    posted = prefixes(rows, words, similarity, levels).withColumns({"_lo": F.min("bag").over(alike), "_hi": F.max("bag").over(alike)})
+    return durable(posted.filter("_lo < _hi").drop("_lo", "_hi").distinct())
 
 
 def may_reach(similarity: float, n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
@@ -216,11 +216,15 @@ def pairs_across(left: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("bag", "_bag").alias("a"), F.greatest("bag", "_bag").alias("b")).distinct()
 
 
-def similar_pairs(docs: DataFrame, bags: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """The ``pairs`` whose sets, read again from the texts that stand for them, are as similar as asked."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("bag")).distinct().join(bags.select("bag", F.col("head")[FILE].alias(FILE), F.col("head")[ROW].alias(ROW)), "bag")
+def sets_of(docs: DataFrame, bags: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFrame:
+    """``bag`` and ``members`` of the ``wanted`` sets, read from the texts that stand for them; the texts are shuffled once."""
+    needed = wanted.distinct().join(bags.select("bag", F.col("head")[FILE].alias(FILE), F.col("head")[ROW].alias(ROW)), "bag")
     texts = with_locator(docs).select(FILE, ROW, F.col(text).alias("text")).join(needed.hint("merge"), [FILE, ROW])
-    sets = durable(members(texts.select("bag", "text"), words))
+    return durable(members(texts.select("bag", "text"), words))
+
+
+def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose sets are as similar as asked."""
     salted = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)))
     left = salted.join(sets.toDF("b", "mb").hint("merge"), "b")
     right = salted.select("a", "salt").distinct().join(sets.toDF("a", "ma").hint("merge"), "a")
@@ -231,12 +235,15 @@ def similar_pairs(docs: DataFrame, bags: DataFrame, pairs: DataFrame, words: int
 
 def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: int, similarity: float, radius: int, text: str) -> DataFrame:
     """``node`` and ``root`` of all sets with a link; no list of postings is left with two of them not compared or in one group."""
+    by_print = durable(fingerprint_pairs(bags, similarity, radius))
+    met = shared_postings(docs.select(text), words, similarity, levels)
+    ends = by_print.select(F.explode(F.array("a", "b")).alias("bag"))
+    sets = sets_of(docs, bags, met.select("bag").unionByName(ends), words, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return durable(similar_pairs(docs, bags, durable(pairs), words, similarity, text))
+        return durable(similar_pairs(sets, durable(pairs), similarity))
 
-    found = verified(fingerprint_pairs(bags, similarity, radius))
-    met = shared_postings(docs.select(text), words, similarity, levels)
+    found = verified(by_print)
     roots, before, turn = components(found), None, 0
     while True:
         left = unsettled(met, roots)

@@ -437,7 +437,7 @@ def test_a_large_group_gives_few_candidates(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     compared = []
     similar = near_copies.similar_pairs
-    monkeypatch.setattr(near_copies, "similar_pairs", lambda docs, bags, pairs, *a: compared.append(pairs.count()) or similar(docs, bags, pairs, *a))
+    monkeypatch.setattr(near_copies, "similar_pairs", lambda sets, pairs, *a: compared.append(pairs.count()) or similar(sets, pairs, *a))
     got = {r["id"]: r["component_id"] for r in near_copies.near_copy_groups(df).collect()}
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(300))
     assert sum(compared) < 300 * 12
