@@ -11,8 +11,9 @@ frequent and stays out of them.  How frequent a shingle is comes from counts in
 order is only approximately that of the true counts, and any order gives the same groups.  The
 places of the shared shingle and the sizes bound the overlap, and pairs below the bound are no candidates.
 
-Large groups of like texts share their prefixes.  Members of one group need one verified link only, so a list
-of postings is settled when all its members are in one group.  In crowded lists a hub, the same in all lists
+Short lists of postings are compared pair by pair.  Large groups of like texts share their prefixes.  Members
+of one group need one verified link only, so a list is settled when all its members are in one group.  In
+crowded lists a hub, the same in all lists
 it is in, is compared with the others first, round by round; then the members outside a list's largest group
 are compared with all members of other groups that the bound allows.
 
@@ -42,7 +43,7 @@ from oscilla.llm.simhash import links, majority, shingle_hashes
 from oscilla.session import durable
 
 SALTS = 32  # parts that the members of one candidate set are dealt to
-CROWD = 32  # members outside a list's largest group above which further hubs come before pairs
+CROWD = 32  # members of a list, or outside its largest group, above which hubs come before pairs
 BLOCK_ROWS = 1_000  # members of a list that are compared in one part
 CELL_BITS, CHUNK_BITS = 20, 8  # cells of the table of counts, and chunks in which it is added up
 
@@ -205,6 +206,13 @@ def hub_pairs(left: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.select(F.col("hub.bag").alias("a"), F.col("bag").alias("b")).distinct()
 
 
+def pairs_within(short: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of members of short lists that the bound allows."""
+    other = short.select("key", *[F.col(c).alias(f"_{c}") for c in ("bag", "n", "pos")])
+    near = may_reach(similarity, F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos"))
+    return short.join(other, "key").filter((F.col("bag") < F.col("_bag")) & near).select(F.col("bag").alias("a"), F.col("_bag").alias("b"))
+
+
 def pairs_across(left: DataFrame, similarity: float) -> DataFrame:
     """All pairs of members of a list that are in different groups and that the bound allows."""
     parts = F.ceil(F.col("c") / BLOCK_ROWS)
@@ -235,15 +243,17 @@ def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
 
 def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: int, similarity: float, radius: int, text: str) -> DataFrame:
     """``node`` and ``root`` of all sets with a link; no list of postings is left with two of them not compared or in one group."""
-    by_print = durable(fingerprint_pairs(bags, similarity, radius))
     met = shared_postings(docs.select(text), words, similarity, levels)
-    ends = by_print.select(F.explode(F.array("a", "b")).alias("bag"))
-    sets = sets_of(docs, bags, met.select("bag").unionByName(ends), words, text)
+    lists = met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    short, met = lists.filter(F.col("c") <= CROWD), durable(lists.filter(F.col("c") > CROWD).drop("c"))
+    near = durable(fingerprint_pairs(bags, similarity, radius).unionByName(pairs_within(short, similarity)).distinct())
+    wanted = met.select("bag").unionByName(near.select(F.explode(F.array("a", "b")).alias("bag")))
+    sets = sets_of(docs, bags, wanted, words, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
         return durable(similar_pairs(sets, durable(pairs), similarity))
 
-    found = verified(by_print)
+    found = verified(near)
     roots, before, turn = components(found), None, 0
     while True:
         left = unsettled(met, roots)
