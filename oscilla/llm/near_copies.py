@@ -13,9 +13,10 @@ places of the shared shingle and the sizes bound the overlap, and pairs below th
 
 Short lists of postings are compared pair by pair.  Large groups of like texts share their prefixes.  Members
 of one group need one verified link only, so a list is settled when all its members are in one group.  In
-crowded lists a hub, the same in all lists
-it is in, is compared with the others first, round by round; then the members outside a list's largest group
-are compared with all members of other groups that the bound allows.
+crowded lists a few hubs, the same in all lists
+they are in, are compared with the others first, round by round; then the members outside a list's largest
+group are compared with all members of other groups that the bound allows.  A pair that shares several crowded
+lists meets in the first of them only.
 
 Texts with the same set are folded to one first.  Every candidate is verified by the exact similarity on the
 sets, read from the texts again.  So every pair of at least the similarity ends in one group, and every group
@@ -44,7 +45,9 @@ from oscilla.session import durable
 
 SALTS = 32  # parts that the members of one candidate set are dealt to
 CROWD = 32  # members of a list, or outside its largest group, above which hubs come before pairs
+HUBS = 8  # hubs of a crowded list in a round
 BLOCK_ROWS = 1_000  # members of a list that are compared in one part
+STEP = 200  # texts that a kernel works on at a time
 CELL_BITS, CHUNK_BITS = 20, 8  # cells of the table of counts, and chunks in which it is added up
 
 
@@ -72,8 +75,8 @@ def marked_sets(rows: DataFrame, words: int) -> DataFrame:
         cells, kinds = np.zeros(1 << CELL_BITS, np.int64), None
         for batch in batches:
             kinds = [c.type for c in batch.columns[:last]]
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
                 marks, sizes, prints, met = [], [], [], []
                 for text in part.column(last):
                     hashes = shingle_hashes(text.as_py(), words)
@@ -122,9 +125,9 @@ def prefixes(rows: DataFrame, words: int, similarity: float, levels: np.ndarray)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
+            for a in range(0, batch.num_rows, STEP):
                 keys, marks, sizes = [], [], []
-                for text in batch.column(0).slice(a, 500):
+                for text in batch.column(0).slice(a, STEP):
                     bag = np.unique(shingle_hashes(text.as_py(), words))
                     if not len(bag):
                         continue
@@ -160,8 +163,8 @@ def members(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
                 sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema.names)
 
@@ -193,17 +196,26 @@ def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
     return durable(named.join(open_, "key"))
 
 
+def first_shared(similarity: float, other: str) -> Column:
+    """Whether a row and another one of its list, prefixed ``other``, may be like enough and share no earlier crowded list."""
+    reach = may_reach(similarity, F.col("n"), F.col("pos"), F.col(f"{other}n"), F.col(f"{other}pos"))
+    return (F.col("root") != F.col(f"{other}root")) & reach & ~F.arrays_overlap("earlier", f"{other}earlier")
+
+
+def prefixed(rows: DataFrame, prefix: str, *same: str) -> DataFrame:
+    """The columns that a pair of rows of a list is judged by, under other names."""
+    return rows.select("key", *same, *[F.col(c).alias(f"{prefix}{c}") for c in ("bag", "n", "pos", "root", "earlier")])
+
+
 def hub_pairs(left: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """A new hub outside the largest group for each crowded list, with the members of other groups that the bound allows.
+    """New hubs outside the largest group for each crowded list, about ``HUBS``, with the members of other groups that the bound allows.
 
-    The order of hubs is one for all lists, so lists of the same texts have the same hub.
+    The order of hubs is one for all lists, so lists of the same texts have the same hubs.
     """
     crowded = left.filter(F.col("out") > CROWD)
-    drawn = F.min(F.struct(F.xxhash64("bag", F.lit(turn)).alias("h"), "bag", "root", "n", "pos")).alias("hub")
-    hubs = crowded.filter("root <> top").groupBy("key").agg(drawn)
-    near = may_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
-    met = crowded.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & near)
-    return met.select(F.col("hub.bag").alias("a"), F.col("bag").alias("b")).distinct()
+    place = F.pmod(F.xxhash64("bag", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    hubs = prefixed(crowded.filter((F.col("root") != F.col("top")) & (place < F.lit(float(HUBS)) / F.col("out"))), "_")
+    return crowded.join(hubs, "key").filter(first_shared(similarity, "_")).select(F.col("_bag").alias("a"), F.col("bag").alias("b")).distinct()
 
 
 def pairs_within(short: DataFrame, similarity: float) -> DataFrame:
@@ -214,13 +226,11 @@ def pairs_within(short: DataFrame, similarity: float) -> DataFrame:
 
 
 def pairs_across(left: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of members of a list that are in different groups and that the bound allows."""
+    """All pairs of members of a list that are in different groups and that the bound allows, each in the first list that it shares."""
     parts = F.ceil(F.col("c") / BLOCK_ROWS)
-    names = ["bag", "n", "pos", "root"]
-    every = left.withColumn("part", F.pmod(F.xxhash64("bag"), parts)).select("key", "part", *[F.col(c).alias(f"_{c}") for c in names])
+    every = prefixed(left.withColumn("part", F.pmod(F.xxhash64("bag"), parts)), "_", "part")
     outside = left.filter("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    near = may_reach(similarity, F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos"))
-    met = outside.join(every, ["key", "part"]).filter((F.col("root") != F.col("_root")) & near)
+    met = outside.join(every, ["key", "part"]).filter(first_shared(similarity, "_"))
     return met.select(F.least("bag", "_bag").alias("a"), F.greatest("bag", "_bag").alias("b")).distinct()
 
 
@@ -245,7 +255,9 @@ def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: i
     """``node`` and ``root`` of all sets with a link; no list of postings is left with two of them not compared or in one group."""
     met = shared_postings(docs.select(text), words, similarity, levels)
     lists = met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-    short, met = lists.filter(F.col("c") <= CROWD), durable(lists.filter(F.col("c") > CROWD).drop("c"))
+    short = lists.filter(F.col("c") <= CROWD)
+    before_it = Window.partitionBy("bag").orderBy("pos", "key").rowsBetween(Window.unboundedPreceding, -1)
+    met = durable(lists.filter(F.col("c") > CROWD).drop("c").withColumn("earlier", F.collect_list("key").over(before_it)))
     near = durable(fingerprint_pairs(bags, similarity, radius).unionByName(pairs_within(short, similarity)).distinct())
     wanted = met.select("bag").unionByName(near.select(F.explode(F.array("a", "b")).alias("bag")))
     sets = sets_of(docs, bags, wanted, words, text)
@@ -259,7 +271,7 @@ def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: i
         left = unsettled(met, roots)
         crowded = left.filter((F.col("out") > CROWD) & (F.col("root") != F.col("top"))).count()
         # hubs are only worth a round while they link many; what they leave is compared pair by pair
-        if not crowded or (before is not None and crowded > 0.8 * before):
+        if not crowded or (before is not None and crowded > 0.9 * before):
             break
         found = found.unionByName(verified(hub_pairs(left, turn, similarity)))
         roots, met, before, turn = components(found), left.select(met.columns), crowded, turn + 1
