@@ -13,9 +13,9 @@ places of the shared shingle and the sizes bound the overlap, and pairs below th
 
 Short lists of postings are compared pair by pair.  Large groups of like texts share their prefixes.  Members
 of one group need one verified link only, so a list is settled when all its members are in one group.  In
-crowded lists a few hubs, the same in all lists
-they are in, are compared with the others first, round by round; then the members outside a list's largest
-group are compared with all members of other groups that the bound allows.  A pair that shares several crowded
+crowded lists a hub, the most
+typical set, is compared with the members of other groups first, round by round; then the members outside a list's
+largest group are compared with all members of other groups that the bound allows.  A pair that shares several crowded
 lists meets in the first of them only.
 
 Texts with the same set are folded to one first.  Every candidate is verified by the exact similarity on the
@@ -45,7 +45,6 @@ from oscilla.session import durable
 
 SALTS = 32  # parts that the members of one candidate set are dealt to
 CROWD = 32  # members of a list, or outside its largest group, above which hubs come before pairs
-HUBS = 8  # hubs of a crowded list in a round
 BLOCK_ROWS = 1_000  # members of a list that are compared in one part
 STEP = 200  # texts that a kernel works on at a time
 CELL_BITS, CHUNK_BITS = 20, 8  # cells of the table of counts, and chunks in which it is added up
@@ -208,13 +207,16 @@ def prefixed(rows: DataFrame, prefix: str, *same: str) -> DataFrame:
 
 
 def hub_pairs(left: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """New hubs outside the largest group for each crowded list, about ``HUBS``, with the members of other groups that the bound allows.
+    """The next hub of each crowded list, with the members of other groups that the bound allows.
 
-    The order of hubs is one for all lists, so lists of the same texts have the same hubs.
+    Hubs are taken in the order of the place of the list's shingle: a set with few rare shingles of its own is
+    the most typical one, and the others are likeliest to be like it.  A set that is the hub of one list is
+    compared in all its lists, so that a pair meets in the first list that it shares.
     """
     crowded = left.filter(F.col("out") > CROWD)
-    place = F.pmod(F.xxhash64("bag", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    hubs = prefixed(crowded.filter((F.col("root") != F.col("top")) & (place < F.lit(float(HUBS)) / F.col("out"))), "_")
+    order = Window.partitionBy("key").orderBy("pos", F.xxhash64("bag"), "bag")
+    ranked = crowded.select("key", "bag", F.row_number().over(order).alias("_turn")).filter(F.col("_turn") <= turn + 1)
+    hubs = prefixed(crowded.join(ranked.filter(F.col("_turn") == turn + 1).select("bag").distinct(), "bag"), "_")
     return crowded.join(hubs, "key").filter(first_shared(similarity, "_")).select(F.col("_bag").alias("a"), F.col("bag").alias("b")).distinct()
 
 
@@ -266,15 +268,14 @@ def settled_roots(docs: DataFrame, bags: DataFrame, levels: np.ndarray, words: i
         return durable(similar_pairs(sets, durable(pairs), similarity))
 
     found = verified(near)
-    roots, before, turn = components(found), None, 0
+    left, before, turn = unsettled(met, components(found)), None, 0
     while True:
-        left = unsettled(met, roots)
         crowded = left.filter((F.col("out") > CROWD) & (F.col("root") != F.col("top"))).count()
-        # hubs are only worth a round while they link many; what they leave is compared pair by pair
+        # hubs are only worth a round while they settle some; what they leave is compared pair by pair
         if not crowded or (before is not None and crowded > 0.9 * before):
             break
         found = found.unionByName(verified(hub_pairs(left, turn, similarity)))
-        roots, met, before, turn = components(found), left.select(met.columns), crowded, turn + 1
+        left, before, turn = unsettled(left.select(met.columns), components(found)), crowded, turn + 1
     return components(found.unionByName(verified(pairs_across(left, similarity))))
 
 
