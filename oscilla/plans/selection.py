@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oscilla.functions import normalize as N
-from oscilla.operators import curation, jobs, learn, matching, stats
+from oscilla.operators import curation, jobs, folds, learn, matching, stats
 from oscilla.plans.registry import query
 from oscilla.session import durable
 from oscilla.sources.fixtures import FEATURES, feature_log, frames, recording_logs, table, with_ctes
@@ -462,6 +462,24 @@ def ordinal_cv(spark, sf_dir):
     return stats.classification_metrics(pred, "severity", "prediction")
 
 
+def _severity(spark, sf_dir):
+    score = F.col("score")
+    return _scored(spark, sf_dir).withColumn("severity", F.when(score <= 1, 0).when(score == 2, 1).otherwise(2))
+
+
+@query("severity_loso")
+def severity_loso(spark, sf_dir):
+    """Every recording predicted by a model of all other subjects."""
+    return folds.loso_newton(_severity(spark, sf_dir), FEATURES, "severity", "patient", keep=["video"])
+
+
+@query("ordinal_loso")
+def ordinal_loso(spark, sf_dir):
+    """The same by a proportional-odds model, over the scores themselves."""
+    df = _scored(spark, sf_dir)
+    return folds.loso_newton(df, FEATURES, "score", "patient", folds.ProportionalOdds, balanced=False, keep=["video"])
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     return learn.feature_importance(_scored(spark, sf_dir), FEATURES, "score")
