@@ -14,28 +14,32 @@ the input files.  Further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oscilla.llm.common import FILE, ROW, on_file, with_locator
 from oscilla.session import durable
 
+BLANK = " \t\n\x0b\f\r"
 
-def windows(lines: Column, size: int) -> Column:
-    """Array of the texts of all windows, null where a window is blank."""
-    count = F.greatest(F.size(lines) - size + 1, F.lit(0))
-    joined = F.transform(
-        F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_join(F.slice(lines, i, size), "\n"),
-    )
-    return F.transform(joined, lambda w: F.when(w.rlike(r"\S"), F.unhex(F.md5(w))))
+
+def windows(texts: DataFrame, text: str, size: int) -> DataFrame:
+    """``texts`` with one row per window that has a visible character: start line ``pos`` and ``hash``.
+
+    A text is split once; its lines pass through the generator as they are and only hashes leave the stage.
+    """
+    others = [c for c in texts.columns if c != text]
+    split = texts.select(*others, F.split(text, "\n", -1).alias("_lines")).filter(F.size("_lines") >= size)
+    starts = split.select(*others, "_lines", F.explode(F.sequence(F.lit(0), F.size("_lines") - size)).alias("pos"))
+    window = F.array_join(F.slice("_lines", F.col("pos") + 1, size), "\n")
+    joined = starts.select(*others, "pos", window.alias("_w")).filter(F.ltrim("_w", F.lit(BLANK)) != "")
+    return joined.select(*others, "pos", F.unhex(F.md5("_w")).alias("hash"))
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = 3) -> DataFrame:
     """Start line (from 0) of each window that stands earlier in the corpus, by row locator."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    placed = with_locator(docs).select(F.col(ident).alias("id"), FILE, ROW, windows(lines, size).alias("w"))
-    found = durable(placed.select("id", FILE, ROW, F.posexplode("w").alias("pos", "hash")).filter("hash IS NOT NULL"))
+    placed = with_locator(docs).select(F.col(ident).alias("id"), FILE, ROW, F.coalesce(text, F.lit("")).alias("_text"))
+    found = durable(windows(placed, "_text", size))
     place = F.struct(F.col("id").isNotNull().alias("z"), "id", FILE, ROW, "pos")
     first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = (F.col(FILE) != F.col("first")[FILE]) | (F.col(ROW) != F.col("first")[ROW]) | (F.col("pos") != F.col("first.pos"))
