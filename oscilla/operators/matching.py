@@ -21,10 +21,45 @@ def merge_extrema(df: DataFrame, keys: Sequence[str], times: str) -> DataFrame:
     )
 
 
-def inside_window(times: Column, trimmed: Column, start: Column, stop: Column, fps: Column) -> Column:
-    """Annotated times restricted to the trimmed activity window, where there is one."""
-    cut = F.coalesce(trimmed, F.lit(False)) & start.isNotNull() & stop.isNotNull()
-    return F.when(cut, F.filter(times, lambda t: (t >= start / fps) & (t <= stop / fps))).otherwise(times)
+def inside_windows(
+    points: DataFrame, windows: DataFrame, keys: Sequence[str], t: str = "t", start: str = "start", stop: str = "stop"
+) -> DataFrame:
+    """``points`` with ``inside``: whether an active window of the recording, ends included, holds the time.
+
+    Any number of windows per recording, overlapping or not.  Where a recording has none, all its points count as
+    inside.  No pair of point and window is formed: one pass over the points and the ends of windows in time
+    order, cut by range, counts the windows that are open.  Windows without a start or an end are no windows, those that
+    end before they start hold nothing; points without a time are not inside.
+    """
+    keys = list(keys)
+    others = [c for c in points.columns if c not in (*keys, t)]
+    known = windows.filter(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    lasting = (F.col(start) <= F.col(stop)).cast("long")
+    # at equal times a window opens before the points and closes after them
+    ends = F.array(
+        F.struct(F.col(start).alias("_t"), F.lit(0).alias("_kind"), lasting.alias("_open")),
+        F.struct(F.col(stop).alias("_t"), F.lit(2).alias("_kind"), (-lasting).alias("_open")),
+    )
+    edges = known.select(*keys, F.inline(ends)).withColumn("_row", F.lit(None).cast(points.select(F.struct(*others, F.lit(0))).schema[0].dataType))
+    placed = points.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_open"), F.struct(*others, F.lit(0)).alias("_row"))
+    merged = placed.unionByName(edges).withColumn("_o", F.struct("_t", "_kind"))
+    counted = running(slice_by_order(merged, keys, ["_o"]), keys, "_o", {"_now": "_open"})
+    counted = totals(counted, keys, {"_any": F.sum((F.col("_kind") != 1).cast("long"))})
+    inside = (F.col("_t").isNotNull() & ((F.col("_any") == 0) | (F.col("_now") > 0))).alias("inside")
+    return counted.filter("_kind = 1").select(*keys, F.col("_t").alias(t), *[F.col(f"_row.{c}").alias(c) for c in others], inside)
+
+
+def sessions(points: DataFrame, keys: Sequence[str], gap: float, t: str = "t") -> DataFrame:
+    """Spans (keys, ``start``, ``stop``) of points of which none is more than ``gap`` after the one before."""
+    keys = list(keys)
+    sliced = slice_by_order(points.select(*keys, t).filter(F.col(t).isNotNull()), keys, [t])
+
+    def begun(rows: DataFrame, by: list[str]) -> DataFrame:
+        before = F.lag(t).over(Window.partitionBy(*by).orderBy(t))
+        return rows.withColumn("_new", F.coalesce(F.col(t) - before > gap, F.lit(True)).cast("long"))
+
+    numbered = running(across(sliced, keys, t, begun, before=1), keys, t, {"_span": "_new"})
+    return numbered.groupBy(*keys, "_span").agg(F.min(t).alias("start"), F.max(t).alias("stop")).drop("_span")
 
 
 def match_times(det: np.ndarray, man: np.ndarray, tol: float) -> list[float]:

@@ -475,7 +475,7 @@ def posthoc(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     both_normal = (F.col("p_normal") > 0.05) & (F.col("r_p_normal") > 0.05)
     z = mann_whitney_z(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie_term"))
     untied = F.col("tie_term") == 0
-    small = untied & (F.least("n1", "n2") <= 8) & (F.col("n1") * F.col("n2") <= 10000)
+    small = untied & (F.least("n1", "n2") <= 8)
     top = F.greatest(F.col("u"), F.col("n1") * F.col("n2") - F.col("u"))
     staged = pairs.select(
         *keys, "ref", group, "n1", "n2", "u", "comparisons",

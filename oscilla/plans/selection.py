@@ -55,13 +55,39 @@ def _match_sql(body: str) -> str:
     return with_ctes("frames", body=_MATCH_SQL + body).replace("WITH", "WITH RECURSIVE", 1)
 
 
-@query("extrema_match", _match_sql(" SELECT * FROM res"))
-def extrema_match(spark, sf_dir):
-    packed = _points(spark, sf_dir).groupBy(*KEYS).agg(
+def _packed(points):
+    """The sorted times of both sides per recording."""
+    return points.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "det", F.col("t")))).alias("det"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "man", F.col("t")))).alias("man"),
     )
-    return matching.cycle_accuracy(packed, KEYS, TOL)
+
+
+@query("extrema_match", _match_sql(" SELECT * FROM res"))
+def extrema_match(spark, sf_dir):
+    return matching.cycle_accuracy(_packed(_points(spark, sf_dir)), KEYS, TOL)
+
+
+_WINDOW_GAP_H = 24.0
+
+_INSIDE_SQL = f"""
+, gaps AS (SELECT video, clip, t, coalesce(t - lag(t) OVER (PARTITION BY video, clip ORDER BY t) > {_WINDOW_GAP_H}, true)::INT AS fresh FROM pt0 WHERE side = 'det')
+, spans AS (SELECT video, clip, min(t) AS a, max(t) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY video, clip ORDER BY t) AS g FROM gaps) GROUP BY video, clip, g)
+, pt AS (SELECT * FROM pt0 WHERE side = 'det' OR NOT EXISTS (SELECT 1 FROM spans s WHERE s.video = pt0.video AND s.clip = pt0.clip)
+   OR EXISTS (SELECT 1 FROM spans s WHERE s.video = pt0.video AND s.clip = pt0.clip AND pt0.t BETWEEN s.a AND s.b))"""
+
+
+@query(
+    "accuracy_in_windows",
+    _match_sql(" SELECT * FROM res").replace(_PTS_SQL, _PTS_SQL.replace(", pt AS", ", pt0 AS") + _INSIDE_SQL),
+)
+def accuracy_in_windows(spark, sf_dir):
+    """Annotations outside the active spans of the detections don't count."""
+    points = durable(_points(spark, sf_dir))
+    detected = points.filter("side = 'det'")
+    spans = matching.sessions(detected, KEYS, _WINDOW_GAP_H)
+    annotated = matching.inside_windows(points.filter("side = 'man'"), spans, KEYS)
+    return matching.cycle_accuracy(_packed(detected.unionByName(annotated.filter("inside").drop("inside"))), KEYS, TOL)
 
 
 @query(

@@ -265,3 +265,29 @@ def test_every_subject_is_a_fold(spark):
     assert strict.select("subject", "fold").distinct().count() == strict.select("fold").distinct().count() == 100
     sizes = [r["n"] for r in learn.assign_folds(df, "subject", 7).groupBy("fold").agg(F.countDistinct("subject").alias("n")).collect()]
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+
+
+def test_exact_rank_sums_at_any_size():
+    # all orders of small groups, a recursion over groups of middling size, and the known total
+    for m in range(1, 5):
+        for n in range(1, 6):
+            us = [sum(sum(j < i for j in range(m + n) if j not in c) for i in c) for c in itertools.combinations(range(m + n), m)]
+            assert [P.rank_sums_at_most(k, m, n) for k in range(-1, m * n + 1)] == [sum(u <= k for u in us) for k in range(-1, m * n + 1)]
+    # q^k of the product (1 - q^(n+i)) / (1 - q^i) by plain polynomial steps
+    m, n = 8, 60
+    row = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        row = [c - (row[j - n - i] if j >= n + i else 0) for j, c in enumerate(row)]
+        for j in range(i, len(row)):
+            row[j] += row[j - i]
+    sums = list(itertools.accumulate(row))
+    assert [P.rank_sums_at_most(k, m, n) for k in range(m * n + 1)] == sums
+    for n in (2_000, 10**9):
+        assert P.rank_sums_at_most(8 * n, 8, n) == math.comb(8 + n, 8)
+        half = P.rank_sums_at_most(4 * n, 8, n) + P.rank_sums_at_most(4 * n - 1, 8, n)
+        assert half == math.comb(8 + n, 8)  # symmetric about the middle
+    # published 5 % two-sided critical values of U: 8 against 8 is 13, 5 against 10 is 8, 8 against 20 is 41
+    for n1, n2, u in ((8, 8, 13), (5, 10, 8), (8, 20, 41)):
+        assert P.mann_whitney_exact(n1 * n2 - u, n1, n2) <= 0.05 < P.mann_whitney_exact(n1 * n2 - u - 1, n1, n2)
+    z = (4 * 2000 - 5000 + 0.5) / math.sqrt(8 * 2000 * 2009 / 12)
+    assert abs(P.mann_whitney_exact(16000 - 5000, 8, 2000) / (2 * P.normal_sf(z)) - 1) < 0.1
