@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oscilla.functions import normalize as N
 from oscilla.operators.jobs import seeded_share
 from oscilla.operators.ordering import exact_percentiles, running_sum
+from oscilla.operators.sequence import array_median
 
 # Weights of the eligibility score.
 ELIGIBILITY_WEIGHTS = {
@@ -139,6 +140,23 @@ def icc_simplified(x: Column, y: Column) -> Column:
     )
 
 
+def steadiness(a: DataFrame, b: DataFrame, key: str, series: str) -> DataFrame:
+    """Frame-to-frame confidence of two detectors: the mean of the medians of their recordings, and the gain of ``b`` in %.
+
+    Recordings that both logged count; a series without a finite value has no median.  Without any median a mean is 0.
+    The higher the confidence, the less the points jitter.
+    """
+
+    def medians(log: DataFrame, name: str) -> DataFrame:
+        finite = F.filter(series, lambda v: N.finite(v.cast("double")).isNotNull())
+        return log.select(key, array_median(finite).alias(name))
+
+    joined = medians(a, "_a").join(medians(b, "_b"), key)
+    row = joined.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for c, n in (("_a", "mean_conf_a"), ("_b", "mean_conf_b"))])
+    gain = (F.col("mean_conf_b") - F.col("mean_conf_a")) / F.greatest(F.abs("mean_conf_a"), F.lit(1e-8)) * 100.0
+    return row.withColumn("improvement_pct", gain)
+
+
 def agreement(a: DataFrame, b: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """ICC of each feature over the recordings both detectors logged."""
     right = b.select(key, *[F.col(f).alias(f"_b_{f}") for f in features])

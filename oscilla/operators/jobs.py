@@ -15,6 +15,17 @@ def unlogged(source: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return source.join(log.select(key).distinct(), key, "left_anti")
 
 
+def membership(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key of two lists once, with ``side``: 'both', 'first' or 'second'.  Null is a key like any other.
+
+    Flags are combined before the shuffle, so a key that is repeated often costs one row per task.
+    """
+    flags = [d.select(*keys, F.lit(first).alias("_f"), F.lit(not first).alias("_s")) for d, first in ((a, True), (b, False))]
+    sides = flags[0].unionByName(flags[1]).groupBy(*keys).agg(F.bool_or("_f").alias("_f"), F.bool_or("_s").alias("_s"))
+    side = F.when(F.col("_f") & F.col("_s"), "both").when(F.col("_f"), "first").otherwise("second")
+    return sides.select(*keys, side.alias("side"))
+
+
 def valid_payload(main_track_found: Column, conf_min: Column, conf_used: Column) -> Column:
     """A logged recording counts as done when it has no track or carries usable confidences."""
     carried = (

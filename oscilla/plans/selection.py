@@ -265,9 +265,38 @@ def detector_assessment(spark, sf_dir):
     return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+@query(
+    "detector_steadiness",
+    """WITH j AS (SELECT l_orderkey, median(l_quantity / 50.0) FILTER (l_linenumber < 7) AS a, median(l_discount * 10.0) FILTER (l_quantity > 5) AS b FROM lineitem GROUP BY l_orderkey)
+SELECT round(avg(a), 8) AS mean_conf_a, round(avg(b), 8) AS mean_conf_b, round((avg(b) - avg(a)) / greatest(abs(avg(a)), 1e-8) * 100, 6) AS improvement_pct FROM j""",
+)
+def detector_steadiness(spark, sf_dir):
+    """The lines of an order as the frames of a recording, with a hole or two."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+    def log(value, seen):
+        shown = F.coalesce(F.when(seen, value), F.lit(float("nan")))
+        return lines.groupBy("l_orderkey").agg(F.collect_list(shown).alias("series"))
+
+    a = log(F.col("l_quantity") / 50.0, F.col("l_linenumber") < 7)
+    b = log(F.col("l_discount") * 10.0, F.col("l_quantity") > 5)
+    out = curation.steadiness(a, b, "l_orderkey", "series")
+    return out.select(F.round("mean_conf_a", 8).alias("mean_conf_a"), F.round("mean_conf_b", 8).alias("mean_conf_b"), F.round("improvement_pct", 6).alias("improvement_pct"))
+
+
 # bookkeeping
 
 
+@query(
+    "list_membership",
+    """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'first' WHEN a.k IS NULL THEN 'second' ELSE 'both' END AS side
+FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k""",
+)
+def list_membership(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    return jobs.membership(orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'O'"), ["k"])
+
+
 @query(
     "resume_antijoin",
     with_ctes(

@@ -291,3 +291,16 @@ def test_exact_rank_sums_at_any_size():
         assert P.mann_whitney_exact(n1 * n2 - u, n1, n2) <= 0.05 < P.mann_whitney_exact(n1 * n2 - u - 1, n1, n2)
     z = (4 * 2000 - 5000 + 0.5) / math.sqrt(8 * 2000 * 2009 / 12)
     assert abs(P.mann_whitney_exact(16000 - 5000, 8, 2000) / (2 * P.normal_sf(z)) - 1) < 0.1
+
+
+def test_steadiness_and_membership(spark):
+    nan = float("nan")
+    a = spark.createDataFrame([(1, [0.2, nan, 0.4]), (2, [0.5]), (3, [nan]), (4, [0.9])], "k long, s array<double>")
+    b = spark.createDataFrame([(1, [0.6]), (2, [0.8, None, 0.6]), (3, []), (5, [0.1])], "k long, s array<double>")
+    got = curation.steadiness(a, b, "k", "s").first()
+    assert got["mean_conf_a"] == pytest.approx(0.4) and got["mean_conf_b"] == pytest.approx(0.65)
+    assert got["improvement_pct"] == pytest.approx(62.5)
+    assert tuple(curation.steadiness(a.limit(0), b, "k", "s").first()) == (0.0, 0.0, 0.0)
+    x = spark.createDataFrame([(1, "u"), (1, "u"), (None, "u"), (2, None)], "k long, l string")
+    y = spark.createDataFrame([(None, "u"), (2, "v")], "k long, l string")
+    assert {tuple(r) for r in jobs.membership(x, y, ["k", "l"]).collect()} == {(1, "u", "first"), (None, "u", "both"), (2, None, "first"), (2, "v", "second")}
