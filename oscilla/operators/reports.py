@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from oscilla.config import DEFAULTS, Settings
 from oscilla.functions import normalize as N
 from oscilla.operators import cohort, paired, stats, tracking
+from oscilla.operators import report_steps as steps
 from oscilla.operators import geometry as G
 from oscilla.operators import kinematics as K
 from oscilla.operators import sequence as S
@@ -166,14 +167,20 @@ def merge_cohort(
     if demographics is not None:
         merged = merged.join(demographics, "patient", "left")
     numeric = cohort.available(merged, [*features, "score", "age", "gender_code"])
-    other = cohort.available(merged, ["video_path", "recording_angle"])
+    # the earliest recording of a condition stands for it in the paired reports
+    other = [*cohort.available(merged, ["video_path", "recording_angle"]), "video"]
     one = cohort.collapse_same_condition(merged, keys, numeric, other, "video")
     one = one.withColumn("score", N.integer_score(F.col("score"))).filter(F.col("score").isNotNull())
     return cohort.composite_v2(cohort.interaction_features(cohort.composite_score(one)))
 
 
-def cohort_report(merged: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables of a cohort analysis, each lazily defined on the merged conditions."""
+def cohort_report(merged: DataFrame, features: Sequence[str], factors: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The tables of a cohort analysis, each lazily defined on the merged conditions.
+
+    ``factors`` are video-quality columns.  Tables whose columns are missing are left out: demographics for the
+    adjusted features, visits for the longitudinal report, both medication states for the
+    paired one, recording angles for theirs.
+    """
     data = durable(merged)
     present = cohort.available(data, features)
     long = durable(stats.long_features(data, ["score"], present))
@@ -186,7 +193,11 @@ def cohort_report(merged: DataFrame, features: Sequence[str]) -> dict[str, DataF
         "directions": stats.direction_check(effects),
         "alignment": stats.alignment(long, "score", "value"),
         "loadings": pca_varimax(data, present),
+        "summary": steps.summaries(long, "score"),
+        "outliers": steps.extreme_outliers(long),
     }
+    if {"total_cycles", "amplitude_cv"} <= set(data.columns):
+        tables["cycle_counts"] = steps.cycle_count_check(data, "total_cycles", "amplitude_cv")
     if "age" in data.columns and "gender_code" in data.columns:
         adults = data.withColumn("female", F.when(F.col("gender_code") == 2, 1.0).otherwise(0.0))
         tables["covariates"] = stats.ancova(
@@ -196,9 +207,31 @@ def cohort_report(merged: DataFrame, features: Sequence[str]) -> dict[str, DataF
         tables["subgroups"] = data.groupBy(
             N.age_group(F.col("age")).alias("age_group"), N.gender(F.col("gender_code")).alias("gender"), "score"
         ).agg(F.count(F.lit(1)).alias("n"))
+        ids = cohort.available(data, ["patient", "visit", "med", "hand", "score", "age", "gender_code"])
+        tables["adjusted"] = steps.adjusted(stats.long_features(data, ids, present), "value", "age", "gender_code")
+    if {"patient", "visit", "med", "hand", "video"} <= set(data.columns):
+        tables["longitudinal"] = progression(data, ["patient", "med", "hand"], present)
+        pairs, _ = paired.medication_pairs(data, ["patient", "visit", "hand"], "med", "video", present)
+        tables["medication"] = paired.medication_summary(pairs, present)
+    if "recording_angle" in data.columns:
+        tables["angles"] = steps.angle_tests(stats.long_features(data, ["recording_angle"], present), "recording_angle")
+        tables["angle_scores"] = steps.score_shares(data, "recording_angle", "score")
+    seen = cohort.available(data, factors)
+    if seen:
+        tables["factors"] = steps.summaries(stats.long_features(data, ["score"], seen), "score")
+        tables["factor_correlations"] = steps.factor_correlations(data, seen, present)
+        if "signal_quality" in data.columns:
+            tables["factor_trends"] = steps.factor_trends(data, seen, "signal_quality")
     return tables
 
 
+def totals_report(logs: DataFrame, totals: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:
+    """The merge with the total scores of a visit, with the summary and the outliers of each feature."""
+    merged = durable(steps.merge_totals(logs, totals, features))
+    long = durable(stats.long_features(merged, ["score"], cohort.available(merged, [*features, "composite_score"])))
+    return {"merged": merged, "summary": steps.summaries(long, "score"), "outliers": steps.extreme_outliers(long)}
+
+
 def progression(merged: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Longitudinal summary per feature over the keys with one recording per visit."""
     kept, _ = paired.one_video_per_visit(merged, keys, "visit", "video")
