@@ -50,6 +50,7 @@ class Settings:
     max_half_cycle_s: float = 4.0
     zcr_dc_window_cycles: float = 2.0
     startup_transient_factor: float = 4.0
+    parabolic_heights: bool = False  # refine the heights of extrema by a parabola
     cycle_nan_threshold: float = 0.40
     peak_velocity_percentile: float = 95.0
     decrement_split: float = 1.0 / 3.0

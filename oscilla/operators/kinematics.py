@@ -133,6 +133,28 @@ def regularity(column: Column, peaks: Column, fps: float) -> Column:
 # half cycles
 
 
+def wrist_marks(depth: object, fps: float, settings: Settings = DEFAULTS) -> np.ndarray | None:
+    """Extrema of the wrist depth, or None where the channel is too sparse or too noisy to confirm anything."""
+    z = np.array(depth, dtype=float)
+    ok = ~np.isnan(z)
+    if ok.mean() < settings.wrist_z_min_valid or ok.sum() < 2:
+        return None
+    z = np.interp(np.arange(len(z)), np.flatnonzero(ok), z[ok])
+    smooth = dsp.band_filter(z[:, None], fps, settings.cutoff_hz, settings.highpass_hz, settings.filter_order)[:, 0]
+    noise = (z - smooth).std() if len(z) > 10 else 1e9
+    if noise <= 1e-9 or np.ptp(smooth) / noise < settings.wrist_z_min_snr:
+        return None
+    floor = max(0.05 * np.ptp(smooth), 1e-6)
+    return np.sort(np.concatenate([dsp.find_peaks(s * smooth, 1, floor) for s in (1.0, -1.0)]))
+
+
+def wrist_usable(depth: Column, fps: float, settings: Settings = DEFAULTS) -> Column:
+    """Whether the wrist depth of a packed recording can confirm extrema."""
+    return F.coalesce(
+        _array_udf(lambda z: bool(len(z)) and wrist_marks(z, fps, settings) is not None, "boolean")(depth), F.lit(False)
+    )
+
+
 def prominent_extrema(
     signal: Column, periods: Column, wrist_z: Column | None, fps: float, settings: Settings = DEFAULTS
 ) -> Column:
@@ -143,23 +165,6 @@ def prominent_extrema(
     """
     window = max(1, round(settings.wrist_z_window * fps / settings.base_fps))
 
-    def wrist_marks(z) -> np.ndarray | None:
-        z = np.array(z, dtype=float)
-        ok = ~np.isnan(z)
-        if ok.mean() < settings.wrist_z_min_valid or ok.sum() < 2:
-            return None
-        z = np.interp(np.arange(len(z)), np.flatnonzero(ok), z[ok])
-        smooth = dsp.band_filter(
-            z[:, None], fps, settings.cutoff_hz, settings.highpass_hz, settings.filter_order
-        )[:, 0]
-        noise = (z - smooth).std() if len(z) > 10 else 1e9
-        if noise <= 1e-9 or np.ptp(smooth) / noise < settings.wrist_z_min_snr:
-            return None
-        floor = max(0.05 * np.ptp(smooth), 1e-6)
-        return np.sort(
-            np.concatenate([dsp.find_peaks(s * smooth, 1, floor) for s in (1.0, -1.0)])
-        )
-
     def one(x, lag, z) -> list[dict]:
         x = np.asarray(x, dtype=float)
         if len(x) < 10:
@@ -172,7 +177,7 @@ def prominent_extrema(
         floor = max(0.5, settings.prominence_deg, settings.adaptive_prominence * max(spread, 0.0))
         cap = max(2, int(fps / max(settings.max_movement_hz, 1e-6) * 0.85))
         distance = max(2, min(int(lag * 0.35), cap) if lag > 3 else int(cap * 0.6))
-        marks = wrist_marks(z) if z is not None else None
+        marks = wrist_marks(z, fps, settings) if z is not None else None
         found = []
         for etype in (1, -1):
             peaks = dsp.find_peaks(etype * x, distance, floor)
@@ -283,13 +288,81 @@ def half_cycles(
 # cycles
 
 
+def refined(extrema: DataFrame, packed: DataFrame, signal: str) -> DataFrame:
+    """Extrema with the height of the parabola through each sample and its neighbours, where that goes beyond the sample."""
+
+    def at(step: int) -> Column:
+        return F.get(signal, (F.col("frame_idx") + step).cast("int"))
+
+    joined = extrema.join(packed.select(*KEYS, signal), KEYS).withColumns(
+        {"_p": F.when(F.col("frame_idx") > 0, at(-1)), "_c": at(0), "_n": at(1)}
+    )
+    bend = F.col("_p") - 2.0 * F.col("_c") + F.col("_n")
+    half = (F.col("_p") - F.col("_n")) / 2.0
+    vertex = F.col("_c") - half * half / 2.0 / F.when(F.abs(bend) >= 1e-12, bend)
+    beyond = F.col("etype") * (vertex - F.col("_c")) >= 0
+    return joined.withColumn("height", F.when(beyond, vertex).otherwise(F.col("height"))).drop(signal, "_p", "_c", "_n")
+
+
+def anchor_intervals(extrema: DataFrame, cycles: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """All intervals between the anchors of the chosen type, ``cycle_no`` and ``interval_s``.
+
+    Cycles without a positive amplitude have no row in ``cycles`` but their time counts.  The interval
+    of a startup transient goes with its cycle.
+    """
+    chosen = cycles.groupBy(*keys, "etype").agg(F.min("skipped").alias("skipped"))
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    numbered = extrema.join(chosen, [*keys, "etype"]).withColumns(
+        {
+            "cycle_no": F.row_number().over(w) - 2 - F.col("skipped"),
+            "interval_s": (F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps,
+        }
+    )
+    return numbered.filter(F.col("interval_s").isNotNull() & (F.col("cycle_no") >= 0)).select(*keys, "cycle_no", "interval_s")
+
+
+def recording_series(cycles: DataFrame, extrema: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What a recording is drawn from: times of its peaks and troughs, and time, amplitude and trend of its cycles."""
+    line = cycles.groupBy(*keys).agg(
+        F.regr_slope(F.col("amplitude"), F.col("lo") / fps).alias("_b"),
+        F.regr_intercept(F.col("amplitude"), F.col("lo") / fps).alias("_a"),
+        F.array_sort(F.collect_list(F.struct((F.col("lo") / fps).alias("t"), F.col("amplitude").alias("a")))).alias("_s"),
+    )
+
+    def times(etype: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("etype") == etype, F.col("frame_idx") / fps)))
+
+    marks = extrema.groupBy(*keys).agg(times(1).alias("detected_peak_times"), times(-1).alias("trough_times"))
+    return line.join(marks, list(keys)).select(
+        *keys,
+        F.col("_s.t").alias("peak_times"),
+        F.col("_s.a").alias("amplitudes"),
+        F.transform("_s", lambda c: F.col("_a") + F.col("_b") * c["t"]).alias("trend_line"),
+        "detected_peak_times",
+        "trough_times",
+    )
+
+
+def excursions(extrema: DataFrame, packed: DataFrame, fps: float) -> DataFrame:
+    """Mean path length of the half cycles of each recording: |velocity| integrated by trapezoids between extrema."""
+    w = Window.partitionBy(*KEYS).orderBy("frame_idx")
+    halves = extrema.select(*KEYS, "frame_idx", F.lead("frame_idx").over(w).alias("_hi")).filter(F.col("_hi").isNotNull())
+    length = (F.col("_hi") - F.col("frame_idx") + 1).cast("int")
+    part = F.slice("speed", (F.col("frame_idx") + 1).cast("int"), length)
+    ends = (F.get("speed", F.col("frame_idx").cast("int")) + F.get("speed", F.col("_hi").cast("int"))) / 2.0
+    area = (F.aggregate(part, F.lit(0.0), lambda total, v: total + v) - ends) / fps
+    measured = halves.join(packed.select(*KEYS, "speed"), KEYS).select(*KEYS, area.alias("_x"))
+    return measured.groupBy(*KEYS).agg(F.when(F.count(F.lit(1)) >= 2, F.avg("_x")).alias("integral_amplitude"))
+
+
 def build_cycles(
     extrema: DataFrame, fps: float, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Full cycles between equal extrema, anchored on peaks or on valleys, whichever fits better.
 
     In an alternating sequence the opposite turning point of a cycle is simply the next extremum
-    and its end the one after, so cycles are two leads of one window.
+    and its end the one after, so cycles are two leads of one window.  ``skipped`` counts the startup
+    transient that was left out.
     """
     w = Window.partitionBy(*keys).orderBy("frame_idx")
     per_anchor = Window.partitionBy(*keys, "etype")
@@ -354,6 +427,7 @@ def build_cycles(
             "hi",
             "amplitude",
             "interval_s",
+            F.col("_skip").alias("skipped"),
         )
     )
 
@@ -388,6 +462,7 @@ def cycle_table(
         "hi",
         "amplitude",
         "interval_s",
+        "skipped",
         array_percentile(span("speed"), settings.peak_velocity_percentile / 100.0).alias("peak_velocity"),
         array_mean(span("speed")).alias("mean_velocity"),
         (2.0 * S.array_median(span("envelope"))).alias("envelope_amplitude"),
@@ -462,9 +537,17 @@ def recording_features(
     """One feature row per recording with enough cycles."""
     # five branches read the cleaned signals, so they are computed once
     packed = durable(prepare(frames, value, fps, wrist_z, settings))
-    extrema = durable(half_cycles(packed, "band", "band_period", wrist_z, fps, settings))
+    found = half_cycles(packed, "band", "band_period", wrist_z, fps, settings)
+    extrema = durable(refined(found, packed, "band") if settings.parabolic_heights else found)
     cycles = durable(cycle_table(build_cycles(extrema, fps, settings), packed, fps, settings))
     everything = S.cycle_features(cycles, start=F.col("lo") / fps)
+    # every anchor counts for the timing, also where a cycle has no positive amplitude
+    intervals_all = durable(anchor_intervals(extrema, cycles, fps))
+    timing = S.cycle_features(
+        intervals_all.withColumns({"amplitude": F.lit(None).cast("double"), "peak_velocity": F.lit(None).cast("double")}),
+        start=F.col("cycle_no").cast("double"),
+    )
+    onset = cycles.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("cycle_no", "amplitude"))).alias("_every"))
     quality = (
         gated(cycles)
         .groupBy(*KEYS)
@@ -485,9 +568,9 @@ def recording_features(
     )
     amps = F.transform("_seq", lambda s: s["a"])
     speeds = F.transform("_seq", lambda s: s["v"])
-    kept = [
-        "total_cycles", "mean_frequency", "avg_cycle_duration", "rhythm_cv", "cycle_duration_cv",
-        "raw_amp_slope", "norm_decrement_slope", "raw_cycle_duration_slope", "norm_ti_slope", "amp_vel_coupling",
+    by_cycle = ["total_cycles", "raw_amp_slope", "norm_decrement_slope", "amp_vel_coupling"]
+    by_time = [
+        "mean_frequency", "avg_cycle_duration", "rhythm_cv", "cycle_duration_cv", "raw_cycle_duration_slope", "norm_ti_slope",
     ]
     velocities = velocity_features(cycles)
     halves = half_cycles(packed, "low", "low_period", wrist_z, fps, settings, margin=None)
@@ -497,24 +580,24 @@ def recording_features(
     ).filter(F.col("interval_s").isNotNull())
     pauses = S.interruptions(intervals, "interval_s", KEYS, settings).drop("num_interruptions")
     # interruptions are whole cycles of more than twice the median: the anchors of the chosen type
-    anchors = extrema.join(cycles.select(*KEYS, "etype").distinct(), [*KEYS, "etype"])
-    whole_cycles = anchors.select(
-        *KEYS, ((F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps).alias("interval_s")
-    ).filter(F.col("interval_s").isNotNull())
-    stops = S.interruptions(whole_cycles, "interval_s", KEYS, settings).select(*KEYS, "num_interruptions")
+    stops = S.interruptions(intervals_all, "interval_s", KEYS, settings).select(*KEYS, "num_interruptions")
     whole = packed.select(
         *KEYS,
         array_mean(F.col("speed")).alias("global_velocity"),
         sample_entropy(F.col("band")).alias("sample_entropy"),
         periodicity(F.col("band"), fps, settings).alias("_p"),
         (1.0 - array_mean(F.col("missing"))).alias("sq_signal_coverage"),
+        (wrist_usable(F.col(wrist_z), fps, settings) if wrist_z else F.lit(False)).alias("wrist_z_used"),
         "band",
     )
     peaks = extrema.filter(F.col("etype") == 1).groupBy(*KEYS).agg(
         F.array_sort(F.collect_list("frame_idx")).alias("_peaks")
     )
     joined = (
-        everything.select(*KEYS, *kept)
+        everything.select(*KEYS, *by_cycle)
+        .join(timing.select(*KEYS, *by_time), KEYS)
+        .join(onset, KEYS)
+        .join(excursions(extrema, packed, fps), KEYS, "left")
         .join(quality, KEYS)
         .join(whole, KEYS)
         .join(peaks, KEYS, "left")
@@ -524,12 +607,13 @@ def recording_features(
     )
     scored = joined.select(
         *KEYS,
-        *kept,
+        *by_cycle,
+        *by_time,
         "quality_cycles", "mean_amplitude", "amplitude_cv", "peak_velocity", "mean_velocity",
-        "hilbert_amplitude", "global_velocity", "sample_entropy",
+        "hilbert_amplitude", "integral_amplitude", "global_velocity", "sample_entropy", "wrist_z_used",
         "peak_velocity_cv", "mean_velocity_cv", "raw_velocity_slope", "raw_speed_slope",
         "norm_velocity_decrement_slope",
-        S.decrement_onset(amps).alias("amp_decrement_onset"),
+        S.decrement_onset(F.col("_every.amplitude")).alias("amp_decrement_onset"),
         S.sequence_effect_pct(amps).alias("amp_decrement_pct"),
         S.decrement_onset(speeds).alias("velocity_decrement_onset"),
         S.sequence_effect_pct(speeds).alias("velocity_decrement_pct"),

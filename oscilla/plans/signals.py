@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from oscilla.config import DEFAULTS
 from oscilla.functions import dsp
+from oscilla.operators import kinematics as K
 from oscilla.operators import sequence as S
 from oscilla.operators.borders import totals
 from oscilla.operators.filters import zero_phase
 from oscilla.operators.ordering import SLICE, slice_by_order
 from oscilla.plans.registry import query
+from oscilla.session import durable
 from oscilla.sources.fixtures import cycles, frames, with_ctes
 
 FPS = 25.0
@@ -282,6 +284,51 @@ def alternating_extrema(spark, sf_dir):
     return S.alternate(sliced(raw)).select(*KEYS, "etype", "frame_idx", F.round("height", 4).alias("height"))
 
 
+_CYCLES_SQL = (
+    _ALT_SQL
+    + f"""
+, st AS (SELECT *, lead(height) OVER ({W}) AS opp, lead(height, 2) OVER ({W}) AS fin, lead(frame_idx, 2) OVER ({W}) AS hi,
+    count(*) OVER (PARTITION BY video, clip, etype) AS anchors FROM alt)
+, cy AS (SELECT video, clip, etype, frame_idx AS lo, hi, etype * ((height - opp) + (fin - opp)) / 2 AS amplitude, (hi - frame_idx) / {FPS} AS interval_s
+  FROM st WHERE anchors >= 3 AND hi IS NOT NULL)
+, ty AS (SELECT video, clip, etype, count(*) FILTER (amplitude > 0) AS n, CASE WHEN count(*) >= 2 THEN stddev_pop(interval_s) / avg(interval_s) ELSE 1e9 END AS cv
+  FROM cy GROUP BY ALL)
+, be AS (SELECT video, clip, etype FROM ty WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY video, clip ORDER BY n DESC, cv, etype DESC) = 1)
+, nu AS (SELECT cy.*, row_number() OVER w - 1 AS no, count(*) OVER (PARTITION BY video, clip) AS n, first_value(amplitude) OVER w AS head
+  FROM cy JOIN be USING (video, clip, etype) WHERE amplitude > 0 WINDOW w AS (PARTITION BY video, clip ORDER BY lo))
+, re AS (SELECT video, clip, median(amplitude) FILTER (no > 0) AS rest FROM nu GROUP BY ALL)
+, full_cycle AS (SELECT *, no - skip AS cycle_no FROM (SELECT nu.*, CASE WHEN n >= 4 AND rest > 1e-6 AND head > {DEFAULTS.startup_transient_factor} * rest
+    THEN 1 ELSE 0 END AS skip FROM nu JOIN re USING (video, clip)) WHERE no >= skip AND n - skip >= 2)"""
+)
+
+
+@query(
+    "cycle_series",
+    with_ctes(
+        "frames",
+        body=_CYCLES_SQL
+        + f"""
+SELECT video, clip, cycle_no, etype, lo, hi, round(amplitude, 6) AS amplitude, round(interval_s, 6) AS interval_s,
+  round(regr_intercept(amplitude, lo / {FPS}) OVER p + regr_slope(amplitude, lo / {FPS}) OVER p * lo / {FPS}, 6) AS trend,
+  (SELECT count(*) FROM alt WHERE alt.video = f.video AND alt.clip = f.clip AND alt.etype = 1) AS n_peaks,
+  (SELECT count(*) FROM alt WHERE alt.video = f.video AND alt.clip = f.clip AND alt.etype = -1) AS n_troughs
+FROM full_cycle f WINDOW p AS (PARTITION BY video, clip)""",
+    ),
+)
+def cycle_series(spark, sf_dir):
+    _, raw = _raw_extrema(spark, sf_dir)
+    extrema = durable(S.alternate(sliced(raw)))
+    found = durable(K.build_cycles(extrema, FPS))
+    drawn = K.recording_series(found, extrema, FPS).select(
+        *KEYS,
+        F.posexplode("trend_line").alias("cycle_no", "trend"),
+        F.size("detected_peak_times").cast("long").alias("n_peaks"),
+        F.size("trough_times").cast("long").alias("n_troughs"),
+    )
+    rounded = {c: F.round(c, 6) for c in ("amplitude", "interval_s", "trend")}
+    return found.drop("skipped").join(drawn, [*KEYS, "cycle_no"]).withColumns(rounded)
+
+
 @query(
     "integral_amplitude",
     with_ctes(

@@ -180,3 +180,50 @@ def test_short_half_cycles_are_thinned(spark):
     )
     got = spark.range(1).select(K.drop_short_half_cycles(arr, F.lit(0.0), 5).alias("x")).first()["x"]
     assert [r["frame_idx"] for r in got] == [0, 10, 24]
+
+
+def test_feature_columns_of_the_whole_signal(features):
+    # the path between two extrema of a sine is its peak-to-trough height
+    assert features.loc[0, "integral_amplitude"] == pytest.approx(60, rel=0.04)
+    assert not features["wrist_z_used"].any()
+
+
+def test_anchor_intervals_count_cycles_without_amplitude(spark):
+    heights = [(0, 1, 10.0), (10, -1, 0.0), (20, 1, 10.0), (30, -1, 12.0), (40, 1, 8.0), (50, -1, 0.0), (60, 1, 10.0)]
+    df = spark.createDataFrame([(0, 0, *h) for h in heights], "video long, clip long, frame_idx long, etype int, height double")
+    cycles = K.build_cycles(df, 10.0)
+    assert sorted((r["lo"], r["hi"], r["amplitude"]) for r in cycles.collect()) == [(0, 20, 10.0), (40, 60, 9.0)]
+    got = K.anchor_intervals(df, cycles, 10.0).orderBy("cycle_no").collect()
+    assert [(r["cycle_no"], r["interval_s"]) for r in got] == [(0, 2.0), (1, 2.0), (2, 2.0)]
+    (row,) = K.recording_series(cycles, df, 10.0).collect()
+    assert row["peak_times"] == [0.0, 4.0] and row["amplitudes"] == [10.0, 9.0] and row["trend_line"] == pytest.approx([10.0, 9.0])
+    assert row["detected_peak_times"] == [0.0, 2.0, 4.0, 6.0] and row["trough_times"] == [1.0, 3.0, 5.0]
+
+
+def test_startup_transient_takes_its_interval(spark):
+    heights = [(10 * i, 1 if i % 2 == 0 else -1, (200.0 if i == 0 else 10.0) if i % 2 == 0 else 0.0) for i in range(11)]
+    df = spark.createDataFrame([(0, 0, *h) for h in heights], "video long, clip long, frame_idx long, etype int, height double")
+    cycles = K.build_cycles(df, 10.0)
+    assert [(r["etype"], r["skipped"], r["cycle_no"]) for r in cycles.orderBy("lo").collect()] == [(1, 1, i) for i in range(4)]
+    assert K.anchor_intervals(df, cycles, 10.0).count() == 4
+
+
+def test_refined_heights(spark):
+    x = [0.0, 1.0, 3.0, 2.5, 0.0, -2.0, -1.9, 0.0]
+    packed = spark.createDataFrame([(0, 0, x)], "video long, clip long, band array<double>")
+    rows = [(0, 0, 2, 1, 3.0), (0, 0, 5, -1, -2.0), (0, 0, 0, -1, 0.0), (0, 0, 7, 1, 0.0)]
+    got = {r["frame_idx"]: r["height"] for r in K.refined(spark.createDataFrame(rows, "video long, clip long, frame_idx long, etype int, height double"), packed, "band").collect()}
+    for i in (2, 5):
+        a, b, c = np.polyfit([-1, 0, 1], x[i - 1 : i + 2], 2)
+        assert got[i] == pytest.approx(c - b * b / (4 * a))
+    assert got[0] == 0.0 and got[7] == 0.0
+
+
+def test_wrist_depth_is_reported(spark):
+    noise = np.random.default_rng(1).normal(size=250) * 0.02
+    depth = np.sin(2 * np.pi * 1.5 * T) + noise
+    packed = spark.createDataFrame(
+        [(0, depth.tolist()), (1, [float("nan")] * 200 + depth[200:].tolist()), (2, []), (3, None)], "video long, z array<double>"
+    )
+    got = {r["video"]: r["u"] for r in packed.select("video", K.wrist_usable(F.col("z"), FPS).alias("u")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False}
