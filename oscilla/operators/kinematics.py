@@ -343,6 +343,13 @@ def recording_series(cycles: DataFrame, extrema: DataFrame, fps: float, keys: Se
     )
 
 
+def half_intervals(halves: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``interval_s`` between consecutive extrema of a recording; the first one has none."""
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    gap = (F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps
+    return halves.select(*keys, "frame_idx", gap.alias("interval_s")).filter(F.col("interval_s").isNotNull())
+
+
 def excursions(extrema: DataFrame, packed: DataFrame, fps: float) -> DataFrame:
     """Mean path length of the half cycles of each recording: |velocity| integrated by trapezoids between extrema."""
     w = Window.partitionBy(*KEYS).orderBy("frame_idx")
@@ -574,10 +581,7 @@ def recording_features(
     ]
     velocities = velocity_features(cycles)
     halves = half_cycles(packed, "low", "low_period", wrist_z, fps, settings, margin=None)
-    w = Window.partitionBy(*KEYS).orderBy("frame_idx")
-    intervals = halves.select(
-        *KEYS, ((F.col("frame_idx") - F.lag("frame_idx").over(w)) / fps).alias("interval_s")
-    ).filter(F.col("interval_s").isNotNull())
+    intervals = half_intervals(halves, fps)
     pauses = S.interruptions(intervals, "interval_s", KEYS, settings).drop("num_interruptions")
     # interruptions are whole cycles of more than twice the median: the anchors of the chosen type
     stops = S.interruptions(intervals_all, "interval_s", KEYS, settings).select(*KEYS, "num_interruptions")

@@ -18,6 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 from oscilla.config import DEFAULTS, Settings
 from oscilla.operators.borders import across, running, totals, with_same_keys
+from oscilla.operators.cohort import null_safe_join
 from oscilla.operators.ordering import SLICE, exact_percentiles
 
 KEYS = ("video", "clip")
@@ -70,11 +71,12 @@ def pack(df: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str]) -
 def trim_to_valid(
     df: DataFrame, value: str, keys: Sequence[str] = KEYS, idx: str = "frame_idx"
 ) -> DataFrame:
-    """Frames from the first to the last valid sample, missing ones in between included."""
-    valid = F.when(F.col(value).isNotNull(), F.col(idx))
-    staged = df.withColumns(
-        {"_lo": F.min(valid).over(_whole(keys)), "_hi": F.max(valid).over(_whole(keys))}
-    )
+    """Frames from the first to the last valid sample, missing ones in between included.
+
+    The limits are one row per recording, combined before the shuffle; recordings without a valid sample go.
+    """
+    limits = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
+    staged = null_safe_join(df, limits, keys)
     return staged.filter(F.col(idx).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from oscilla.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["ingest", "cohort_reports", "signals", "statistics", "landmark_plans", "selection", "report_steps", "end_to_end"]
+MODULES = ["ingest", "cohort_reports", "signals", "statistics", "landmark_plans", "selection", "report_steps", "files", "end_to_end"]
 
 
 def _load() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,14 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
+def write_dataset(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
+    """The tables of a data set below ``root``; the id map has no header, as its reader expects.  Returns their paths."""
+    paths = {name: f"{root}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", name != "id_map").csv(paths[name])
+    return paths
+
+
 def write_label_lines(df: DataFrame, path: str, line: str = "line", split: str = "split") -> None:
     """Label text, one folder per split."""
     df.select(split, line).write.mode("overwrite").partitionBy(split).text(path)

@@ -183,3 +183,20 @@ def test_tracks_of_a_stream_with_times(spark, tmp_path):
         twins.append_log(twins.track_stream(stream, 25.0, "Left", ts="ts", lateness="1 minute"), out, str(tmp_path / "c")).awaitTermination(120)
     got = spark.read.parquet(out).groupBy("video").agg(F.count("*").alias("n"), F.max("track").alias("t"))
     assert rows(got, "video", "n", "t") == [("r1", 5, 0), ("r2", 4, 0), ("r3", 3, 0)]
+
+
+def test_subject_numbers_beyond_three_digits(spark):
+    videos = spark.createDataFrame([("TULIP_1234", 0, "/v/1234.mp4")], "subject_id string, camera int, video_path string")
+    ratings = spark.createDataFrame([(1234, "Left", "1"), (123, "Left", "2"), (7, "Left", None)], "subject_num long, hand string, a string")
+    tables = R.dataset_tables(videos, ratings, ["a"])
+    assert rows(tables["scores"], "ids", "score") == [("TULIP_123", 2), ("TULIP_1234", 1)]
+
+
+def test_dataset_files_round_trip(spark, tmp_path):
+    videos = spark.createDataFrame([("TULIP_001", 0, "/v/a, b.mp4"), ("TULIP_002", 1, "/v/c.mp4")], "subject_id string, camera int, video_path string")
+    ratings = spark.createDataFrame([(1, "Left", "1", "2")], "subject_num long, hand string, a string, b string")
+    paths = sinks.write_dataset(R.dataset_tables(videos, ratings, ["a", "b"], cameras=[0]), str(tmp_path))
+    assert rows(R.read_video_list(spark, paths["videos"]), "video_path", "visit") == [("/v/a, b.mp4", None)]
+    assert rows(R.read_id_map(spark, paths["id_map"]), "patient_id", "video_id") == [("TULIP_001", "TULIP_001")]
+    got = R.read_clinical_scores(spark, paths["scores"], "score")
+    assert rows(got, "ids", "visit", "medication_state", "hand", "score_clean") == [("TULIP_001", 1, "Off", "Left", 2)]
