@@ -9,7 +9,8 @@ The fit reads a bounded, hash-chosen sample of the labelled rows (``at_most``),
 reads every text and needs no shuffle.  The weights, 2 ** ``bits`` floats, are the only broadcast.
 
 Cases: null and empty texts have no features and get the score of the bias.  Rows without a label or
-an identifier aren't learnt from.  Texts of any length are scored whole.  If there is nothing to learn
+an identifier aren't learnt from.  Of contrary labels of one identifier the least counts; rows that repeat
+an identifier are all learnt from.  An empty table gives an empty result.  Texts of any length are scored whole.  If there is nothing to learn
 from, every score is 0.5.
 """
 
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", iden
     Features are found where the texts are; the one task that trains reads only those.
     """
     known = hash_sample(labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()), F.col(ident), at_most)
-    known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
+    known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).groupBy("id").agg(F.min("y").alias("y"))
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(known, "id")
     rows = rows.select(F.crc32(F.col("id").cast("string").cast("binary")).alias("key"), F.xxhash64("text").alias("tie"), "y", "text")
 

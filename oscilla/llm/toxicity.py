@@ -15,7 +15,9 @@ pseudo-vote for label 0 stands against chance likenesses.  The share of the vote
 examples, each scored without itself.
 
 Cases: null and empty texts, and texts without a term of the vocabulary, have no neighbours and get
-the score of an empty vote.  Rows without a label or an identifier aren't learnt from.  With no
+the score of an empty vote.  Rows without a label or an identifier aren't learnt from.  Of contrary labels
+of one identifier the least counts.  Texts that share an identifier are examples of their own, a text that
+repeats is one, under its least identifier.  An empty table gives an empty result; with no
 example of either label every score is 0.
 """
 
@@ -25,14 +27,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from oscilla.llm.common import hash_sample, held_fold, texts_of
 
@@ -230,7 +232,7 @@ def fit(
 ) -> tuple[Index, float, float]:
     """Index of the examples, and slope and intercept of the calibration."""
     known = hash_sample(labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()), F.col(ident), at_most)
-    known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
+    known = known.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).groupBy("id").agg(F.min("y").alias("y"))
     examples = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(known, "id")
     # a text that was labelled several times is one example
     examples = examples.groupBy("text").agg(F.min(F.struct("id", "y")).alias("e")).select("e.id", "text", "e.y")
@@ -249,13 +251,14 @@ def fit(
 
     schema = StructType().add("id", examples.schema["id"].dataType).add("y", "integer").add("terms", ArrayType(IntegerType())).add("tf", ArrayType(IntegerType()))
     rows = examples.select("id", "text", "y").mapInArrow(counts, schema).collect()
-    index = build(number, df, total, [(r["id"], dict(zip(r["terms"], r["tf"], strict=True)), r["y"]) for r in sorted(rows, key=lambda r: r["id"])])
+    rows = sorted(rows, key=lambda r: (r["id"], r["terms"], r["tf"]))
+    numbered = build(number, df, total, [(n, dict(zip(r["terms"], r["tf"], strict=True)), r["y"]) for n, r in enumerate(rows)])
+    index = replace(numbered, ids=np.array([rows[n]["id"] for n in numbered.ids]))
     if not rows or not 0 < index.labels.sum() < len(rows):
         return index, 0.0, -30.0
-    by_id = {int(i): n for n, i in enumerate(index.ids)}
     votes, truth = [], []
-    for r in rows:
-        me = by_id[r["id"]]
+    for at in np.argsort(numbered.ids):  # the place of each row in the index
+        r, me = rows[numbered.ids[at]], int(at)
         t = np.array(sorted(r["terms"]), np.int64)
         tf = dict(zip(r["terms"], r["tf"], strict=True))
         w = (1 + np.log(np.array([tf[i] for i in t.tolist()], float))) * index.idf[t] if len(t) else np.zeros(0)
@@ -282,12 +285,13 @@ def score_toxicity(docs: DataFrame, fitted: tuple[Index, float, float], text: st
                 ids.append(index.ids[near[toxic]][:3].tolist())
                 likeness.append(cosine[toxic][:3].tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(likeness, pa.list_(pa.float64()))],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(batch.column(0).type)), pa.array(likeness, pa.list_(pa.float64()))],
                 ["id", "score", "evidence_ids", "evidence_cosines"],
             )
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    schema = StructType().add("id", rows.schema["id"].dataType).add("score", "double").add("evidence_ids", ArrayType(LongType())).add("evidence_cosines", ArrayType(DoubleType()))
+    kind = rows.schema["id"].dataType
+    schema = StructType().add("id", kind).add("score", "double").add("evidence_ids", ArrayType(kind)).add("evidence_cosines", ArrayType(DoubleType()))
     return rows.mapInArrow(run, schema)
 
 

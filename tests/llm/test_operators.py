@@ -188,6 +188,70 @@ def test_toxicity_finds_the_bad_words(spark):
     assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in fitted[0].ids.tolist())
 
 
+def test_toxicity_identifiers(spark):
+    """Text identifiers, repeated ones, contrary labels, ties, clashing columns and empty tables."""
+    ship_package(spark)
+    docs, labels, known = labelled(spark, lambda r, y: words(r, 30) + (" idiot" if y else ""), 300)
+    docs = docs.withColumns({"doc_id": F.concat(F.lit("d"), "doc_id"), "score": F.lit("clash"), "y": F.lit(9)})
+    labels = labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    contrary = labels.filter("y = 1").withColumn("y", F.lit(0)).limit(3)
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    fitted = toxicity.fit(twice, labels.unionByName(contrary), "y", k=5)
+    again = toxicity.fit(twice.repartition(7), contrary.unionByName(labels.repartition(5)), "y", k=5)
+    assert fitted[0].ids.tolist() == again[0].ids.tolist() and fitted[0].labels.tolist() == again[0].labels.tolist()
+    assert fitted[1:] == pytest.approx(again[1:])
+    turned = {r["doc_id"] for r in contrary.collect()}
+    assert {y for i, y in zip(fitted[0].ids.tolist(), fitted[0].labels.tolist(), strict=True) if i in turned} <= {0}
+    got = toxicity.score_toxicity(twice, fitted, k=5).collect()
+    assert len(got) == 608 and all(isinstance(i, str) for r in got for i in r["evidence_ids"])
+    none = toxicity.fit(docs.limit(0), labels, "y")
+    assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
+    assert {r["score"] < 1e-9 for r in toxicity.score_toxicity(docs, none).collect()} == {True}
+    assert toxicity.score_toxicity(docs.limit(0), fitted).count() == 0
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """The whole score: vocabulary counts over all rows, exact cosines, votes and calibration on the examples without themselves."""
+    ship_package(spark)
+    docs, labels, _ = labelled(spark, lambda r, y: words(r, 20) + (" " + r.choice(["idiot", "scumbag"]) if y else ""), 200)
+    index, slope, intercept = toxicity.fit(docs, labels, "y", k=5)
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = {i: index.vocabulary.counts(t) for i, t in rows.items()}
+    df = np.array([sum(t in f for f in found.values()) for t in range(len(index.idf))])
+    assert np.allclose(index.idf, np.log((1 + len(rows)) / (1 + df)) + 1)
+
+    def vector(f):
+        w = np.zeros(len(index.idf))
+        for t, tf in f.items():
+            w[t] = (1 + math.log(tf)) * index.idf[t]
+        return w / max(np.sqrt(w @ w), 1e-12)
+
+    truth = dict(zip(index.ids.tolist(), index.labels.tolist(), strict=True))
+    ids = index.ids.tolist()
+    table = np.stack([vector(found[i]) for i in ids])
+
+    def vote(f, without=None):
+        cosine = np.round(table @ vector(f), 9)
+        near = [n for n in np.lexsort((np.arange(len(ids)), -cosine)) if cosine[n] > 0 and ids[n] != without][:5]
+        return sum(cosine[n] for n in near if truth[ids[n]]) / (sum(cosine[n] for n in near) + toxicity.PSEUDO)
+
+    a, b = toxicity.logistic(np.array([vote(found[i], i) for i in sorted(ids)]), np.array([truth[i] for i in sorted(ids)]))
+    assert (a, b) == pytest.approx((slope, intercept), rel=1e-6)
+    for r in toxicity.score_toxicity(docs, (index, slope, intercept), k=5).collect():
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(a * vote(found[r["id"]]) + b))), abs=1e-9)
+
+
+def test_quality_repeated_rows_and_empty_tables(spark):
+    ship_package(spark)
+    docs, labels, _ = labelled(spark, lambda r, y: words(r, 20) if y else "spam " * 20, 120)
+    contrary = labels.filter("y = 1").withColumn("y", F.lit(0)).limit(4)
+    one = quality.fit(docs.unionByName(docs), labels.unionByName(contrary), "y")
+    two = quality.fit(docs.unionByName(docs).repartition(5), contrary.unionByName(labels.repartition(3)), "y")
+    assert np.allclose(one, two) and np.any(one)
+    assert set(quality.fit(docs.limit(0), labels, "y").tolist()) == {0.0}
+    assert docs.limit(0).select(quality.scorer(spark, one)(F.col("text")).alias("s")).count() == 0
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(8)
     number = {f"t{i}": i for i in range(30)}
