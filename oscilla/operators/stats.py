@@ -15,10 +15,13 @@ from oscilla.functions import normalize as N
 from oscilla.functions import pvalues as P
 from oscilla.operators.cohort import null_safe_join
 from oscilla.operators.ordering import (
+    SLICE,
+    _attach_carry,
     average_rank,
     exact_percentiles,
     number_rows,
     running_sum,
+    slice_by_order,
     tie_ranks,
 )
 from oscilla.session import durable
@@ -99,6 +102,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool =
         (F.sum(F.col("n") * F.col("_rx") * F.col("_rx")) - n * mean * mean).alias("_sxx"),
         (F.sum(F.col("n") * F.col("_ry") * F.col("_ry")) - n * mean * mean).alias("_syy"),
     )
+    return _rho(sums, keys, with_p)
+
+
+def _rho(sums: DataFrame, keys: Sequence[str], with_p: bool) -> DataFrame:
     rho = F.col("_sxy") / F.nullif(F.sqrt(F.col("_sxx") * F.col("_syy")), F.lit(0.0))
     out = sums.select(*keys, "n", F.when(F.col("n") >= 5, rho).alias("rho"))
     if not with_p:
@@ -108,28 +115,88 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool =
     return out.withColumn("p", F.coalesce(exact, P.t_p(t, F.col("n") - 2)))
 
 
-def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """Tie-corrected Kruskal-Wallis H over the groups with at least two values."""
+def profile(df: DataFrame, keys: Sequence[str], group: str, value: str, order: Column | None = None) -> DataFrame:
+    """One row per key and group with all that the tests over few groups need, from one ordered exchange.
+
+    Beside ``n``, ``mean``, ``var`` (n-1), ``min``, ``max`` and the exact ``med`` it holds sums of ranks: ``_r`` and ``_q`` of the
+    centred rank and its square among the rows whose ``order`` (the group itself by default) is known, ``_h`` and ``_t`` of the rank and
+    of the tie term among the groups with at least two values.  Missing values and groups take no part.  A group is a
+    step of a short scale: the table, and that of the group sizes, have one row per key and step.
+    """
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, group, value)
-    every = durable(clean.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n")))
-    sizes = every.groupBy(*keys, group).agg(F.sum("n").alias("_g")).filter(F.col("_g") >= 2)
-    counts = null_safe_join(every, sizes.select(*keys, group), [*keys, group])
-    ranks = _rank_table(counts, keys, value)
-    per_group = (
-        null_safe_join(counts, ranks, [*keys, value])
-        .groupBy(*keys, group)
-        .agg(F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_g"))
-    )
-    ties = ranks.groupBy(*keys).agg(
-        F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_t"), F.sum("ties").alias("n")
-    )
-    totals = per_group.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_k"), F.sum(F.col("_r") * F.col("_r") / F.col("_g")).alias("_s")
-    )
+    counts = clean.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = slice_by_order(counts, keys, [value])
+    v, every = F.col(value).cast("double"), Window.partitionBy(*(keys or [F.lit(0)]))
+    sizes = sliced.groupBy(*keys, group).agg(F.sum("_n").alias("n"), (F.sum(F.col("_n") * v) / F.sum("_n")).alias("mean"))
+    sizes = sizes.withColumn("order", order if order is not None else F.col(group))
+    known = F.when(F.col("order").isNotNull(), F.col("n"))
+    sizes = durable(sizes.withColumn("_all", F.coalesce(F.sum(known).over(every), F.lit(0))))
     if keys:
-        joined = null_safe_join(totals, ties, keys)
+        base = null_safe_join(sliced, sizes, [*keys, group])
     else:
-        joined = totals.withColumns({c: ties.select(c).scalar() for c in ("_t", "n")})
+        base = sliced.join(sizes, group)
+    base = base.withColumns(
+        {
+            "_wr": F.when(F.col("order").isNotNull(), F.col("_n")).otherwise(0),
+            "_wh": F.when(F.col("n") >= 2, F.col("_n")).otherwise(0),
+        }
+    )
+    peers = Window.partitionBy(SLICE, *keys).orderBy(value)
+    upto = peers.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = peers.rangeBetween(Window.currentRow, Window.currentRow)
+    own = Window.partitionBy(SLICE, *keys, group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.select(
+        "*",
+        *[F.sum(f"_w{c}").over(equal).alias(f"_t{c}") for c in "rh"],
+        *[(F.sum(f"_w{c}").over(upto) - F.sum(f"_w{c}").over(equal)).alias(f"_b{c}") for c in "rh"],
+        (F.sum("_n").over(own) - F.col("_n")).alias("_bg"),
+    )
+    ranked = _attach_carry(local, base, keys, {f"_b{c}": F.sum(f"_w{c}") for c in "rh"}, keep_slice=True)
+    ranked = _attach_carry(ranked, base, [*keys, group], {"_bg": F.sum("_n")})
+    middle = (F.col("n") - 1) / 2.0
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_bg") <= place) & (place < F.col("_bg") + F.col("_n")), v))
+
+    centred = F.col("_br") + (F.col("_tr") - F.col("_all")) / 2.0
+    plain, ties = F.col("_bh") + (F.col("_th") + 1) / 2.0, F.col("_th").cast("double")
+    off = v - F.col("mean")
+    found = ranked.groupBy(*keys, group, "n", "mean", "order").agg(
+        F.sum(F.col("_n") * off * off).alias("_ss"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("med"),
+        F.sum(F.col("_wr") * centred).alias("_r"),
+        F.sum(F.col("_wr") * centred * centred).alias("_q"),
+        F.sum(F.col("_wh") * plain).alias("_h"),
+        F.sum(F.col("_wh") * (ties * ties - 1.0)).alias("_t"),
+    )
+    return durable(found.withColumn("var", F.when(F.col("n") > 1, F.col("_ss") / (F.col("n") - 1))).drop("_ss"))
+
+
+def spearman_of(profiled: DataFrame, keys: Sequence[str], with_p: bool = True) -> DataFrame:
+    """Spearman rho between the order of the groups and the values, from :func:`profile`; NULL below five pairs."""
+    steps = profiled.filter(F.col("order").isNotNull()).groupBy(*keys, "order").agg(F.sum("n").alias("_w"), F.sum("_r").alias("_r"), F.sum("_q").alias("_q"))
+    every = Window.partitionBy(*(keys or [F.lit(0)]))
+    below = F.sum("_w").over(every.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")
+    x = below + (F.col("_w") - F.sum("_w").over(every)) / 2.0
+    sums = steps.withColumn("_x", x).groupBy(*keys).agg(
+        F.sum("_w").alias("n"),
+        F.sum(F.col("_x") * F.col("_r")).alias("_sxy"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("_sxx"),
+        F.sum("_q").alias("_syy"),
+    )
+    return _rho(sums, keys, with_p)
+
+
+def kruskal_of(profiled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tie-corrected Kruskal-Wallis H over the groups with at least two values, from :func:`profile`."""
+    joined = profiled.filter(F.col("n") >= 2).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_k"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("_h") * F.col("_h") / F.col("n")).alias("_s"),
+        F.sum("_t").alias("_t"),
+    )
     n = F.col("n").cast("double")
     raw = 12.0 / (n * (n + 1)) * F.col("_s") - 3.0 * (n + 1)
     correction = 1.0 - F.col("_t") / F.nullif(n * n * n - n, F.lit(0.0))
@@ -138,6 +205,11 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     ).withColumn("p", P.chi2_p(F.col("h"), F.col("n_groups") - 1))
 
 
+def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """Tie-corrected Kruskal-Wallis H over the groups with at least two values."""
+    return kruskal_of(profile(df, keys, group, value), keys)
+
+
 def group_moments(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     return (
         df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -164,7 +236,12 @@ def effect_sizes(df: DataFrame, keys: Sequence[str], group: str, value: str) ->
 
     Works on the group moments, a table with one row per feature and score.
     """
-    m = group_moments(df, keys, group, value)
+    return effect_sizes_of(group_moments(df, keys, group, value), keys, group)
+
+
+def effect_sizes_of(m: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """The same from a table of moments, :func:`group_moments` or :func:`profile`."""
+    m = m.select(*keys, group, "n", "mean", F.coalesce("var", F.lit(0.0)).alias("var"))
     by = Window.partitionBy(*keys).orderBy(group)
     adjacent = (
         m.withColumns({f"_{c}": F.lead(c).over(by) for c in (group, "n", "mean", "var")})
@@ -235,7 +312,10 @@ def _group_medians(df: DataFrame, keys: Sequence[str], group: str, value: str) -
 
 def kendall_on_medians(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Kendall tau-b between group order and group medians (one row per score, so pairs are few)."""
-    m = _group_medians(df, keys, group, value)
+    return _tau(_group_medians(df, keys, group, value), keys, group)
+
+
+def _tau(m: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
     packed = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(group, "med"))).alias("g"))
     # group keys are distinct and sorted, so only the later medians decide the sign of a pair
     sign_sum = F.aggregate(
@@ -273,7 +353,10 @@ def kendall_on_medians(df: DataFrame, keys: Sequence[str], group: str, value: st
 
 def dispersion_ratios(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Pooled within-group spread against total variance and against the spread of medians."""
-    m = _group_medians(df, keys, group, value)
+    return _spread(_group_medians(df, keys, group, value), keys)
+
+
+def _spread(m: DataFrame, keys: Sequence[str]) -> DataFrame:
     total_n, k = F.sum("n"), F.count(F.lit(1))
     # total sum of squares = within + between, both from the group moments
     agg = m.groupBy(*keys).agg(
@@ -309,10 +392,21 @@ def alignment(
     spread_weight: float = 0.20,
 ) -> DataFrame:
     """Contribution of each feature to the clinical alignment score."""
+    return alignment_of(profile(df, ["feature"], group, value), group, dispersion_weight, monotonicity_weight, spread_weight)
+
+
+def alignment_of(
+    profiled: DataFrame,
+    group: str,
+    dispersion_weight: float = 0.20,
+    monotonicity_weight: float = 0.30,
+    spread_weight: float = 0.20,
+) -> DataFrame:
+    """The same from the :func:`profile` of the features."""
     keys = ["feature"]
-    rho = spearman(df, keys, group, value, with_p=False)
-    tau = kendall_on_medians(df, keys, group, value)
-    spread = dispersion_ratios(df, keys, group, value)
+    rho = spearman_of(profiled, keys, with_p=False)
+    medians = profiled.filter(F.col("n") >= 2)
+    tau, spread = _tau(medians, keys, group), _spread(medians, keys)
     joined = (
         rho.withColumn("direction", expected_direction(F.col("feature")))
         .filter(F.col("direction").isNotNull())
