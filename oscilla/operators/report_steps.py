@@ -114,9 +114,9 @@ def cycle_count_check(df: DataFrame, cycles: str, variation: str) -> DataFrame:
 def angle_tests(long: DataFrame, angle: str = "angle", value: str = "value") -> DataFrame:
     """Per feature: Kruskal-Wallis over the angles, and Spearman with the rank of the angle (``other`` last)."""
     ranks = F.create_map(*[F.lit(x) for pair in N.ANGLE_ORDINALS.items() for x in pair])
-    known = durable(long.filter(F.col(angle).isNotNull()).withColumn("ordinal", F.try_element_at(ranks, F.col(angle))))
-    h = stats.kruskal(known, ["feature"], angle, value)
-    rho = stats.spearman(known, ["feature"], "ordinal", value).withColumnsRenamed({"n": "rho_n", "p": "rho_p"})
+    profiled = stats.profile(long, ["feature"], angle, value, F.try_element_at(ranks, F.col(angle)))
+    h = stats.kruskal_of(profiled, ["feature"])
+    rho = stats.spearman_of(profiled, ["feature"]).withColumnsRenamed({"n": "rho_n", "p": "rho_p"})
     return null_safe_join(h, rho, ["feature"], "left").withColumns(
         {"h_significance": N.significance(F.col("p")), "rho_significance": N.significance(F.col("rho_p"))}
     )
