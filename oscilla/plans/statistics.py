@@ -26,9 +26,13 @@ def _sql(body: str) -> str:
     return with_ctes("logs", "cyclefeat", "featlog", body=_LONG_SQL + body)
 
 
+def _features(spark, sf_dir):
+    return stats.long_features(feature_log(spark, sf_dir), ["score"], FEATURES)
+
+
 def _long(spark, sf_dir):
-    """The feature table of all recordings, written once: every statistic reads it several times."""
-    return durable(stats.long_features(feature_log(spark, sf_dir), ["score"], FEATURES))
+    """The feature table of all recordings, written once for the statistics that read it several times."""
+    return durable(_features(spark, sf_dir))
 
 
 _RANKS = """
@@ -58,7 +62,7 @@ SELECT feature, k, n, round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p
     ),
 )
 def kruskal_h(spark, sf_dir):
-    out = stats.kruskal(_long(spark, sf_dir), ["feature"], "score", "value")
+    out = stats.kruskal(_features(spark, sf_dir), ["feature"], "score", "value")
     return out.select("feature", F.col("n_groups").alias("k"), "n", F.round("h", 6).alias("h"), F.round("p", 6).alias("p"))
 
 
@@ -138,7 +142,7 @@ FROM r JOIN tau USING (feature) JOIN sp USING (feature)"""
     ),
 )
 def alignment_composite(spark, sf_dir):
-    out = stats.alignment(_long(spark, sf_dir), "score", "value")
+    out = stats.alignment(_features(spark, sf_dir), "score", "value")
     return out.withColumns(
         {
             **{c: F.round(c, 7) for c in ("rho", "tau", "dispersion_ratio", "spread_ratio")},
@@ -342,24 +346,18 @@ SELECT feature, angle, count(*) AS n, round(avg(value), 6) AS mean, round(median
 )
 def angle_report(spark, sf_dir):
     df = attach_labels(feature_log(spark, sf_dir), _angles(spark, sf_dir), "patient", "angle")
-    long = durable(
-        stats.long_features(
-            df.filter(F.col("angle").isNotNull()), ["angle"], FEATURES
-        )
-    )
+    long = stats.long_features(df, ["angle"], FEATURES)
     ordinals = F.create_map(*[F.lit(x) for pair in N.ANGLE_ORDINALS.items() for x in pair])
-    long = long.withColumn("ordinal", F.try_element_at(ordinals, F.col("angle")))
-    base = long.groupBy("feature", "angle").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
-    )
-    med = exact_percentiles(long, ["feature", "angle"], "value", {"median": 0.5})
-    rho = stats.spearman(long, ["feature"], "ordinal", "value", with_p=False).select("feature", "rho")
-    return (
-        base.join(med, ["feature", "angle"])
-        .join(rho, "feature")
-        .withColumns({"median": F.round("median", 6), "rho": F.round("rho", 8)})
+    profiled = stats.profile(long, ["feature"], "angle", "value", F.try_element_at(ordinals, F.col("angle")))
+    rho = stats.spearman_of(profiled, ["feature"], with_p=False).select("feature", "rho")
+    return profiled.join(rho, "feature").select(
+        "feature",
+        "angle",
+        "n",
+        F.round("mean", 6).alias("mean"),
+        F.round(F.sqrt("var"), 6).alias("std"),
+        F.round("med", 6).alias("median"),
+        F.round("rho", 8).alias("rho"),
     )
 
 
