@@ -6,7 +6,8 @@ DataFrame on, and what several steps read is written once to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,58 +172,90 @@ def merge_cohort(
     other = [*cohort.available(merged, ["video_path", "recording_angle"]), "video"]
     one = cohort.collapse_same_condition(merged, keys, numeric, other, "video")
     one = one.withColumn("score", N.integer_score(F.col("score"))).filter(F.col("score").isNotNull())
+    # written once: the composites read it again for the moments of the healthy group
+    one = durable(one)
     return cohort.composite_v2(cohort.interaction_features(cohort.composite_score(one)))
 
 
-def cohort_report(merged: DataFrame, features: Sequence[str], factors: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """The tables of a cohort analysis, each lazily defined on the merged conditions.
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name, each built when it is first asked for: a report nobody reads costs nothing."""
+
+    def __init__(self, steps: Mapping[str, Callable[[], DataFrame]]):
+        self._steps, self._built = dict(steps), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._steps[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._steps)
+
+    def __len__(self) -> int:
+        return len(self._steps)
+
+
+def cohort_report(merged: DataFrame, features: Sequence[str], factors: Sequence[str] = ()) -> Tables:
+    """The tables of a cohort analysis, each defined on the merged conditions when it is asked for.
 
     ``factors`` are video-quality columns.  Tables whose columns are missing are left out: demographics for the
     adjusted features, visits for the longitudinal report, both medication states for the
-    paired one, recording angles for theirs.
+    paired one, recording angles for theirs.  The tests by score share one profile of the features.
     """
     data = durable(merged)
     present = cohort.available(data, features)
-    long = durable(stats.long_features(data, ["score"], present))
-    effects = stats.effect_sizes(long, ["feature"], "score", "value")
+    keys = ["feature"]
+
+    @cache
+    def long() -> DataFrame:
+        return durable(stats.long_features(data, ["score"], present))
+
+    @cache
+    def profiled() -> DataFrame:
+        return stats.profile(stats.long_features(data, ["score"], present), keys, "score", "value")
+
+    @cache
+    def effects() -> DataFrame:
+        return stats.effect_sizes_of(profiled(), keys, "score")
+
     tables = {
-        "correlation": stats.spearman(long, ["feature"], "score", "value"),
-        "omnibus": stats.kruskal(long, ["feature"], "score", "value"),
-        "posthoc": stats.posthoc(long, ["feature"], "score", "value"),
+        "correlation": lambda: stats.spearman_of(profiled(), keys),
+        "omnibus": lambda: stats.kruskal_of(profiled(), keys),
+        "posthoc": lambda: stats.posthoc(long(), keys, "score", "value"),
         "effects": effects,
-        "directions": stats.direction_check(effects),
-        "alignment": stats.alignment(long, "score", "value"),
-        "loadings": pca_varimax(data, present),
-        "summary": steps.summaries(long, "score"),
-        "outliers": steps.extreme_outliers(long),
+        "directions": lambda: stats.direction_check(effects()),
+        "alignment": lambda: stats.alignment_of(profiled(), "score"),
+        "loadings": lambda: pca_varimax(data, present),
+        "summary": lambda: steps.summaries(long(), "score"),
+        "outliers": lambda: steps.extreme_outliers(long()),
     }
     if {"total_cycles", "amplitude_cv"} <= set(data.columns):
-        tables["cycle_counts"] = steps.cycle_count_check(data, "total_cycles", "amplitude_cv")
+        tables["cycle_counts"] = lambda: steps.cycle_count_check(data, "total_cycles", "amplitude_cv")
     if "age" in data.columns and "gender_code" in data.columns:
         adults = data.withColumn("female", F.when(F.col("gender_code") == 2, 1.0).otherwise(0.0))
-        tables["covariates"] = stats.ancova(
-            stats.long_features(adults, ["score", "age", "female"], present),
-            ["feature"], "score", "value", ["age", "female"],
+        tables["covariates"] = lambda: stats.ancova(
+            stats.long_features(adults, ["score", "age", "female"], present), keys, "score", "value", ["age", "female"]
         )
-        tables["subgroups"] = data.groupBy(
+        tables["subgroups"] = lambda: data.groupBy(
             N.age_group(F.col("age")).alias("age_group"), N.gender(F.col("gender_code")).alias("gender"), "score"
         ).agg(F.count(F.lit(1)).alias("n"))
         ids = cohort.available(data, ["patient", "visit", "med", "hand", "score", "age", "gender_code"])
-        tables["adjusted"] = steps.adjusted(stats.long_features(data, ids, present), "value", "age", "gender_code")
+        tables["adjusted"] = lambda: steps.adjusted(stats.long_features(data, ids, present), "value", "age", "gender_code")
     if {"patient", "visit", "med", "hand", "video"} <= set(data.columns):
-        tables["longitudinal"] = progression(data, ["patient", "med", "hand"], present)
-        pairs, _ = paired.medication_pairs(data, ["patient", "visit", "hand"], "med", "video", present)
-        tables["medication"] = paired.medication_summary(pairs, present)
+        tables["longitudinal"] = lambda: progression(data, ["patient", "med", "hand"], present)
+        tables["medication"] = lambda: paired.medication_summary(
+            paired.medication_pairs(data, ["patient", "visit", "hand"], "med", "video", present)[0], present
+        )
     if "recording_angle" in data.columns:
-        tables["angles"] = steps.angle_tests(stats.long_features(data, ["recording_angle"], present), "recording_angle")
-        tables["angle_scores"] = steps.score_shares(data, "recording_angle", "score")
+        tables["angles"] = lambda: steps.angle_tests(stats.long_features(data, ["recording_angle"], present), "recording_angle")
+        tables["angle_scores"] = lambda: steps.score_shares(data, "recording_angle", "score")
     seen = cohort.available(data, factors)
     if seen:
-        tables["factors"] = steps.summaries(stats.long_features(data, ["score"], seen), "score")
-        tables["factor_correlations"] = steps.factor_correlations(data, seen, present)
+        tables["factors"] = lambda: steps.summaries(stats.long_features(data, ["score"], seen), "score")
+        tables["factor_correlations"] = lambda: steps.factor_correlations(data, seen, present)
         if "signal_quality" in data.columns:
-            tables["factor_trends"] = steps.factor_trends(data, seen, "signal_quality")
-    return tables
+            tables["factor_trends"] = lambda: steps.factor_trends(data, seen, "signal_quality")
+    return Tables(tables)
 
 
 def totals_report(logs: DataFrame, totals: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from oscilla.operators import report_steps, stats
+from oscilla.operators import report_steps, reports, stats
 
 
 def ranks(v):
@@ -65,3 +65,18 @@ def test_input_is_read_once(spark, step):
     assert step(df.withColumnRenamed("v", "value")).count() == 1
     # once for the values and once for the filter on them, where Spark pushes it below
     assert seen.value <= 400
+
+
+def test_report_builds_only_what_is_asked_for(spark, monkeypatch):
+    built = []
+    for module, name in ((stats, "profile"), (stats, "posthoc"), (reports.steps, "summaries"), (reports.steps, "extreme_outliers")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: built.append(_n) or _f(*a, **k))
+    df = spark.createDataFrame([(i % 4, float(i * 7 % 31), float(i % 5)) for i in range(60)], "score int, mean_amplitude double, other double")
+    tables = reports.cohort_report(df, ["mean_amplitude", "other"])
+    assert built == [] and len(tables) == 9 and "posthoc" in tables
+    long = stats.long_features(df, ["score"], ["mean_amplitude", "other"])
+    for name, alone in (("correlation", stats.spearman(long, ["feature"], "score", "value")), ("effects", stats.effect_sizes(long, ["feature"], "score", "value"))):
+        got, want = (sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str) for d in (tables[name], alone))
+        assert got == want
+    assert tables["omnibus"].count() == 2 and tables["directions"].count() == 2
+    assert built == ["profile"] and tables["omnibus"] is tables["omnibus"]
