@@ -8,14 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -227,21 +226,33 @@ def _gathered(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _prepared(features: Sequence[str]) -> list:
-    return [
-        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-    ]
+def _scaler(train: DataFrame, features: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds the vector ``features``, standardised by the moments of ``train``: one aggregate row of numbers.
+
+    A feature that is constant in ``train`` becomes 0.
+    """
+    row = train.agg(F.struct(*[F.avg(c) for c in features]).alias("m"), F.struct(*[F.stddev_samp(c) for c in features]).alias("s")).first()
+    names = {c: f"_z_{c}" for c in features}
+    scaled = {
+        names[c]: (F.col(c) - F.lit(mean or 0.0)) * F.lit(1.0 / spread if spread else 0.0)
+        for c, mean, spread in zip(features, row["m"], row["s"], strict=True)
+    }
+    assembler = VectorAssembler(inputCols=list(scaled), outputCol="features", handleInvalid="skip")
+    return lambda df: assembler.transform(df.withColumns(scaled)).drop(*scaled)
 
 
 def balanced_weights(train: DataFrame, label: str, weight: str | None) -> DataFrame:
-    """Add ``_weight``: every class counts the same, times the row's own weight."""
+    """Add ``_weight``: every class counts the same, times the row's own weight.
+
+    The weights of the classes are one row, so no row is shuffled for them.
+    """
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("_n"))))
+    known = counts.filter(F.col(label).isNotNull())
+    classes = known.agg(F.struct((F.sum("_n") / F.count(F.lit(1))).alias("mean"), entries.alias("n"))).scalar()
     own = F.col(weight) if weight else F.lit(1.0)
-    return train.join(counts.withColumn("_c", total / F.col("_n")).drop("_n"), label).withColumn(
-        "_weight", F.col("_c") * own
-    )
+    weighed = train.filter(F.col(label).isNotNull()).withColumn("_c", classes)
+    return weighed.withColumn("_weight", F.col("_c.mean") / F.element_at("_c.n", F.col(label)) * own).drop("_c")
 
 
 def cross_validate(
@@ -280,8 +291,8 @@ def cross_validate(
                 if balanced
                 else train.withColumn("_weight", F.col(weight))
             )
-        model = Pipeline(stages=[*_prepared(features), estimator]).fit(train)
-        return model.transform(test).select(subject, label, *keep, "fold", "prediction")
+        scaled = _scaler(train, features)
+        return estimator.fit(scaled(train)).transform(scaled(test)).select(subject, label, *keep, "fold", "prediction")
 
     return _gathered(df.sparkSession, map(predicted, _fold_numbers(data)))
 
@@ -313,8 +324,8 @@ def ordinal_cross_validate(
 
     def predicted(fold: int) -> DataFrame:
         train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        scaler = Pipeline(stages=_prepared(features)).fit(train)
-        fit_on, scored = scaler.transform(train), scaler.transform(test)
+        scaled = _scaler(train, features)
+        fit_on, scored = scaled(train), scaled(test)
         for k in range(classes - 1):
             model = LogisticRegression(maxIter=1000, probabilityCol=f"_p{k}", rawPredictionCol=f"_r{k}", predictionCol=f"_c{k}")
             binary = fit_on.withColumn("label", (F.col(label) > k).cast("double"))
@@ -337,8 +348,8 @@ def feature_importance(
     """Strongest features of a random forest on the complete rows."""
     data = df.select(*features, F.col(label).cast("double").alias("label")).na.drop()
     forest = classifiers(seed)["random_forest"]
-    model = Pipeline(stages=[*_prepared(features), forest]).fit(data)
-    weights = model.stages[-1].featureImportances.toArray()
+    model = forest.fit(_scaler(data, features)(data))
+    weights = model.featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weights, strict=True)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature").limit(top)
