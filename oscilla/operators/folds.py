@@ -18,24 +18,36 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import combinations_with_replacement, permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscilla.session import durable
+from oscilla.session import durable, shuffle_slices
 
 BLOCK_NUMBERS = 1_000_000
 JITTER = 1e-6
 TOLERANCE = 1e-9
+GAIN = 1e-14
 STEPS = 60
+PIECE = 2_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
+def _cubes(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sum over the rows of q x_i x_j x_m."""
+    f = x.shape[1]
+    out = np.empty((f, f, f))
+    for i in range(f):
+        out[i] = x.T @ (x * (q * x[:, i])[:, None])
+    return out
+
+
 @dataclass(frozen=True)
 class Softmax:
     """Multinomial logistic model; parameters are the intercepts, then the slopes, by class."""
@@ -83,9 +95,45 @@ class Softmax:
                 hess[np.ix_(place[b], place[a])] = cell.T
         return value, grad, hess
 
+    def third(self, theta: np.ndarray, x: np.ndarray, label: int) -> np.ndarray:
+        """Third derivatives of the unweighted loss of rows of one class; softmax has the same for all of them."""
+        z = self._logits(theta, x)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        k, wide = self.classes, np.column_stack([np.ones(len(x)), x])
+        slots = np.column_stack([np.arange(k), k + np.arange(k * self.features).reshape(k, -1)])
+        out = np.zeros((self.size,) * 3)
+        for a, b, c in combinations_with_replacement(range(k), 3):
+            q = p[:, a] * p[:, b] * p[:, c] * 2.0
+            q += (a == b == c) * p[:, a] - (a == b) * p[:, a] * p[:, c] - (a == c) * p[:, a] * p[:, b] - (b == c) * p[:, b] * p[:, a]
+            cell = _cubes(wide, q)
+            for i, j, m in set(permutations((a, b, c))):
+                out[np.ix_(slots[i], slots[j], slots[m])] = cell
+        return out
+
+    def rows(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of each row."""
+        z = self._logits(theta, x)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        n, k = p.shape
+        off = p - (y[:, None] == np.arange(k))
+        wide = np.column_stack([np.ones(n), x])
+        order = np.concatenate([np.arange(k) * (self.features + 1), (np.arange(k)[:, None] * (self.features + 1) + 1 + np.arange(self.features)).ravel()])
+        bend = p[:, :, None] * (np.eye(k) - p[:, None, :])
+        grad = (off[:, :, None] * wide[:, None, :]).reshape(n, -1)[:, order]
+        squares = wide[:, :, None] * wide[:, None, :]
+        hess = (bend[:, :, None, :, None] * squares[:, None, :, None, :]).reshape(n, self.size, self.size)
+        return grad, hess[:, order][:, :, order]
+
     def predict(self, theta: np.ndarray, x: np.ndarray) -> int:
         return int(np.argmax(self._logits(theta, x[None, :])[0]))
 
+    def predict_all(self, thetas: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The same, row by row at its own parameters."""
+        slopes = thetas[:, self.classes :].reshape(len(x), self.classes, -1)
+        return (thetas[:, : self.classes] + np.einsum("nkf,nf->nk", slopes, x)).argmax(axis=1)
+
 
 @dataclass(frozen=True)
 class ProportionalOdds:
@@ -134,6 +182,58 @@ class ProportionalOdds:
         hess = ju.T @ (ju * huu[:, None]) + jl.T @ (jl * hll[:, None]) + cross + cross.T
         return float(w @ value), ju.T @ gu + jl.T @ gl, hess
 
+    def _bends(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        cuts = self.classes - 1
+        edges = np.concatenate([[-np.inf], theta[:cuts], [np.inf]])
+        score = x @ theta[cuts:]
+        su, sl = _sigmoid(edges[y + 1] - score), _sigmoid(edges[y] - score)
+        ratio = np.zeros(len(y))
+        inner = (y > 0) & (y < cuts)
+        ratio[inner] = 1.0 / np.expm1((edges[y + 1] - edges[y])[inner])
+        return su, sl, ratio
+
+    def third(self, theta: np.ndarray, x: np.ndarray, label: int) -> np.ndarray:
+        """Third derivatives of the unweighted loss of rows of one class."""
+        cuts, y = self.classes - 1, np.full(len(x), label)
+        su, sl, ratio = self._bends(theta, x, y)
+        # the width of the class enters through ratio (1 + ratio), whose slope is -ratio (1 + ratio) (1 + 2 ratio)
+        bend = ratio * (1.0 + ratio) * (1.0 + 2.0 * ratio)
+        upper, lower = su * (1.0 - su) * (1.0 - 2.0 * su), sl * (1.0 - sl) * (1.0 - 2.0 * sl)
+        wide = np.column_stack([np.ones(len(x)), -x])
+        edge = {"u": label if label < cuts else None, "l": label - 1 if label > 0 else None}
+        parts = {"uuu": upper - bend, "uul": bend, "ull": -bend, "lll": lower + bend}
+        out = np.zeros((self.size,) * 3)
+        slopes = np.arange(cuts, self.size)
+        for kinds, q in parts.items():
+            cell = _cubes(wide, q)
+            for order in set(permutations(kinds)):
+                if any(edge[e] is None for e in order):
+                    continue
+                place = [np.r_[edge[e], slopes] for e in order]
+                out[np.ix_(*place)] += cell
+        return out
+
+    def rows(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of each row."""
+        cuts = self.classes - 1
+        su, sl, ratio = self._bends(theta, x, y)
+        bend, slots = ratio * (1.0 + ratio), np.arange(cuts)
+        ju = np.column_stack([(y[:, None] == slots).astype(float), -x * (y < cuts)[:, None]])
+        jl = np.column_stack([(y[:, None] - 1 == slots).astype(float), -x * (y > 0)[:, None]])
+        grad = ju * (su - 1.0 - ratio)[:, None] + jl * (sl + ratio)[:, None]
+
+        def outer(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return (a * q[:, None])[:, :, None] * b[:, None, :]
+
+        cross = outer(ju, jl, -bend)
+        return grad, outer(ju, ju, su * (1.0 - su) + bend) + outer(jl, jl, sl * (1.0 - sl) + bend) + cross + cross.transpose(0, 2, 1)
+
+    def predict_all(self, thetas: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """As ``predict``, row by row at its own parameters."""
+        cuts = self.classes - 1
+        score = np.einsum("nf,nf->n", thetas[:, cuts:], x)
+        return (np.maximum.accumulate(thetas[:, :cuts], axis=1) < score[:, None]).sum(axis=1)
+
     def predict(self, theta: np.ndarray, x: np.ndarray) -> int:
         cuts = self.classes - 1
         return int((np.maximum.accumulate(theta[:cuts]) < x @ theta[cuts:]).sum())
@@ -174,16 +274,10 @@ def _step(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
 
 
 def _parts(pdf: pd.DataFrame, features: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, features))
+    x = np.concatenate(pdf["_x"].to_numpy()).reshape(-1, features) if len(pdf) else np.zeros((0, features))
     return x.astype(float), pdf["_y"].to_numpy(dtype=int)
 
 
-def _by_class(family: Family, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and Hessians of the unweighted rows of each class."""
-    found = [family.loss(theta, x[y == c], y[y == c], np.ones(int((y == c).sum()))) for c in range(family.classes)]
-    return np.stack([f[1] for f in found]), np.stack([f[2] for f in found])
-
-
 def _evaluate(
     data: DataFrame, family: Family, thetas: np.ndarray, weights: np.ndarray, left_out: Sequence[str | None]
 ) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -236,8 +330,11 @@ def _newton(data: DataFrame, family: Family, start: np.ndarray, training: Sequen
                     still.append(i)
             else:
                 best[i], loss[i] = trial[i], value
-                step[i] = _step(grad + penalty[i] * trial[i], hess + np.diag(penalty[i]))
-                if np.abs(step[i]).max() > TOLERANCE * (1.0 + np.abs(best[i]).max()):
+                slope = grad + penalty[i] * trial[i]
+                step[i] = _step(slope, hess + np.diag(penalty[i]))
+                # in directions that the rows don't see a step is rounding and never shrinks: what it gains decides
+                gains = -float(slope @ step[i]) > GAIN * abs(value)
+                if gains and np.abs(step[i]).max() > TOLERANCE * (1.0 + np.abs(best[i]).max()):
                     still.append(i)
                 else:
                     best[i] = best[i] + step[i]
@@ -249,34 +346,76 @@ def _newton(data: DataFrame, family: Family, start: np.ndarray, training: Sequen
 
 
 def _third(data: DataFrame, family: Family, theta: np.ndarray) -> np.ndarray:
-    """Third derivatives by class, as differences of Hessians: two evaluations per parameter and class, in blocks."""
-    d, k = family.size, family.classes
-    width = 1e-4
-    jobs = [(i, sign, c) for i in range(d) for sign in (1.0, -1.0) for c in range(k)]
-    out = np.zeros((k, d, d, d))
-    per = max(1, BLOCK_NUMBERS // (1 + d + d * d))
-    for lo in range(0, len(jobs), per):
-        block = jobs[lo : lo + per]
-        thetas = np.stack([theta + sign * width * np.eye(d)[i] for i, sign, _ in block])
-        weights = np.stack([np.eye(k)[c] for *_, c in block])
-        for (i, sign, c), (_, _, hess) in zip(block, _evaluate(data, family, thetas, weights, [None] * len(block)), strict=True):
-            out[c, :, :, i] += sign * hess / (2.0 * width)
+    """Third derivatives by class, in closed form: one pass over the rows, a partition sends one row of sums per class."""
+    d = family.size
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((family.classes, d, d, d))
+        for pdf in batches:
+            x, y = _parts(pdf, family.features)
+            for c in np.unique(y):
+                sums[c] += family.third(theta, x[y == c], int(c))
+        yield pd.DataFrame({"c": np.arange(family.classes), "v": [v.ravel() for v in sums]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": pdf["c"].iloc[:1], "v": [np.sum(pdf["v"].to_list(), axis=0)]})
+
+    found = data.select("_x", "_y").mapInPandas(partial, "c long, v array<double>").groupBy("c").applyInPandas(total, "c long, v array<double>")
+    out = np.zeros((family.classes, d, d, d))
+    for r in found.collect():
+        out[r["c"]] = np.asarray(r["v"]).reshape(d, d, d)
     return out
 
 
-def _expanded(theta: np.ndarray, training: Training, family: Family, grads: np.ndarray, hessians: np.ndarray, third: np.ndarray) -> np.ndarray:
-    """Root of the fold's gradient, written out to second order around the model of all rows."""
+def _expanded(theta: np.ndarray, training: Training, family: Family, grads: np.ndarray, hessians: np.ndarray, third: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    """Root of the fold's gradient, written out to second order around the model of all rows.
+
+    ``grad`` and ``hess`` are the fold's own sums, weighted; the others are those of all rows by class.
+    """
     w, penalty = training.weights(), training.penalty(family)
-    g = np.tensordot(w, grads, 1) + penalty * theta
-    h = np.tensordot(w, hessians, 1) + np.diag(penalty)
+    g = np.tensordot(w, grads, 1) - grad + penalty * theta
+    h = np.tensordot(w, hessians, 1) - hess + np.diag(penalty)
     t = np.tensordot(w, third, 1)
     delta = _step(g, h)
     for _ in range(8):
         bent = t @ delta
-        delta = delta + _step(g + h @ delta + 0.5 * bent @ delta, h + bent)
+        move = _step(g + h @ delta + 0.5 * bent @ delta, h + bent)
+        delta = delta + move
+        # Newton's steps shrink by the square, so the next one is below the rounding
+        if np.abs(move).max() <= 1e-9 * (np.abs(theta).max() + 1.0):
+            break
     return theta + delta
 
 
+def _expanded_all(theta: np.ndarray, training: Training, family: Family, grads: np.ndarray, hessians: np.ndarray, third: np.ndarray, sums: Sequence[list[np.ndarray]]) -> np.ndarray:
+    """``_expanded`` for many subjects: steps by the Hessian of all rows, which differs from a fold's by the subject's share.
+
+    Folds that don't settle so are solved one by one.
+    """
+    folds = [training.without(*s[:3]) for s in sums]
+    w, penalty = np.stack([f.weights() for f in folds]), np.stack([f.penalty(family) for f in folds])
+    own = np.stack([s[3] for s in sums]), np.stack([s[4] for s in sums])
+    g = w @ grads - np.einsum("mk,mkd->md", w, own[0]) + penalty * theta
+    h = np.tensordot(w, hessians, 1) - np.einsum("mk,mkde->mde", w, own[1])
+    h[:, np.arange(family.size), np.arange(family.size)] += penalty
+    k, d = family.classes, family.size
+    cubes = third.reshape(k * d, d * d).T
+    turn = np.linalg.pinv(np.tensordot(training.weights(), hessians, 1) + np.diag(training.penalty(family)), rcond=1e-13)
+    delta, move = np.zeros_like(g), np.full_like(g, math.inf)
+    enough = 1e-12 * (np.abs(theta).max() + 1.0)
+    for _ in range(30):
+        bent = ((delta[:, :, None] * delta[:, None, :]).reshape(-1, d * d) @ cubes).reshape(-1, k, d)
+        move = -(g + np.einsum("mde,me->md", h, delta) + 0.5 * np.einsum("mk,mkd->md", w, bent)) @ turn
+        delta = delta + move
+        if not np.abs(move).max() > enough:
+            break
+    out = theta + delta
+    for i in np.flatnonzero(~(np.abs(move).max(axis=1) <= enough)):
+        weighted = w[i] @ own[0][i], np.tensordot(w[i], own[1][i], 1)
+        out[i] = _expanded(theta, folds[i], family, grads, hessians, third, *weighted)
+    return out
+
+
 def loso_newton(
     df: DataFrame,
     features: Sequence[str],
@@ -338,7 +477,10 @@ def loso_newton(
 
     def predicted(rows: DataFrame) -> DataFrame:
         def score(parameters: pd.Series, vectors: pd.Series) -> pd.Series:
-            return pd.Series([model.predict(np.asarray(t), np.asarray(v)) for t, v in zip(parameters, vectors, strict=True)])
+            if not len(vectors):
+                return pd.Series([], dtype="int32")
+            x = np.concatenate(vectors.to_numpy()).reshape(len(vectors), p)
+            return pd.Series(model.predict_all(np.concatenate(parameters.to_numpy()).reshape(len(x), -1), x))
 
         place = F.pandas_udf(score, "int")("_theta", "_x")
         return rows.select(*columns, F.get(F.lit(labels), place).alias("prediction"))
@@ -351,34 +493,49 @@ def loso_newton(
     third = _third(data, model, theta)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by subject: a batch and one subject's sums are held."""
+        """Rows come sorted by subject: a piece of a batch and the sums of its subjects are held."""
         current, held = None, None
         for pdf in batches:
-            done = []
-            for name, part in pdf.groupby("_s", sort=True):
-                if name != current:
-                    if held is not None:
-                        done.append((current, held))
-                    current, held = name, None
+            for lo in range(0, len(pdf), PIECE):
+                done = []
+                part = pdf.iloc[lo : lo + PIECE]
+                names = part["_s"].to_numpy()
                 x, y = _parts(part, p)
-                piece = [np.bincount(y, minlength=k).astype(float), x.sum(axis=0), (x**2).sum(axis=0), *_by_class(model, theta, x, y)]
-                held = piece if held is None else [a + b for a, b in zip(held, piece, strict=True)]
-            yield finished(done)
+                starts = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1]
+                sums = _subject_sums(model, theta, x, y, starts)
+                for i, name in enumerate(names[starts]):
+                    if name != current:
+                        if held is not None:
+                            done.append((current, held))
+                        current, held = name, None
+                    piece = [v[i] for v in sums]
+                    held = piece if held is None else [a + b for a, b in zip(held, piece, strict=True)]
+                if done:
+                    yield finished(done)
         if held is not None:
             yield finished([(current, held)])
 
     def finished(done: list) -> pd.DataFrame:
-        solved = [
-            _expanded(theta, training.without(*s[:3]), model, grads - s[3], hessians - s[4], third) for _, s in done
-        ]
+        solved = _expanded_all(theta, training, model, grads, hessians, third, [s for _, s in done])
         return pd.DataFrame({"_s": pd.Series([n for n, _ in done], dtype=object), "_theta": pd.Series([list(t) for t in solved], dtype=object)})
 
-    sorted_rows = others.select("_s", "_x", "_y").repartition("_s").sortWithinPartitions("_s")
+    sorted_rows = others.select("_s", "_x", "_y").repartition(shuffle_slices(df.sparkSession), "_s").sortWithinPartitions("_s")
     thetas = durable(sorted_rows.mapInPandas(solve, "_s string, _theta array<double>"))
     rest = predicted(others.join(thetas, "_s"))
     return of_large.unionByName(rest) if names else rest
 
 
+def _subject_sums(family: Family, theta: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Class counts, sums, sums of squares, gradients and Hessians by class of the stretches of rows that begin at ``starts``."""
+    by_class = (y[:, None] == np.arange(family.classes)).astype(float)
+    grad, hess = family.rows(theta, x, y)
+    found = [np.add.reduceat(v, starts, axis=0) for v in (by_class, x, x**2)]
+    for v in (grad, hess):
+        shape = (-1,) + (1,) * (v.ndim - 1)
+        found.append(np.stack([np.add.reduceat(v * by_class[:, c].reshape(shape), starts, axis=0) for c in range(family.classes)], axis=1))
+    return found
+
+
 def _class_sums(data: DataFrame, family: Family, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = family.classes
     found = _evaluate(data, family, np.tile(theta, (k, 1)), np.eye(k), [None] * k)
