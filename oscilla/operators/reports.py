@@ -188,6 +188,9 @@ class Tables(Mapping[str, DataFrame]):
             self._built[name] = self._steps[name]()
         return self._built[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in self._steps
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._steps)
 
