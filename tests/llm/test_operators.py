@@ -159,6 +159,36 @@ def test_repeats_of_whole_documents(spark, docs, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_common_passage_is_dealt_to_many_tasks(spark, monkeypatch):
+    """A line that fills some documents and a passage between unlike texts give one anchor most of the pieces."""
+    rng = random.Random(6)
+    passage = words(rng, 6, 500)
+    rows = [(i, words(rng, 12, 500) + "common line\n" * rng.randint(20, 40)) for i in range(40)]
+    rows += [(100 + i, words(rng, 12, 500) + passage + words(rng, 12, 500)) for i in range(40)]
+    monkeypatch.setattr(suffixes, "SHARE", 20, raising=False)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    stored, durable = [], suffixes.durable
+    monkeypatch.setattr(suffixes, "durable", lambda df: stored.append(df) or durable(df))
+
+    def largest_share(df):
+        held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        return max(held) / sum(held)
+
+    try:
+        for k, v in zip(keep, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        assert check_repeats(spark, rows, size=40, gram=8, group=5) >= 40
+        live = next(df for df in stored[1:] if {"lead", "anchor", "content"} <= set(df.columns))
+        common = live.groupBy("anchor").count().agg(F.max("count")).first()[0]
+        assert common > 0.7 * live.count()
+        assert largest_share(live) < 0.7
+        repeated, _ = suffixes.settle(durable(live), 5)
+        assert largest_share(repeated) < 0.7
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 # toxicity and quality
 
 
